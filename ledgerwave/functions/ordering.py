@@ -26,6 +26,16 @@ def value_band(y: Column, resolution: int) -> Column:
     return (F.signum(y) * F.floor(F.log1p(F.abs(y)) * resolution)).cast("bigint")
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Series over all shuffle partitions before a CPU-bound kernel.  The number
+    is explicit because adaptive coalescing goes by bytes: it would put thousands
+    of short, expensive series into one task."""
+    if not keys:
+        return df
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def equi(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     return left.join(right, on=on, how=how)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
 from ..functions.ordering import (
-    attach, compact, quantiles, rank_rows, repeat_rows, step_lookup, value_band, with_stats,
+    attach, compact, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
 )
 from ..functions.text import fixed
 
@@ -133,7 +133,7 @@ def detect_anomalies(sf: SalesFrame, method: str = "auto", threshold: float | No
     elif method == "iqr":
         found = _table(_iqr(obs, keys, t, bounded), keys, method, t, mean_side)
     else:
-        d = _forest_bounded(obs, keys).where("score > cut") if bounded else _forest_split(obs, keys)
+        d = _forest_bounded(spread(obs, keys), keys).where("score > cut") if bounded else _forest_split(obs, keys)
         found = _table(d, keys, method, t, mean_side)
     series = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return AnomalyTable(found, method, t, series, tuple(keys))

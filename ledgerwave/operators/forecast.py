@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import Forecast, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import attach, bounded_groups
+from ..functions.ordering import attach, bounded_groups, spread
 from .trend import AGGREGATE_HINT, MAX_KERNEL_ROWS
 
 MIN_POINTS = 4
@@ -83,7 +83,7 @@ def forecast(
     if smoothing:
         fit = _fixed(enough, keys, horizon, *smoothing)
     else:
-        fit = _fitted(enough, keys, horizon, cal.seasonal_period(sf.freq, default=1))
+        fit = _fitted(spread(enough, keys), keys, horizon, cal.seasonal_period(sf.freq, default=1))
     band = Z80 * F.col("sd")
     out = fit.select(
         *keys, "step",

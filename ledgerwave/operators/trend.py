@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import Decomposition, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import bounded_groups, positions, sliding_mean, with_stats
+from ..functions.ordering import bounded_groups, positions, sliding_mean, spread, with_stats
 
 # longest series one kernel call may gather, when the calendar is no bound
 MAX_KERNEL_ROWS = 1_000_000
@@ -48,7 +48,7 @@ def decompose_trend(sf: SalesFrame, period: int | str = "auto") -> Decomposition
     if p <= 1:
         placed = positions(obs, keys, bounded)
         return Decomposition(centred_mean(placed, keys, width, bounded), p, tuple(keys))
-    sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, bounded)
+    sized = with_stats(spread(obs, keys) if bounded else obs, keys, [], {"n": F.count(F.lit(1))}, bounded)
     # fewer than 2·p rows, so the window below is bounded by the period
     short = sized.where(F.col("n") < 2 * p)
     placed = positions(short, keys, True)

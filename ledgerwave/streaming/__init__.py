@@ -1,0 +1 @@
+"""No streaming operator: the analyses here are defined on complete series."""
