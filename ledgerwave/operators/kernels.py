@@ -89,10 +89,11 @@ def stl(y, period: int, seasonal: int = 7, inner: int = 2, outer: int = 15):
             trend = _loess((y - season)[None], trend_q, rho[None])[0]
         r = np.abs(y - trend - season)
         scale = 6 * np.median(r)
-        if round_ == outer:
+        # A perfect fit (two cycles always give one) leaves only rounding noise to
+        # weight by, which would make the result depend on the machine.
+        if round_ == outer or scale <= 1e-9 * np.abs(y).max():
             break
-        u = np.divide(r, scale, out=np.where(r > 0, np.inf, 0.0), where=scale > 0)
-        u = np.minimum(u, 1.0)
+        u = r / scale
         rho = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
     return trend, season
 

@@ -129,6 +129,16 @@ def stl_monthly(spark, folder):
     return d.select("o_orderpriority", "ds", *[F.round(c, 2).alias(c) for c in ("y", "trend", "seasonal", "residual")])
 
 
+# The parts add up to the series, point by point, for every supplier.
+@query(f"""WITH {sql.prepared('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey'], 'MS')}
+SELECT l_suppkey, ds, y, y AS recomposed FROM f WHERE y IS NOT NULL""")
+def stl_recomposed(spark, folder):
+    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
+    d = decompose_trend(sf).components
+    whole = F.round(F.col("trend") + F.col("seasonal") + F.col("residual"), 6)
+    return d.select("l_suppkey", "ds", "y", whole.alias("recomposed"))
+
+
 @query()
 def stl_many_series(spark, folder):
     sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
@@ -217,9 +227,9 @@ def anomaly_contextual_month(spark, folder):
 
 @query(f"""WITH s AS (SELECT CAST(l_shipdate AS DATE) AS ds, l_extendedprice AS y FROM lineitem),
 {_CONTEXT.format(src='s', part='isodow(ds)')}
-{_found_sql('', 'contextual', 'score', 1.8)} FROM z WHERE abs(score) > 1.8""")
+{_found_sql('', 'contextual', 'score', 1.65)} FROM z WHERE abs(score) > 1.65""")
 def anomaly_contextual_over_rows(spark, folder):
-    return _found(detect_anomalies(lineitem_rows(spark, folder), "contextual", 1.8))
+    return _found(detect_anomalies(lineitem_rows(spark, folder), "contextual", 1.65))
 
 
 @query()
@@ -232,6 +242,21 @@ def anomaly_iforest_over_rows(spark, folder):
     return _found(detect_anomalies(lineitem_rows(spark, folder, ["l_returnflag"]), "iforest"), "l_returnflag")
 
 
+# At most 5 % of a series is flagged, and the largest value of every series is.
+@query(f"""WITH {sql.prepared('orders', 'o_orderdate', 'sum(o_totalprice)', PRIORITY)}
+SELECT o_orderpriority, count(y) AS n, true AS few, true AS has_largest FROM f GROUP BY 1""")
+def anomaly_iforest_share(spark, folder):
+    sf = orders_series(spark, folder, keys=PRIORITY)
+    found = detect_anomalies(sf, "iforest").anomalies.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("found"), F.max("y").alias("top")
+    )
+    all_ = sf.observed().groupBy("o_orderpriority").agg(F.count("y").alias("n"), F.max("y").alias("largest"))
+    return all_.join(found, "o_orderpriority").select(
+        "o_orderpriority", "n", (F.col("found") <= F.ceil(F.col("n") * 0.05)).alias("few"),
+        (F.col("top") == F.col("largest")).alias("has_largest"),
+    )
+
+
 # --- segments -----------------------------------------------------------------
 
 _RANK = """v AS (SELECT {seg} AS segment, ds, y, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY {seg}) AS n
@@ -299,12 +324,10 @@ def forecast_many_series(spark, folder):
     return d.select("l_suppkey", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
 
 
-@query("""WITH s AS (SELECT l_partkey, CAST(date_trunc('year', l_shipdate) AS DATE) AS ds FROM lineitem GROUP BY 1, 2)
-SELECT l_partkey, count(*) AS n, 'needs at least 4 observations, got ' || count(*) AS reason FROM s GROUP BY 1 HAVING count(*) < 4""")
+@query("""WITH s AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ds FROM orders GROUP BY 1, 2)
+SELECT o_custkey, count(*) AS n, 'needs at least 4 observations, got ' || count(*) AS reason FROM s GROUP BY 1 HAVING count(*) < 4""")
 def forecast_rejected(spark, folder):
-    sf = to_series(
-        table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_partkey"], freq="Y", fill=False
-    )
+    sf = orders_series(spark, folder, keys=["o_custkey"], freq="Q", fill=False)
     return forecast(sf, 2).rejected
 
 

@@ -75,19 +75,28 @@ def pairs_delta(spark, folder):
     return pr.candidates(supplier_seeds(spark, folder), sig.signal_types(delta_from="1.0.0"))
 
 
-@query()
+_OPS = [(t, op) for t, signal in sig.SIGNALS.items() for op in signal.ops]
+# What must come out: every operator runs on every dataset and finds its signal.
+_ALL_FOUND = f"""WITH {sql.values(_OPS, ['signal_type', 'op'], 'k')}
+SELECT signal_type, s_suppkey AS seed, op, true AS ran, true AS detected FROM supplier, k"""
+
+
+@query(_ALL_FOUND)
 def signal_verification(spark, folder):
     seeds = supplier_seeds(spark, folder)
     return pr.verify_signals(seeds)
 
 
-@query()
+@query(_ALL_FOUND)
 def signal_verification_strict(spark, folder):
     seeds = supplier_seeds(spark, folder)
     return pr.verify_signals(seeds, strict=True)
 
 
-@query()
+@query(f"""WITH {_bank_sql()}, p AS (SELECT *, md5(signal_type || '|' || s_suppkey || '|' || paraphrase_id || '|1.0.0') AS h
+  FROM supplier, bank WHERE s_suppkey BETWEEN 0 AND 8999)
+SELECT question, code, signal_type, '1.0.0' AS library_version, s_suppkey AS dataset_seed, paraphrase_id, true AS verified,
+  h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS id FROM p""")
 def pairs_generated(spark, folder):
     return pr.generate_pairs(supplier_seeds(spark, folder), "1.0.0")
 
