@@ -27,13 +27,14 @@ def value_band(y: Column, resolution: int) -> Column:
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Series over all shuffle partitions before a CPU-bound kernel.  The number
-    is explicit because adaptive coalescing goes by bytes: it would put thousands
-    of short, expensive series into one task."""
+    """Series over many tasks before a CPU-bound kernel.  The number is explicit
+    because adaptive coalescing goes by bytes: it would put thousands of short,
+    expensive series into one task.  It differs from the default so that the
+    planner does not fold it into an earlier, coalesced exchange on the keys."""
     if not keys:
-        return df
+        return df.repartition(1)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(2 * n + 1, *keys)
 
 
 def equi(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

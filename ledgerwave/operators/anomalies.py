@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
 from ..functions.ordering import (
-    attach, compact, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
+    attach, compact, quantiles, rank_rows, repeat_rows, step_lookup, value_band, with_stats,
 )
 from ..functions.text import fixed
+from .batches import key_fields, map_series
 
 METHODS = ("auto", "zscore", "iqr", "iforest", "contextual")
 DEFAULT_THRESHOLD = {"zscore": 3.0, "iqr": 1.5, "contextual": 2.5, "iforest": 0.05}
@@ -56,23 +57,21 @@ def _iqr(obs: DataFrame, keys: list[str], threshold: float, bounded: bool) -> Da
     return d.withColumn("score", (F.col("y") - F.col("mean")) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr))
 
 
-def _key_fields(df: DataFrame, keys: list[str]) -> str:
-    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-
-
 def _forest_bounded(obs: DataFrame, keys: list[str]) -> DataFrame:
     from .kernels import isolation_steps
 
     import numpy as np
 
-    def detect(pdf):
-        y = np.sort(pdf["y"].to_numpy())
-        edges, levels = isolation_steps(y)
-        score = levels[np.searchsorted(edges, pdf["y"].to_numpy(), side="left")]
-        return pdf.assign(score=score, cut=np.percentile(score, 95), mean=y.mean())
+    def detect(y, rows):
+        score = np.empty_like(y)
+        for i, values in enumerate(y):
+            edges, levels = isolation_steps(values)
+            score[i] = levels[np.searchsorted(edges, values, side="left")]
+        cut, mean = np.percentile(score, 95, axis=1), y.mean(axis=1)
+        n = y.shape[1]
+        return rows.assign(score=score.ravel(), cut=cut.repeat(n), mean=mean.repeat(n))
 
-    schema = f"{_key_fields(obs, keys)}ds date, y double, score double, cut double, mean double"
-    return obs.groupBy(*keys).applyInPandas(detect, schema)
+    return map_series(obs, keys, detect, "ds date, y double, score double, cut double, mean double")
 
 
 def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,7 +103,7 @@ def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
             out[k] = pdf[k].iloc[0]
         return out
 
-    schema = f"{_key_fields(obs, keys)}edge double, level double, base double"
+    schema = f"{key_fields(obs, keys)}edge double, level double, base double"
     steps = sample.groupBy(*keys).applyInPandas(build, schema)
     scored = step_lookup(rows, steps, keys).withColumnRenamed("level", "score")
     cut = quantiles(
@@ -133,7 +132,7 @@ def detect_anomalies(sf: SalesFrame, method: str = "auto", threshold: float | No
     elif method == "iqr":
         found = _table(_iqr(obs, keys, t, bounded), keys, method, t, mean_side)
     else:
-        d = _forest_bounded(spread(obs, keys), keys).where("score > cut") if bounded else _forest_split(obs, keys)
+        d = _forest_bounded(obs, keys).where("score > cut") if bounded else _forest_split(obs, keys)
         found = _table(d, keys, method, t, mean_side)
     series = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return AnomalyTable(found, method, t, series, tuple(keys))

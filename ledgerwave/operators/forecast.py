@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import Forecast, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import attach, bounded_groups, spread
+from ..functions.ordering import attach, bounded_groups
+from .batches import map_series
 from .trend import AGGREGATE_HINT, MAX_KERNEL_ROWS
 
 MIN_POINTS = 4
@@ -18,20 +19,18 @@ def _fitted(obs: DataFrame, keys: list[str], horizon: int, period: int) -> DataF
     from .kernels import fit_holt_winters, project
 
     import numpy as np
-    import pandas as pd
-
-    def fit(pdf):
-        pdf = pdf.sort_values(["ds", "y"], ignore_index=True)
-        y = pdf["y"].to_numpy()
-        m = period if period > 1 and len(y) >= 2 * period else 0
+    def fit(y, rows):
+        count, n = y.shape
+        m = period if period > 1 and n >= 2 * period else 0
         _, _, errors, state = fit_holt_winters(y, m)
-        out = pd.DataFrame({"step": np.arange(1, horizon + 1), "yhat": project(state, horizon, m)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out.assign(last_ds=pdf["ds"].iloc[-1], sd=errors.std(ddof=1))
+        ends = rows.iloc[n - 1 :: n].drop(columns="y").rename(columns={"ds": "last_ds"})
+        out = ends.loc[ends.index.repeat(horizon)].reset_index(drop=True)
+        return out.assign(
+            step=np.tile(np.arange(1, horizon + 1), count), yhat=project(state, horizon, m).ravel(),
+            sd=errors.std(axis=1, ddof=1).repeat(horizon),
+        )
 
-    fields = "".join(f"`{k}` {obs.schema[k].dataType.simpleString()}, " for k in keys)
-    return obs.groupBy(*keys).applyInPandas(fit, f"{fields}step int, yhat double, last_ds date, sd double")
+    return map_series(obs, keys, fit, "step int, yhat double, last_ds date, sd double", matrix_cells=8_000)
 
 
 def _fixed(obs: DataFrame, keys: list[str], horizon: int, alpha: float, beta: float) -> DataFrame:
@@ -83,7 +82,7 @@ def forecast(
     if smoothing:
         fit = _fixed(enough, keys, horizon, *smoothing)
     else:
-        fit = _fitted(spread(enough, keys), keys, horizon, cal.seasonal_period(sf.freq, default=1))
+        fit = _fitted(enough, keys, horizon, cal.seasonal_period(sf.freq, default=1))
     band = Z80 * F.col("sd")
     out = fit.select(
         *keys, "step",

@@ -1,10 +1,14 @@
-"""Per-series numpy kernels for what Spark has no expression for.
+"""Numpy kernels for what Spark has no expression for.
 
-Each works on one bounded series inside a task; Spark does the grouping.
+They take many series of one length at a time, as a matrix with a row per
+series, so that a task's time goes into array operations.  Spark does the
+grouping (see `batches.py`); each series is bounded by the calendar.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -15,208 +19,233 @@ def _odd(x: float) -> int:
     return n if n % 2 else n + 1
 
 
-def _local_lines(y, at, left, q, rho):
-    """Weighted local lines.  `y`, `rho` are (series, n); `at` are the m places
-    to evaluate, `left` the first of the neighbours of each.  → (series, m), with
-    NaN where all weights vanish."""
-    n = y.shape[1]
+@lru_cache(maxsize=64)
+def _neighbours(n: int, q: int):
+    """For the places -1 … n: index, signed distance and tricube weight of the
+    q nearest of n points."""
+    at = np.arange(-1, n + 1)
     take = min(q, n)
+    left = np.clip(at - (q + 1) // 2 + 1, 0, max(n - q, 0))
     idx = left[:, None] + np.arange(take)
-    dist = np.abs(idx - at[:, None]).astype(float)
+    dist = idx - at[:, None]
     h = np.maximum(at - left, left + take - 1 - at).astype(float)
     if q > n:
-        h = h + (q - n) // 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        u = dist / h[:, None]
-        tri = np.where(dist <= 0.001 * h[:, None], 1.0, (1 - u**3) ** 3)
-        tri = np.where(dist <= 0.999 * h[:, None], tri, 0.0)
-        w = tri[None] * rho[:, idx]
-        w = w / w.sum(axis=2, keepdims=True)
-        centre = (w * idx).sum(axis=2)
-        dev = idx[None] - centre[..., None]
-        spread = (w * dev**2).sum(axis=2)
-        slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / spread, 0.0)
-        return (w * (1 + slope[..., None] * dev) * y[:, idx]).sum(axis=2)
-
-
-def _loess(y, q, rho):
+        h += (q - n) // 2
+    u = np.abs(dist) / np.maximum(h, 1e-300)[:, None]
+    weight = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - np.minimum(u, 1) ** 3) ** 3, 0.0))
+    return idx, dist.astype(float), weight
+
+
+def _local_lines(y, rho, q):
+    """Robustly weighted local lines of every series at the places -1 … n."""
     n = y.shape[1]
-    at = np.arange(n)
-    left = np.clip(at - (q + 1) // 2 + 1, 0, max(n - q, 0))
-    fit = _local_lines(y, at, left, q, rho)
-    return np.where(np.isnan(fit), y, fit)
+    idx, dist, tri = _neighbours(n, q)
+    w = rho[:, idx] * tri
+    wy = w * y[:, idx]
+    s0, t0 = w.sum(axis=2), wy.sum(axis=2)
+    s1, s2 = np.einsum("smq,mq->sm", w, dist), np.einsum("smq,mq->sm", w, dist**2)
+    t1 = np.einsum("smq,mq->sm", wy, dist)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, centre = t0 / s0, s1 / s0
+        spread = s2 / s0 - centre**2
+        line = mean - centre * (t1 / s0 - centre * mean) / spread
+        fit = np.where(np.sqrt(np.maximum(spread, 0)) > 0.001 * (n - 1), line, mean)
+    inner = np.where(np.isnan(fit[:, 1:-1]), y, fit[:, 1:-1])
+    first = np.where(np.isnan(fit[:, :1]), inner[:, :1], fit[:, :1])
+    last = np.where(np.isnan(fit[:, -1:]), inner[:, -1:], fit[:, -1:])
+    return np.concatenate([first, inner, last], axis=1)
+
+
+def _loess(y, rho, q):
+    return _local_lines(y, rho, q)[:, 1:-1]
 
 
 def _seasonal_pass(y, rho, period, q):
     """Smooth every cycle-subseries and extend it one cycle at both ends."""
-    n = len(y)
-    out = np.empty(n + 2 * period)
+    count, n = y.shape
+    out = np.empty((count, n + 2 * period))
     cycles = np.array([(n - j - 1) // period + 1 for j in range(period)])
     for k in np.unique(cycles):
         phase = np.flatnonzero(cycles == k)
         at = phase[:, None] + period * np.arange(k)
-        sub, weight = y[at], rho[at]
-        mid = _loess(sub, q, weight)
-        near = np.array([0, max(0, k - q)])
-        ends = np.stack([
-            _local_lines(sub, np.array([-1]), near[:1], q, weight)[:, 0],
-            _local_lines(sub, np.array([k]), near[1:], q, weight)[:, 0],
-        ])
-        first = np.where(np.isnan(ends[0]), mid[:, 0], ends[0])
-        last = np.where(np.isnan(ends[1]), mid[:, -1], ends[1])
-        ext = np.column_stack([first, mid, last])
-        out[phase[:, None] + period * np.arange(k + 2)] = ext
+        ext = _local_lines(y[:, at].reshape(-1, k), rho[:, at].reshape(-1, k), q)
+        out[:, phase[:, None] + period * np.arange(k + 2)] = ext.reshape(count, len(phase), k + 2)
     return out
 
 
 def _mean(x, width):
-    c = np.concatenate([[0.0], np.cumsum(x)])
-    return (c[width:] - c[:-width]) / width
+    c = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
+    return (c[:, width:] - c[:, :-width]) / width
 
 
 def stl(y, period: int, seasonal: int = 7, inner: int = 2, outer: int = 15):
-    """Robust STL with degree-1 smoothers → (trend, seasonal)."""
-    y = np.asarray(y, float)
-    n = len(y)
+    """Robust STL with degree-1 smoothers of every row of y → (trend, seasonal)."""
+    y = np.atleast_2d(np.asarray(y, float))
+    n = y.shape[1]
     trend_q, low_q = _odd(1.5 * period / (1 - 1.5 / seasonal)), _odd(period + 1)
-    ones, rho = np.ones((1, n)), np.ones(n)
-    trend, season = np.zeros(n), np.zeros(n)
+    trend_out, season_out = np.empty_like(y), np.empty_like(y)
+    live = np.arange(len(y))  # rows that still gain from robust rounds
+    ones, rho = np.ones_like(y), np.ones_like(y)
+    trend = np.zeros_like(y)
     for round_ in range(outer + 1):
+        x = y[live]
         for _ in range(inner):
-            cycle = _seasonal_pass(y - trend, rho, period, seasonal)
+            cycle = _seasonal_pass(x - trend, rho, period, seasonal)
             low = _mean(_mean(_mean(cycle, period), period), 3)
-            season = cycle[period : period + n] - _loess(low[None], low_q, ones)[0]
-            trend = _loess((y - season)[None], trend_q, rho[None])[0]
-        r = np.abs(y - trend - season)
-        scale = 6 * np.median(r)
+            season = cycle[:, period : period + n] - _loess(low, ones[: len(x)], low_q)
+            trend = _loess(x - season, rho, trend_q)
+        trend_out[live], season_out[live] = trend, season
+        r = np.abs(x - trend - season)
+        scale = 6 * np.median(r, axis=1, keepdims=True)
         # A perfect fit (two cycles always give one) leaves only rounding noise to
         # weight by, which would make the result depend on the machine.
-        if round_ == outer or scale <= 1e-9 * np.abs(y).max():
+        more = scale[:, 0] > 1e-9 * np.abs(x).max(axis=1)
+        if round_ == outer or not more.any():
             break
-        u = r / scale
+        live, trend = live[more], trend[more]
+        u = r[more] / scale[more]
         rho = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
-    return trend, season
+    return trend_out, season_out
 
 
 # --- Holt-Winters, additive ---------------------------------------------------
 
-def smooth(y, start, alpha, beta, gamma, m):
-    """In-sample one-step errors for G parameter sets at once.
-
-    `start` is (G, 2+m): level, slope, one cycle of seasonals (m = 0: none).
-    → errors (G, n) and the final states (G, 2+m), next season first."""
-    level, slope = start[:, 0].copy(), start[:, 1].copy()
-    ring = start[:, 2:].copy()
-    err = np.empty((len(level), len(y)))
-    for t, value in enumerate(y):
-        s = ring[:, t % m] if m else 0.0
-        e = value - (level + slope + s)
-        err[:, t] = e
-        level = level + slope + alpha * e
-        slope = slope + alpha * beta * e
+def smooth(y, start, alpha, beta, gamma, m, keep=False):
+    """One-step errors of S series under G parameter sets each.
+
+    `y` is (S, n); `start` (S, G, 2+m): level, slope and one cycle of seasonals
+    (m = 0: none); the parameters broadcast to (S, G).
+    → (squared error sums (S, G), errors (S, G, n) or None, final states)."""
+    level, slope = start[..., 0].copy(), start[..., 1].copy()
+    ring = np.moveaxis(start[..., 2:], -1, 0).copy()
+    n = y.shape[1]
+    sse = np.zeros_like(level)
+    err = np.empty((*level.shape, n)) if keep else None
+    for t in range(n):
+        e = y[:, t, None] - level - slope
         if m:
-            ring[:, t % m] = s + gamma * e
-    if m:
-        ring = np.roll(ring, -(len(y) % m), axis=1)
-    return err, np.column_stack([level, slope, ring])
+            e -= ring[t % m]
+            ring[t % m] += gamma * e
+        level += slope + alpha * e
+        slope += alpha * beta * e
+        sse += e * e
+        if keep:
+            err[..., t] = e
+    ring = np.roll(ring, -(n % m), axis=0) if m else ring
+    last = np.concatenate([level[..., None], slope[..., None], np.moveaxis(ring, 0, -1)], axis=-1)
+    return sse, err, last
 
 
 def first_state(y, m):
-    """Start state from the first cycles."""
+    """Start states (S, 2+m) from the first cycles."""
     if not m:
-        k = min(len(y), 10)
-        slope, level = np.polyfit(np.arange(1, k + 1), y[:k], 1)
-        return np.array([level, slope])
-    cycles = min(len(y) // m, 5)
-    head = y[: cycles * m]
-    slope = (y[m : 2 * m] - y[:m]).mean() / m
-    line = head.mean() + slope * (np.arange(cycles * m) - (cycles * m - 1) / 2)
-    season = (head - line).reshape(cycles, m).mean(axis=0)
-    season = season - season.mean()
-    return np.concatenate([[line[0] - slope, slope], season])
+        k = min(y.shape[1], 10)
+        slope, level = np.polyfit(np.arange(1, k + 1), y[:, :k].T, 1)
+        return np.column_stack([level, slope])
+    cycles = min(y.shape[1] // m, 5)
+    head = y[:, : cycles * m]
+    slope = (y[:, m : 2 * m] - y[:, :m]).mean(axis=1) / m
+    line = head.mean(axis=1)[:, None] + slope[:, None] * (np.arange(cycles * m) - (cycles * m - 1) / 2)
+    season = (head - line).reshape(-1, cycles, m).mean(axis=1)
+    season -= season.mean(axis=1, keepdims=True)
+    return np.column_stack([line[:, 0] - slope, slope, season])
 
 
 def _best_start(y, params, guess, m):
-    """Least-squares start state for one parameter set: the errors are an affine
+    """Least-squares start states for given parameters: the errors are an affine
     function of the start state, so one extra run per state gives the optimum."""
-    k = len(guess)
-    runs = np.repeat(guess[None], k + 1, axis=0)
-    runs[1:] += np.eye(k)
-    a, b, g = (np.full(k + 1, p) for p in params)
-    err, _ = smooth(y, runs, a, b, g, m)
-    shift, *_ = np.linalg.lstsq((err[1:] - err[0]).T, -err[0], rcond=None)
-    return guess + shift
+    k = guess.shape[1]
+    runs = np.repeat(guess[:, None], k + 1, axis=1)
+    runs[:, 1:] += np.eye(k)
+    _, err, _ = smooth(y, runs, *(p[:, None] for p in params), m, keep=True)
+    slopes = np.swapaxes(err[:, 1:] - err[:, :1], 1, 2)
+    return guess - (np.linalg.pinv(slopes) @ err[:, 0, :, None])[..., 0]
 
 
 def fit_holt_winters(y, m: int, rounds: int = 6):
-    """Least-squares smoothing parameters and start state.
+    """Least-squares smoothing parameters and start states of every row of y.
 
-    A coarse grid, then shrinking grids around the best point, with the start
-    state re-estimated in every round.  → (params, start, errors, final state)."""
-    y = np.asarray(y, float)
+    A coarse grid, then shrinking grids around the best point of each series,
+    with the start state re-estimated in every round.
+    → (params (3, S), start, errors (S, n), final states)."""
+    y = np.atleast_2d(np.asarray(y, float))
+    count = len(y)
     start = first_state(y, m)
-    axis = np.array([0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99])
-    axes = [axis, axis, axis if m else np.zeros(1)]
-    best = None
-    width = 0.2
+    coarse = np.array([0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99])
+    fine = np.linspace(-1, 1, 5)
+    axes = [np.tile(coarse, (count, 1))] * (3 if m else 2) + ([] if m else [np.zeros((count, 1))])
+    best_sse = np.full(count, np.inf)
+    best = {"params": np.zeros((3, count)), "start": start, "err": np.zeros_like(y), "last": start}
+    width, rows = 0.2, np.arange(count)
     for _ in range(rounds):
-        grid = np.stack([a.ravel() for a in np.meshgrid(*axes, indexing="ij")])
-        err, _ = smooth(y, np.repeat(start[None], grid.shape[1], axis=0), *grid, m)
-        sse = np.where(np.isfinite(err).all(axis=1), (err**2).sum(axis=1), np.inf)
-        params = grid[:, int(np.argmin(sse))]
-        better = _best_start(y, params, start, m)
-        for candidate in (start, better):
-            e, last = smooth(y, candidate[None], *(p[None] for p in params), m)
-            total = float((e**2).sum())
-            if np.isfinite(total) and (best is None or total < best[0]):
-                best = (total, params, candidate, e[0], last[0])
-        _, params, start, _, _ = best
-        axes = [np.unique(np.clip(p + width * np.linspace(-1, 1, 5), 1e-4, 0.9999)) for p in params]
+        a, b, g = (x.reshape(count, -1) for x in np.broadcast_arrays(
+            axes[0][:, :, None, None], axes[1][:, None, :, None], axes[2][:, None, None, :]))
+        sse, _, _ = smooth(y, np.repeat(best["start"][:, None], a.shape[1], axis=1), a, b, g, m)
+        pick = np.where(np.isfinite(sse), sse, np.inf).argmin(axis=1)
+        params = np.stack([a[rows, pick], b[rows, pick], g[rows, pick]])
+        for guess in (best["start"], _best_start(y, params, best["start"], m)):
+            total, err, last = smooth(y, guess[:, None], *(p[:, None] for p in params), m, keep=True)
+            total = total[:, 0]
+            won = np.isfinite(total) & (total < best_sse)
+            best_sse = np.where(won, total, best_sse)
+            best["params"] = np.where(won, params, best["params"])
+            for name, new in (("start", guess), ("err", err[:, 0]), ("last", last[:, 0])):
+                best[name] = np.where(won[:, None], new, best[name])
+        axes = [np.clip(p[:, None] + width * fine, 1e-4, 0.9999) for p in best["params"]]
         if not m:
-            axes[2] = np.zeros(1)
+            axes[2] = np.zeros((count, 1))
         width /= 2.5
-    return best[1:]
+    return best["params"], best["start"], best["err"], best["last"]
 
 
 def project(state, horizon: int, m: int):
+    """(S, horizon) future values from final states (S, 2+m)."""
     steps = np.arange(1, horizon + 1)
-    line = state[0] + state[1] * steps
-    return line + state[2:][(steps - 1) % m] if m else line
+    line = state[:, :1] + state[:, 1:2] * steps
+    return line + state[:, 2:][:, (steps - 1) % m] if m else line
 
 
 # --- Isolation forest on the number line (Liu, Ting & Zhou 2008) --------------
 
 def expected_path(n):
     n = np.asarray(n, float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), (n == 2) * 1.0)
-
-
-def _tree(x, rng):
-    """Cut points of one tree and the path length of each interval between them."""
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    cuts, depths, todo = [], [], [(0, len(x), 0, None)]
-    while todo:  # in-order, so cuts and intervals come out sorted
-        lo, hi, depth, cut = todo.pop()
-        if cut is not None:
-            cuts.append(cut)
-        elif depth >= limit or hi - lo <= 1 or x[lo] == x[hi - 1]:
-            depths.append(depth + float(expected_path(hi - lo)))
-        else:
-            at = rng.uniform(x[lo], x[hi - 1])
-            mid = int(np.clip(lo + np.searchsorted(x[lo:hi], at, side="right"), lo + 1, hi - 1))
-            todo += [(mid, hi, depth + 1, None), (0, 0, 0, at), (lo, mid, depth + 1, None)]
-    return np.array(cuts), np.array(depths)
+    big = np.maximum(n, 3)
+    return np.where(n > 2, 2 * (np.log(big - 1) + np.euler_gamma) - 2 * (big - 1) / big, (n == 2) * 1.0)
 
 
 def isolation_steps(sample, seed: int = 42, trees: int = 100, size: int = 256):
     """Anomaly score as a step function of the value → (edges, levels): `levels[i]`
-    holds for edges[i-1] < value <= edges[i]."""
+    holds for edges[i-1] < value <= edges[i].
+
+    On the number line a node is a run of the sorted sample, so all trees grow
+    together, one level at a time."""
     rng = np.random.default_rng(seed)
     sample = np.asarray(sample, float)
     k = min(size, len(sample))
-    forest = [_tree(np.sort(rng.choice(sample, k, replace=False)), rng) for _ in range(trees)]
-    edges = np.unique(np.concatenate([c for c, _ in forest]))
-    probe = np.concatenate([edges, [np.inf]])
-    total = sum(d[np.searchsorted(c, probe, side="left")] for c, d in forest)
+    if k < len(sample):
+        x = np.sort([rng.choice(sample, k, replace=False) for _ in range(trees)], axis=1)
+    else:
+        x = np.tile(np.sort(sample), (trees, 1))
+    tree, lo, hi = np.arange(trees), np.zeros(trees, int), np.full(trees, k)
+    cut_at = np.zeros((trees, k + 1))
+    leaf_depth = np.full((trees, k), np.nan)  # by first sample of the leaf
+    limit = int(np.ceil(np.log2(max(k, 2))))
+    for depth in range(limit + 1):
+        small, large = x[tree, lo], x[tree, hi - 1]
+        split = (small < large) & (depth < limit)
+        leaf_depth[tree[~split], lo[~split]] = depth + expected_path((hi - lo)[~split])
+        tree, lo, hi, small, large = (v[split] for v in (tree, lo, hi, small, large))
+        at = rng.uniform(small, large)
+        below = (x[tree] <= at[:, None]).sum(axis=1) if len(tree) else np.zeros(0, int)
+        mid = np.clip(below, lo + 1, hi - 1)
+        cut_at[tree, mid] = at
+        tree, lo, hi = np.concatenate([tree, tree]), np.concatenate([lo, mid]), np.concatenate([mid, hi])
+    which, first = np.nonzero(~np.isnan(leaf_depth))
+    depths = leaf_depth[which, first]
+    inner = first > 0
+    change = np.diff(depths, prepend=0.0)[inner]
+    order = np.argsort(cut_at[which[inner], first[inner]], kind="stable")
+    edges, starts = np.unique(cut_at[which[inner], first[inner]][order], return_index=True)
+    total = depths[~inner].sum() + np.concatenate([[0.0], np.cumsum(np.add.reduceat(change[order], starts)) if len(starts) else []])
     scale = float(expected_path(k)) or 1.0
     return edges, 2.0 ** (-(total / trees) / scale)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import Decomposition, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import bounded_groups, positions, sliding_mean, spread, with_stats
+from ..functions.ordering import bounded_groups, positions, sliding_mean, with_stats
+from .batches import map_series
 
 # longest series one kernel call may gather, when the calendar is no bound
-MAX_KERNEL_ROWS = 1_000_000
+MAX_KERNEL_ROWS = 200_000
 AGGREGATE_HINT = "aggregate it to one row per period first (to_series)"
 
 
@@ -29,14 +30,13 @@ def stl_components(obs: DataFrame, keys: list[str], period: int) -> DataFrame:
     """Robust STL of every series.  Parallel over series; a series is one task."""
     from .kernels import stl
 
-    def decompose(pdf):
-        pdf = pdf.sort_values(["ds", "y"], ignore_index=True)
-        trend, seasonal = stl(pdf["y"].to_numpy(), period)
-        return pdf.assign(trend=trend, seasonal=seasonal, residual=pdf["y"] - trend - seasonal)
+    def decompose(y, rows):
+        trend, seasonal = stl(y, period)
+        return rows.assign(
+            trend=trend.ravel(), seasonal=seasonal.ravel(), residual=(y - trend - seasonal).ravel()
+        )
 
-    fields = ", ".join(f"`{k}` {obs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{fields + ', ' if keys else ''}ds date, y double, trend double, seasonal double, residual double"
-    return obs.select(*keys, "ds", "y").groupBy(*keys).applyInPandas(decompose, schema)
+    return map_series(obs, keys, decompose, "ds date, y double, trend double, seasonal double, residual double")
 
 
 def decompose_trend(sf: SalesFrame, period: int | str = "auto") -> Decomposition:
@@ -48,7 +48,7 @@ def decompose_trend(sf: SalesFrame, period: int | str = "auto") -> Decomposition
     if p <= 1:
         placed = positions(obs, keys, bounded)
         return Decomposition(centred_mean(placed, keys, width, bounded), p, tuple(keys))
-    sized = with_stats(spread(obs, keys) if bounded else obs, keys, [], {"n": F.count(F.lit(1))}, bounded)
+    sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, bounded)
     # fewer than 2·p rows, so the window below is bounded by the period
     short = sized.where(F.col("n") < 2 * p)
     placed = positions(short, keys, True)

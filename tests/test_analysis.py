@@ -108,7 +108,9 @@ def test_stl_kernel_matches_a_pointwise_one(n, p):
     y[n // 2] += 60
     # two cycles are fitted exactly: no residual is left for robust rounds
     got, want = kernels.stl(y, p), plain_stl(y, p, outer=0 if n == 2 * p else 15)
-    assert np.allclose(got[0], want[0], atol=1e-8) and np.allclose(got[1], want[1], atol=1e-8)
+    assert np.allclose(got[0][0], want[0], atol=1e-8) and np.allclose(got[1][0], want[1], atol=1e-8)
+    both = kernels.stl(np.stack([y[::-1], y]), p)  # series of a batch do not touch each other
+    assert np.allclose(both[0][1], want[0], atol=1e-8)
 
 
 def test_stl_recovers_planted_parts(frame):
@@ -291,27 +293,45 @@ def test_forecast_sizes(frame):
 def test_holt_winters_beats_the_coarse_grid():
     t = np.arange(48)
     y = 500 + 4 * t + 30 * np.sin(2 * np.pi * t / 12) + np.random.default_rng(2).normal(0, 5, 48)
-    params, start, errors, state = kernels.fit_holt_winters(y, 12)
+    _, _, errors, state = kernels.fit_holt_winters(np.stack([y[::-1], y]), 12)
     axis = np.array([0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99])
-    grid = np.stack([a.ravel() for a in np.meshgrid(axis, axis, axis)])
-    err, _ = kernels.smooth(y, np.repeat(kernels.first_state(y, 12)[None], 343, axis=0), *grid, 12)
-    assert (errors**2).sum() <= (err**2).sum(axis=1).min() + 1e-9
+    a, b, g = (v.ravel()[None] for v in np.meshgrid(axis, axis, axis))
+    start = np.repeat(kernels.first_state(y[None], 12)[:, None], 343, axis=1)
+    sse, _, _ = kernels.smooth(y[None], start, a, b, g, 12)
+    assert (errors[1] ** 2).sum() <= sse.min() + 1e-9
     future = 500 + 4 * np.arange(48, 60) + 30 * np.sin(2 * np.pi * np.arange(48, 60) / 12)
-    assert np.abs(kernels.project(state, 12, 12) - future).max() < 25
+    assert np.abs(kernels.project(state, 12, 12)[1] - future).max() < 25
 
 
 def test_smooth_follows_the_recursion():
-    y, m = np.array([3.0, 5, 4, 8, 7, 9, 12, 10]), 4
+    y, m = np.array([3.0, 5, 4, 8, 7, 9, 12, 10, 11]), 4
     a, b, g = 0.4, 0.2, 0.3
     start = np.array([2.0, 0.5, 0.1, -0.2, 0.3, -0.2])
-    err, last = kernels.smooth(y, start[None], np.array([a]), np.array([b]), np.array([g]), m)
+    par = [np.array([[v]]) for v in (a, b, g)]
+    sse, err, last = kernels.smooth(y[None], start[None, None], *par, m, keep=True)
     lvl, slp, s, want = 2.0, 0.5, list(start[2:]), []
     for t, v in enumerate(y):
         want.append(v - (lvl + slp + s[t]))
         new = a * (v - s[t]) + (1 - a) * (lvl + slp)
         s.append(g * (v - lvl - slp) + (1 - g) * s[t])
         lvl, slp = new, b * (new - lvl) + (1 - b) * slp
-    assert np.allclose(err[0], want) and np.allclose(last[0], [lvl, slp, *s[-4:]])
+    assert np.allclose(err[0, 0], want) and np.allclose(sse, np.sum(np.square(want)))
+    assert np.allclose(last[0, 0], [lvl, slp, *s[-4:]])
+
+
+def test_isolation_steps_match_a_recursive_tree():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, 60), 1)  # with ties
+    edges, levels = kernels.isolation_steps(x)
+    assert len(levels) == len(edges) + 1 and np.all(np.diff(edges) > 0)
+    assert levels.min() > 0 and levels.max() < 1
+    far = levels[np.searchsorted(edges, [x.min(), 0.0, x.max()], side="left")]
+    assert far[0] > far[1] < far[2]
+    # one tree of depth 6 on 60 points: all paths lie between 1 and the limit + its leaf term
+    _, one = kernels.isolation_steps(x, trees=1)
+    paths = -np.log2(one) * kernels.expected_path(60)
+    assert paths.min() >= 1 and paths.max() <= 6 + kernels.expected_path(60)
+    assert kernels.isolation_steps(np.ones(9))[0].size == 0
 
 
 def test_many_series_and_rejects(frame):
