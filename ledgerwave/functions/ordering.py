@@ -107,9 +107,7 @@ def positions(df: DataFrame, keys: list[str], calendar_bounded: bool, expand: bo
     )
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], probs: list[float], calendar_bounded: bool, weight: str | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bounded: bool) -> DataFrame:
     """Exact linear-interpolated quantiles of `y` per key as columns q0, q1, …
 
     Short series use the built-in exact aggregate.  Otherwise only the value
@@ -119,15 +117,15 @@ def quantiles(
         return df.groupBy(*keys).agg(q.alias("__q")).select(
             *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
         )
-    w = F.col(weight) if weight else F.lit(1)
     counts = (
-        df.groupBy(*keys, "y").agg(F.sum(w).alias("n"))
+        df.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("__band", value_band(F.col("y"), 4096))
     )
     bands = counts.groupBy(*keys, "__band").agg(F.sum("n").alias("size"))
     cum = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = bands.withColumn("before", F.sum("size").over(cum) - F.col("size"))
-    bands = attach(bands, df.groupBy(*keys).agg(F.sum(w).alias("total")), keys, ["total"])
+    bands = bands.withColumn("before", F.sum("size").over(cum) - F.col("size")).withColumn(
+        "total", F.sum("size").over(Window.partitionBy(*keys))
+    )
 
     def rank(p: float, up: bool) -> Column:
         r = (F.col("total") - 1) * F.lit(p)
@@ -187,8 +185,8 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
 
     Rows meet only the steps of their own value band; what enters a band from
     below is carried over a table with one row per band."""
-    r = rows.withColumn("__band", value_band(F.col("y"), 512))
-    s = steps.withColumn("__band", value_band(F.col("edge"), 512))
+    r = rows.withColumn("__band", value_band(F.col("y"), 4096))
+    s = steps.withColumn("__band", value_band(F.col("edge"), 4096))
     bands = (
         r.select(*keys, "__band").distinct().withColumn("__last", F.lit(None).cast("double"))
         .unionByName(s.groupBy(*keys, "__band").agg(F.max_by("level", "edge").alias("__last")))
@@ -210,17 +208,43 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def sliding_mean(df: DataFrame, keys: list[str], before: int, after: int, out: str, block: int = 100_000) -> DataFrame:
-    """Mean of `y` over rows pos-before … pos+after.  Positions are cut into
-    blocks and rows near an edge are copied into the next block, so a long series
-    is spread over many tasks."""
+def into_blocks(df: DataFrame, before: int, after: int = 0, block: int = 100_000) -> DataFrame:
+    """Cut positioned rows into blocks (`__block`) of one position range each and
+    copy the rows that a frame of `before`/`after` rows reaches into from the
+    neighbouring blocks (`__home` is false for copies)."""
     home = F.floor(F.col("pos") / block)
     homes = F.array_distinct(F.array(
-        F.floor((F.col("pos") - after) / block), home, F.floor((F.col("pos") + before) / block)))
+        home, F.floor((F.col("pos") - after) / block), F.floor((F.col("pos") + before) / block)))
+    return df.withColumn("__block", F.explode(homes)).withColumn("__home", F.col("__block") == home)
+
+
+def sliding_mean(df: DataFrame, keys: list[str], before: int, after: int, out: str, block: int = 100_000) -> DataFrame:
+    """Mean of `y` over rows pos-before … pos+after, a long series spread over
+    many tasks."""
     w = Window.partitionBy(*keys, "__block").orderBy("pos").rowsBetween(-before, after)
-    return (
-        df.withColumn("__block", F.explode(homes))
-        .withColumn(out, F.avg("y").over(w))
-        .where(F.col("__block") == home)
-        .drop("__block")
-    )
+    d = into_blocks(df, before, after, block).withColumn(out, F.avg("y").over(w))
+    return d.where("__home").drop("__block", "__home")
+
+
+def previous_value(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """`col` of the row before (by pos), for rows cut into `__block`s: inside a
+    block by window, across blocks from a table with one row per block."""
+    last = df.groupBy(*keys, "__block").agg(F.max_by(col, "pos").alias("__last"))
+    over_blocks = Window.partitionBy(*keys).orderBy("__block")
+    carry = last.select(*keys, "__block", F.lag("__last").over(over_blocks).alias("__carry"))
+    inside = F.lag(col).over(Window.partitionBy(*keys, "__block").orderBy("pos"))
+    d = df.withColumn("__inside", inside)
+    return equi(d, carry, [*keys, "__block"]).withColumn(out, F.coalesce("__inside", "__carry")).drop("__inside", "__carry")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once what several branches of a plan read.  The files go to the
+    shared folder the cluster names; only a session without one (tests) gets a
+    folder of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerwave-"))
+    return df.checkpoint()

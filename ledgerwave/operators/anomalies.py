@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
 from ..functions.ordering import (
-    attach, compact, quantiles, rank_rows, repeat_rows, step_lookup, value_band, with_stats,
+    attach, compact, materialise, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
 )
 from ..functions.text import fixed
 from .batches import key_fields, map_series
@@ -104,11 +104,10 @@ def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     schema = f"{key_fields(obs, keys)}edge double, level double, base double"
-    steps = sample.groupBy(*keys).applyInPandas(build, schema)
+    steps = materialise(spread(sample, keys).groupBy(*keys).applyInPandas(build, schema))
     scored = step_lookup(rows, steps, keys).withColumnRenamed("level", "score")
-    cut = quantiles(
-        scored.select(*keys, F.col("score").alias("y"), "n"), keys, [0.95], False, weight="n"
-    ).withColumnRenamed("q0", "cut")
+    # a forest has at most as many distinct scores as steps, so this map is small
+    cut = scored.groupBy(*keys).agg(F.percentile("score", F.lit(0.95), F.col("n")).alias("cut"))
     means = obs.groupBy(*keys).agg(F.avg("y").alias("mean"))
     flagged = attach(attach(scored, cut, keys, ["cut"]), means, keys, ["mean"]).where("score > cut")
     return repeat_rows(flagged, "n", "__i")

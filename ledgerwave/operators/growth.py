@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core import GrowthMetrics, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import equi, positions, rank_rows
-
-_BLOCK = 100_000
+from ..functions.ordering import into_blocks, positions, previous_value
 
 
 def relative_change(y: Column, prev: Column) -> Column:
@@ -48,19 +46,13 @@ def growth_metrics(sf: SalesFrame, window: int = 4) -> GrowthMetrics:
             *keys, "ds", "growth", F.coalesce(F.col("growth") * prev < 0, F.lit(False)).alias("is_inflection")
         )
     else:
-        # Long series: lags are equi-joins on the row position, which spread one
-        # key over all tasks, instead of one sorted window per key.
-        pos = positions(obs, keys, False)
-        base = pos.select(*keys, (F.col("pos") + window).alias("pos"), F.col("y").alias("base"))
-        g = (
-            equi(pos, base, [*keys, "pos"])
-            .withColumn("growth", relative_change(y, F.col("base")))
-            .where("growth IS NOT NULL")
-            .select(*keys, "ds", "growth", "pos", F.floor(F.col("pos") / _BLOCK).alias("__block"))
-        )
-        g = rank_rows(g, keys, ["__block"], ["pos"], out="k")
-        prev = g.select(*keys, (F.col("k") + 1).alias("k"), F.col("growth").alias("prev"))
-        rolling = equi(g, prev, [*keys, "k"], "left").select(
+        # Long series: cut by position into blocks that overlap by `window` rows,
+        # so one key is spread over many tasks.
+        d = into_blocks(positions(obs, keys, False), window)
+        w = Window.partitionBy(*keys, "__block").orderBy("pos")
+        d = d.withColumn("growth", relative_change(y, F.lag("y", window).over(w)))
+        d = d.where("__home AND growth IS NOT NULL").select(*keys, "ds", "growth", "pos", "__block")
+        rolling = previous_value(d, keys, "growth", "prev").select(
             *keys, "ds", "growth",
             F.coalesce(F.col("growth") * F.col("prev") < 0, F.lit(False)).alias("is_inflection"),
         )

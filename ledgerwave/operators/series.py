@@ -171,6 +171,7 @@ def load_sales(
     max_fill: int = 3,
     strict_gaps: bool = False,
     validate: bool = True,
+    date_format: str | None = None,
 ) -> SalesFrame:
     """Read a table (path or DataFrame) and regularise it.  A `segment_col` that
     the data does not have is ignored."""
@@ -178,7 +179,7 @@ def load_sales(
     keys = list(keys)
     segment = segment_col if segment_col and segment_col in table.columns else None
     group = [*keys, *([segment] if segment else [])]
-    rows = typed_rows(table, date_col, value_col, group, validate)
+    rows = typed_rows(table, date_col, value_col, group, validate, date_format)
     resolved = resolve_freq(rows, freq)
     regular = regularise(rows, resolved, group, max_fill, strict_gaps)
     if validate and not keys:

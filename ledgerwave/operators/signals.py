@@ -7,6 +7,7 @@ any number of tasks, and a lost task reproduces its rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -60,11 +61,17 @@ def signal_types(types: list[str] | None = None, delta_from: str | None = None)
     return [t for t in chosen if delta_from is None or t in ADDED_LATER]
 
 
+@lru_cache(maxsize=None)
+def _grid(start: str, n: int, freq: str):
+    import pandas as pd
+
+    return pd.date_range(start, periods=n, freq=freq).to_numpy()
+
+
 def _rows(signal: Signal, seed: int):
     """(dates, values, segments, index of the planted row) of one dataset.  The
     order of the random draws is part of the definition."""
     import numpy as np
-    import pandas as pd
 
     rng = np.random.default_rng(seed)
     planted = None
@@ -100,23 +107,24 @@ def _rows(signal: Signal, seed: int):
     if signal.floor is not None:
         y = np.maximum(y, signal.floor)
     start = MONTHLY_START if signal.freq == "MS" else WEEKLY_START
-    dates = pd.date_range(start, periods=n, freq=signal.freq)
+    dates = _grid(start, n, signal.freq)
     return np.tile(dates, len(y) // n), y, segments, planted
 
 
 def _cohort_rows(rng):
     """Four quarterly cohorts; each later one is shorter and decays faster."""
     import numpy as np
-    import pandas as pd
 
-    dates, values, segments = [], [], []
+    dates, values, segments, sizes = [], [], [], []
     for i, name in enumerate(COHORTS):
         for month in range(8 - i):
             size = max(1, int(100 * (0.75 - 0.05 * i) ** month + rng.normal(0, 5)))
             values.append(np.round(rng.uniform(50, 200, size), 2))
-            dates += [pd.Timestamp(2022, 1, 1) + pd.DateOffset(months=3 * i + month)] * size
-            segments += [name] * size
-    return np.array(dates, dtype="datetime64[ns]"), np.concatenate(values), segments, None
+            dates.append(np.datetime64("2022-01") + 3 * i + month)
+            segments.append(name)
+            sizes.append(size)
+    days = np.array(dates, dtype="datetime64[ns]").repeat(sizes)
+    return days, np.concatenate(values), np.array(segments, object).repeat(sizes), None
 
 
 def datasets(plan: DataFrame) -> DataFrame:
@@ -128,11 +136,16 @@ def datasets(plan: DataFrame) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            for name, seed in zip(batch["signal_type"], batch["seed"]):
-                dates, y, segments, planted = _rows(SIGNALS[name], int(seed))
+            for at in range(0, len(batch), 200):
+                names, seeds = batch["signal_type"].iloc[at : at + 200], batch["seed"].iloc[at : at + 200]
+                sets = [_rows(SIGNALS[name], int(seed)) for name, seed in zip(names, seeds)]
+                sizes = [len(y) for _, y, _, _ in sets]
+                planted = [np.arange(len(y)) == (-1 if p is None else p) for _, y, _, p in sets]
+                none = [np.full(len(y), None) if seg is None else np.asarray(seg, object) for _, y, seg, _ in sets]
                 yield pd.DataFrame({
-                    "signal_type": name, "seed": seed, "ds": pd.Series(dates).dt.date, "y": y,
-                    "segment": segments, "is_planted": np.arange(len(y)) == (-1 if planted is None else planted),
+                    "signal_type": names.repeat(sizes).to_numpy(), "seed": seeds.repeat(sizes).to_numpy(),
+                    "ds": np.concatenate([d for d, _, _, _ in sets]), "y": np.concatenate([y for _, y, _, _ in sets]),
+                    "segment": np.concatenate(none), "is_planted": np.concatenate(planted),
                 })
 
     planned = plan.select("signal_type", F.col("seed").cast("bigint").alias("seed"))
@@ -142,7 +155,8 @@ def datasets(plan: DataFrame) -> DataFrame:
 def plan(seeds: DataFrame, types: list[str] | None = None) -> DataFrame:
     """`(signal_type, seed)` for every seed and type."""
     names = F.array(*[F.lit(t) for t in signal_types(types)])
-    return seeds.select(F.explode(names).alias("signal_type"), F.col("seed").cast("bigint").alias("seed"))
+    distinct = seeds.select(F.col("seed").cast("bigint").alias("seed")).distinct()
+    return distinct.select(F.explode(names).alias("signal_type"), "seed")
 
 
 def frame(seeds: DataFrame, types: list[str]) -> SalesFrame:

@@ -25,10 +25,18 @@ def require_columns(df: DataFrame, date_col: str, value_col: str) -> None:
             raise ValueError(f"{role} '{name}' not found in columns: {df.columns}")
 
 
-def _parsed_date(df: DataFrame, name: str) -> Column:
+# Date spellings that are tried in this order when no format is given.
+DATE_FORMATS = ("yyyy/M/d", "M/d/yyyy", "yyyyMMdd", "d-MMM-yyyy", "MMM d, yyyy")
+
+
+def _parsed_date(df: DataFrame, name: str, date_format: str | None) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return F.try_to_timestamp(F.col(name)).cast("date")
+        raw = F.trim(F.col(name))
+        if date_format:
+            return F.try_to_timestamp(raw, F.lit(date_format)).cast("date")
+        tries = [F.try_to_timestamp(raw, F.lit(f)) for f in DATE_FORMATS]
+        return F.coalesce(F.try_to_timestamp(raw), *tries).cast("date")
     return F.col(name).cast("date")
 
 
@@ -43,7 +51,8 @@ def _missing_text(raw: Column) -> Column:
 
 
 def typed_rows(
-    df: DataFrame, date_col: str, value_col: str, others: list[str] = (), validate: bool = True
+    df: DataFrame, date_col: str, value_col: str, others: list[str] = (), validate: bool = True,
+    date_format: str | None = None,
 ) -> DataFrame:
     """`(others…, ds, y)` with parsed types; NaN and blank values become NULL.
 
@@ -51,7 +60,7 @@ def typed_rows(
     raises before anything else runs.  `validate=False` saves that pass: an
     unreadable cell then fails the job that meets it."""
     require_columns(df, date_col, value_col)
-    ds, y = _parsed_date(df, date_col), _parsed_value(df, value_col)
+    ds, y = _parsed_date(df, date_col, date_format), _parsed_value(df, value_col)
 
     text = T.StringType
     date_is_text = isinstance(df.schema[date_col].dataType, text)

@@ -64,6 +64,13 @@ def test_short_series_and_bad_input_raise(spark, tmp_path):
         load_sales(write_csv(tmp_path, "e.csv", "date,amount", [("soon", 1)] * 5))
 
 
+def test_date_spellings(spark, tmp_path):
+    for i, (fmt, given) in enumerate([("%m/%d/%Y", None), ("%Y%m%d", None), ("%d.%m.%Y", "dd.MM.yyyy"), ("%Y-%m-%d 10:30:00", None)]):
+        data = [(d.strftime(fmt), 1.0) for d in mondays(5)]
+        sf = load_sales(write_csv(tmp_path, f"f{i}.csv", "date,amount", data), date_format=given)
+        assert sf.freq == "W-MON" and sf.df.agg({"ds": "max"}).first()[0] == mondays(5)[-1]
+
+
 def test_lazy_validation_fails_in_the_job(spark, tmp_path):
     words = write_csv(tmp_path, "b.csv", "date,amount", [(d, "abc") for d in mondays(5)])
     sf = load_sales(words, freq="W-MON", validate=False)
