@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 NO_FINDINGS = "No notable findings."
 
@@ -78,10 +78,19 @@ class GrowthMetrics:
 
 @dataclass(frozen=True)
 class SegmentRanking:
-    summary: DataFrame  # keys…, segment, cagr, latest_value, trend_direction, rank
+    summary: DataFrame  # keys…, segment, cagr, latest_value, trend_direction
     ranked_by: str
     keys: tuple[str, ...] = ()
 
+    @property
+    def order(self) -> Column:
+        """Sort key, best first: descending metric, missing last, then name."""
+        metric = F.col(self.ranked_by)
+        return F.struct(metric.isNull(), -metric, F.col("segment"))
+
+    def sorted(self) -> DataFrame:
+        return self.summary.orderBy(*self.keys, self.order)
+
 
 @dataclass(frozen=True)
 class Forecast:

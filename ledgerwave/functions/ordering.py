@@ -15,6 +15,8 @@ task (a lost executor) always produces the same positions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CHUNK = 100_000
@@ -37,6 +39,10 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(2 * n + 1, *keys)
 
 
+def _present(*cols: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
 def equi(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     return left.join(right, on=on, how=how)
 
@@ -63,6 +69,9 @@ def rank_rows(
 
     With `weight`, a row stands for `weight` equal rows and `out` is the
     position of the first of them."""
+    # the join below would add these filters to one branch only, and the branches
+    # could no longer share their input
+    df = df.where(_present(*keys, *block))
     w = F.col(weight) if weight else F.lit(1)
     sizes = df.groupBy(*keys, *block).agg(F.sum(w).alias("__size"))
     over_blocks = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,24 +117,28 @@ def positions(df: DataFrame, keys: list[str], calendar_bounded: bool, expand: bo
 
 
 def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bounded: bool) -> DataFrame:
-    """Exact linear-interpolated quantiles of `y` per key as columns q0, q1, …
+    """Exact linear-interpolated quantiles of `y` per key as columns q0, q1, …,
+    and its `mean`.
 
     Short series use the built-in exact aggregate.  Otherwise only the value
     bands that hold a wanted rank are sorted."""
     if calendar_bounded:
         q = F.percentile("y", F.array(*[F.lit(p) for p in probs]))
-        return df.groupBy(*keys).agg(q.alias("__q")).select(
-            *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
+        return df.groupBy(*keys).agg(q.alias("__q"), F.avg("y").alias("mean")).select(
+            *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))], "mean"
         )
     counts = (
         df.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("__band", value_band(F.col("y"), 4096))
+        .where(_present(*keys, "__band"))
+    )
+    bands = counts.groupBy(*keys, "__band").agg(
+        F.sum("n").alias("size"), F.sum(F.col("y") * F.col("n")).alias("sum_y")
     )
-    bands = counts.groupBy(*keys, "__band").agg(F.sum("n").alias("size"))
     cum = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)
     bands = bands.withColumn("before", F.sum("size").over(cum) - F.col("size")).withColumn(
         "total", F.sum("size").over(Window.partitionBy(*keys))
-    )
+    ).withColumn("mean", F.sum("sum_y").over(Window.partitionBy(*keys)) / F.col("total"))
 
     def rank(p: float, up: bool) -> Column:
         r = (F.col("total") - 1) * F.lit(p)
@@ -139,7 +152,7 @@ def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bound
     for p, up in wanted:
         c = inside(rank(p, up), F.col("before"), F.col("size"))
         hit = c if hit is None else hit | c
-    needed = bands.where(hit).select(*keys, "__band", "before", "total")
+    needed = bands.where(hit).select(*keys, "__band", "before", "total", "mean")
     in_band = Window.partitionBy(*keys, "__band").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
     rows = equi(counts, needed, [*keys, "__band"]).withColumn(
         "start", F.col("before") + F.coalesce(F.sum("n").over(in_band), F.lit(0))
@@ -148,13 +161,13 @@ def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bound
         F.max(F.when(inside(rank(p, up), F.col("start"), F.col("n")), F.col("y"))).alias(f"__{i}")
         for i, (p, up) in enumerate(wanted)
     ]
-    got = rows.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+    got = rows.groupBy(*keys).agg(F.max("total").alias("total"), F.max("mean").alias("mean"), *picks)
     out = []
     for i, p in enumerate(probs):
         lo, hi = F.col(f"__{2 * i}"), F.col(f"__{2 * i + 1}")
         share = (F.col("total") - 1) * F.lit(p) - F.floor((F.col("total") - 1) * F.lit(p))
         out.append((lo + (hi - lo) * share).alias(f"q{i}"))
-    return got.select(*keys, *out)
+    return got.select(*keys, *out, "mean")
 
 
 def bounded_groups(df: DataFrame, keys: list[str], limit: int, hint: str) -> DataFrame:
@@ -208,7 +221,7 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def into_blocks(df: DataFrame, before: int, after: int = 0, block: int = 100_000) -> DataFrame:
+def into_blocks(df: DataFrame, before: int, after: int = 0, block: int = 50_000) -> DataFrame:
     """Cut positioned rows into blocks (`__block`) of one position range each and
     copy the rows that a frame of `before`/`after` rows reaches into from the
     neighbouring blocks (`__home` is false for copies)."""
@@ -218,7 +231,7 @@ def into_blocks(df: DataFrame, before: int, after: int = 0, block: int = 100_000
     return df.withColumn("__block", F.explode(homes)).withColumn("__home", F.col("__block") == home)
 
 
-def sliding_mean(df: DataFrame, keys: list[str], before: int, after: int, out: str, block: int = 100_000) -> DataFrame:
+def sliding_mean(df: DataFrame, keys: list[str], before: int, after: int, out: str, block: int = 50_000) -> DataFrame:
     """Mean of `y` over rows pos-before … pos+after, a long series spread over
     many tasks."""
     w = Window.partitionBy(*keys, "__block").orderBy("pos").rowsBetween(-before, after)
@@ -229,7 +242,11 @@ def sliding_mean(df: DataFrame, keys: list[str], before: int, after: int, out: s
 def previous_value(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """`col` of the row before (by pos), for rows cut into `__block`s: inside a
     block by window, across blocks from a table with one row per block."""
-    last = df.groupBy(*keys, "__block").agg(F.max_by(col, "pos").alias("__last"))
+    # same filter and same columns on both branches, so that they share their input
+    df = df.where(_present(*keys, "__block"))
+    row = F.max_by(F.struct(*df.columns), "pos")
+    last = df.groupBy(*keys, "__block").agg(row.alias("__row")).select(
+        *keys, "__block", F.col("__row")[col].alias("__last"))
     over_blocks = Window.partitionBy(*keys).orderBy("__block")
     carry = last.select(*keys, "__block", F.lag("__last").over(over_blocks).alias("__carry"))
     inside = F.lag(col).over(Window.partitionBy(*keys, "__block").orderBy("pos"))

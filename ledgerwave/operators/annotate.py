@@ -12,10 +12,11 @@ def _by_date(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
 
 
 def plot_annotated(
-    sf: SalesFrame, anomalies: AnomalyTable | None = None, trend: Decomposition | None = None
+    sf: SalesFrame, anomalies: AnomalyTable | None = None, trend: Decomposition | None = None,
+    title: str | None = None,
 ) -> DataFrame:
-    """`(keys…, ds, y, is_gap, trend, is_anomaly, label)`; every row of the series
-    stays.  Joins are on keys and date, so a long series is spread by date."""
+    """`(keys…, ds, y, is_gap, trend, is_anomaly, label)`, and a caption column
+    `title` if one is given; every row of the series stays.  Joins are on keys and date, so a long series is spread by date."""
     keys = list(sf.keys)
     on = [*keys, "ds"]
     out = sf.df.select(*keys, *([sf.segment_col] if sf.segment_col else []), "ds", "y", "is_gap")
@@ -31,4 +32,5 @@ def plot_annotated(
     else:
         out = out.withColumn("label", F.lit(None).cast("string"))
     first = [*keys, *([sf.segment_col] if sf.segment_col else []), "ds", "y", "is_gap", "trend"]
-    return out.select(*first, F.col("label").isNotNull().alias("is_anomaly"), "label")
+    caption = [F.lit(title).alias("title")] if title else []
+    return out.select(*first, F.col("label").isNotNull().alias("is_anomaly"), "label", *caption)

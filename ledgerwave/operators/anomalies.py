@@ -49,8 +49,7 @@ def _iqr(obs: DataFrame, keys: list[str], threshold: float, bounded: bool) -> Da
         q1, q3 = F.col("q")[0], F.col("q")[1]
     else:
         cuts = quantiles(obs, keys, [0.25, 0.75], False)
-        means = obs.groupBy(*keys).agg(F.avg("y").alias("mean"))
-        d = attach(attach(obs, cuts, keys, ["q0", "q1"]), means, keys, ["mean"])
+        d = attach(obs, cuts, keys, ["q0", "q1", "mean"])
         q1, q3 = F.col("q0"), F.col("q1")
     iqr = q3 - q1
     d = d.where((F.col("y") < q1 - threshold * iqr) | (F.col("y") > q3 + threshold * iqr))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import CohortTable, SalesFrame
+from ..functions.ordering import attach
 
 
 def typical_gap(dates: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> Coh
     Rows are counted (filler rows too), as the default; `count="distinct"`
     counts members instead."""
     if cohort_col not in sf.df.columns:
-        raise ValueError(f"cohort_col '{cohort_col}' not found. Available columns: {sf.df.columns}")
+        raise ValueError(f"no cohort_col '{cohort_col}' among {sf.df.columns}")
     if count not in ("rows", "distinct"):
         raise ValueError(f"count must be 'rows' or 'distinct', not {count!r}")
     keys = [k for k in sf.keys if k != cohort_col]
@@ -33,8 +34,6 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> Coh
     )
     first = F.min("ds").over(Window.partitionBy(*keys, cohort_col))
     started = member_days.withColumn("cohort_start", first)
-    from ..functions.ordering import attach
-
     with_gap = attach(started, typical_gap(sf.df.dropna(subset=["ds"]), keys), keys, ["gap"])
     offset = F.expr("datediff(ds, cohort_start) div gap").alias("period_offset")
     cells = with_gap.select(*keys, cohort_col, "cohort_start", offset, "rows")
@@ -48,13 +47,14 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> Coh
 
 def _zero_filled(active: DataFrame, keys: list[str]) -> DataFrame:
     """All offsets for all cohorts.  Both sides are bounded by the calendar."""
-    offsets = active.groupBy(*keys).agg(F.sort_array(F.collect_set("period_offset")).alias("offsets"))
+    # `active` is never 0; naming it gives both branches the same columns, so that
+    # they share one exchange and the cells are counted once
+    present = F.when(F.col("active") > 0, F.col("period_offset"))
+    offsets = active.groupBy(*keys).agg(F.sort_array(F.collect_set(present)).alias("offsets"))
     # one row per cohort with its own cells as a map, spread over all offsets
     per_cohort = active.groupBy(*keys, "cohort_start").agg(
         F.map_from_entries(F.collect_list(F.struct("period_offset", "active"))).alias("cells")
     )
-    from ..functions.ordering import attach
-
     zero = F.lit(0).cast("bigint")
     full = attach(per_cohort, offsets, keys, ["offsets"]).select(
         *keys, "cohort_start", F.explode("offsets").alias("period_offset"), "cells"

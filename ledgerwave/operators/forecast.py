@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import Forecast, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import attach, bounded_groups
+from ..functions.ordering import bounded_groups, with_stats
 from .batches import map_series
 from .trend import AGGREGATE_HINT, MAX_KERNEL_ROWS
 
@@ -71,12 +71,15 @@ def forecast(
     keys = list(sf.keys)
     obs = sf.observed()
     if not keys and obs.limit(MIN_POINTS).count() < MIN_POINTS:
-        raise ValueError(f"Need at least {MIN_POINTS} observations to forecast, got {obs.count()}.")
+        raise ValueError(f"A forecast takes at least {MIN_POINTS} values, the series has {obs.count()}.")
     sizes = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rejected = sizes.where(F.col("n") < MIN_POINTS).withColumn(
         "reason", F.concat(F.lit(f"needs at least {MIN_POINTS} observations, got "), F.col("n").cast("string"))
     )
-    enough = attach(obs, sizes, keys, ["n"]).where(F.col("n") >= MIN_POINTS).drop("n") if keys else obs
+    enough = obs
+    if keys:
+        sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, sf.calendar_bounded)
+        enough = sized.where(F.col("n") >= MIN_POINTS).drop("n")
     if not sf.calendar_bounded:
         enough = bounded_groups(enough, keys, MAX_KERNEL_ROWS, AGGREGATE_HINT)
     if smoothing:

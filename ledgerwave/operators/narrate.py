@@ -71,7 +71,7 @@ def narrate_segments(sr: SegmentRanking) -> DataFrame:
     keys = list(sr.keys)
     row = F.struct("segment", "cagr", "trend_direction")
     ends = sr.summary.groupBy(*keys).agg(
-        F.min_by(row, "rank").alias("top"), F.max_by(row, "rank").alias("bottom")
+        F.min_by(row, sr.order).alias("top"), F.max_by(row, sr.order).alias("bottom")
     )
 
     def describe(c: str) -> Column:

@@ -172,7 +172,8 @@ def _flags(op: str, seeds: DataFrame, types: list[str], strict: bool) -> DataFra
     if op.startswith("anomaly_"):
         return _anomaly_flags(sf, seeds, types, op.removeprefix("anomaly_"), strict)
     if op == "segments":
-        last = compare_segments(sf).summary.groupBy(*keys).agg(F.max_by("segment", "rank").alias("bottom"))
+        sr = compare_segments(sf)
+        last = sr.summary.groupBy(*keys).agg(F.max_by("segment", sr.order).alias("bottom"))
         return last.select(*keys, (F.upper("bottom") == "C").alias("detected"))
     if op == "forecast":
         # one fit serves every horizon

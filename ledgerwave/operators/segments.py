@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..core import SalesFrame, SegmentRanking
 from ..functions import calendar as cal
-from ..functions.ordering import attach, positions
-from .growth import compound_growth, first_and_last
+from ..functions.ordering import attach, materialise, positions, rank_rows, value_band, with_stats
+from .growth import compound_growth
 
 FLAT_BAND = 0.01  # slope within ±1 % of the mean counts as flat
 
@@ -15,9 +15,9 @@ FLAT_BAND = 0.01  # slope within ±1 % of the mean counts as flat
 def compare_segments(sf: SalesFrame, by: str | None = None, ranked_by: str = "cagr") -> SegmentRanking:
     seg = by or sf.segment_col
     if not seg:
-        raise ValueError("No segment column available. Pass by='column' or load data with segment_col.")
+        raise ValueError("compare_segments needs a segment column: name it in `by` or load with `segment_col`")
     if seg not in sf.df.columns:
-        raise ValueError(f"Segment column '{seg}' not found in {sf.df.columns}.")
+        raise ValueError(f"no column '{seg}' to compare, only {sf.df.columns}")
     if ranked_by not in ("cagr", "latest_value"):
         raise ValueError(f"ranked_by must be 'cagr' or 'latest_value', not {ranked_by!r}")
     keys = list(sf.keys)
@@ -25,44 +25,60 @@ def compare_segments(sf: SalesFrame, by: str | None = None, ranked_by: str = "ca
     bounded = sf.one_row_per_date and set(group) >= set(sf.group_keys)
     obs = sf.df.where("y IS NOT NULL").dropna(subset=[seg]).select(*group, "ds", "y")
 
-    ends = first_and_last(obs, group).where("n >= 2")
-    # slope over the second half only; the aggregate combines map-side
     placed = positions(obs, group, bounded)
+    size = {"n": F.count(F.lit(1))}
     if bounded:
-        placed = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        placed = with_stats(placed, group, [], size, True)
     else:
-        placed = attach(placed, ends, group, ["n"])
-    half = placed.where("pos >= n div 2").groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_half"),
-        F.regr_slope("y", "pos").alias("slope"),
-        F.avg("y").alias("mean"),
-    )
-    limit = F.col("mean") * FLAT_BAND
-    per_segment = ends.join(half, group).select(
-        *[k for k in keys if k != seg],
+        placed = attach(placed, obs.groupBy(*group).agg(size["n"].alias("n")), group, ["n"])
+    # everything about a segment in one map-side combined aggregate; the slope
+    # sees the second half only
+    order = F.struct("ds", "y")
+    late = F.col("pos") >= F.expr("n div 2")
+    s = placed.groupBy(*group).agg(
+        F.min_by("y", order).alias("first_y"), F.max_by("y", order).alias("last_y"), F.count("y").alias("n"),
+        F.count_if(late).alias("n_late"), F.avg(F.when(late, F.col("y"))).alias("mean"),
+        F.regr_slope(F.when(late, F.col("y")), F.when(late, F.col("pos"))).alias("slope"),
+    ).where("n >= 2")
+    limit, two = F.col("mean") * FLAT_BAND, F.col("n_late") >= 2
+    keys = [k for k in keys if k != seg]
+    summary = s.select(
+        *keys,
         F.col(seg).alias("segment"),
         compound_growth(
             F.col("first_y"), F.col("last_y"), F.col("n"), cal.periods_per_year(sf.freq), 0.0
         ).alias("cagr"),
         F.col("last_y").alias("latest_value"),
-        F.when((F.col("n_half") >= 2) & (F.col("slope") > limit), F.lit("up"))
-        .when((F.col("n_half") >= 2) & (F.col("slope") < -limit), F.lit("down"))
+        F.when(two & (F.col("slope") > limit), F.lit("up"))
+        .when(two & (F.col("slope") < -limit), F.lit("down"))
         .otherwise(F.lit("flat")).alias("trend_direction"),
     )
-    keys = [k for k in keys if k != seg]
-    # One row per segment; rank by value bands so that a series with very many
-    # segments is not sorted in one task.
-    return SegmentRanking(_ranked(per_segment, keys, ranked_by), ranked_by, tuple(keys))
+    return SegmentRanking(summary, ranked_by, tuple(keys))
 
 
-def _ranked(per_segment, keys, ranked_by):
-    from ..functions.ordering import rank_rows, value_band
+def ranked(sr: SegmentRanking) -> DataFrame:
+    """The summary with a 1-based `rank` column.
 
-    # Negated and with missing values last, so that ascending order is the ranking.
-    down = F.coalesce(-F.col(ranked_by), F.lit(float("inf")))
-    band = F.when(F.col(ranked_by).isNull() | (F.abs(ranked_by) == float("inf")),
-                  F.when(F.col(ranked_by) == float("inf"), F.lit(-(1 << 40))).otherwise(F.lit(1 << 40)))
-    d = per_segment.withColumn("__down", down).withColumn(
-        "__band", band.otherwise(value_band(-F.col(ranked_by), 64)))
-    return rank_rows(d, keys, ["__band"], ["__down", "segment"], out="rank").withColumn(
-        "rank", F.col("rank") + 1).drop("__down", "__band")
+    There may be very many segments, also with one and the same metric.  So the
+    distinct metric values are ranked by value band, and names are ranked inside
+    one value by a coarse part of the name.  The summary, one row per segment, is
+    computed once."""
+    keys, metric = list(sr.keys), F.col(sr.ranked_by)
+    far = 1 << 40
+    band = (
+        F.when(metric.isNull(), F.lit(far + 1))
+        .when(F.abs(metric) == float("inf"), F.when(metric > 0, F.lit(-far)).otherwise(F.lit(far)))
+        .otherwise(value_band(-metric, 64))
+    )
+    name = F.substring(F.col("segment").cast("string"), 1, 3)
+    if isinstance(sr.summary.schema["segment"].dataType, T.NumericType):
+        name = value_band(F.col("segment").cast("double"), 64)
+    down = F.coalesce(-metric, F.lit(0.0))
+    d = materialise(sr.summary.withColumns({"__band": band, "__down": down, "__name": name}))
+    level = [*keys, "__band", "__down"]
+    levels = d.groupBy(*level).agg(F.count(F.lit(1)).alias("n"))
+    levels = rank_rows(levels, keys, ["__band"], ["__down"], weight="n", out="__first").drop("n")
+    within = rank_rows(d, level, ["__name"], ["segment"], out="__within")
+    return within.join(levels, level).select(
+        *sr.summary.columns, (F.col("__first") + F.col("__within") + 1).alias("rank")
+    )

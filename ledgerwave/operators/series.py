@@ -157,7 +157,7 @@ def _require_min_rows(rows: DataFrame, regular: DataFrame) -> None:
         n = regular.limit(MIN_PERIODS).count()
         if n < MIN_PERIODS:
             raise ValueError(
-                f"Series has fewer than {MIN_PERIODS} periods after regularisation ({n}). Provide more data."
+                f"Only {n} row(s) on the calendar: fewer than {MIN_PERIODS} periods cannot be analysed."
             )
 
 

@@ -11,7 +11,7 @@ from ..operators.cohort import cohort_analysis, retention_matrix
 from ..operators.forecast import forecast
 from ..operators.growth import growth_metrics
 from ..operators.narrate import narrate
-from ..operators.segments import compare_segments
+from ..operators.segments import compare_segments, ranked
 from ..operators.series import to_series
 from ..operators.trend import decompose_trend
 from ..sources.tables import typed_rows
@@ -271,7 +271,7 @@ SELECT segment, round(cagr, 4) AS cagr, round(latest_value, 2) AS latest_value,
 
 
 def _ranking(sr):
-    return sr.summary.withColumns({"cagr": F.round("cagr", 4), "latest_value": F.round("latest_value", 2)})
+    return ranked(sr).withColumns({"cagr": F.round("cagr", 4), "latest_value": F.round("latest_value", 2)})
 
 
 @query(f"WITH {MONTHLY}, {_RANK.format(seg='o_orderpriority', src='f', ppy='12.0', by='cagr')}")
@@ -317,6 +317,16 @@ def forecast_hw(spark, folder):
     return d.select("o_orderpriority", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
 
 
+# The dates of a forecast, and that its band encloses it.
+@query(f"""WITH {sql.prepared('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey'], 'MS')},
+e AS (SELECT l_suppkey, max(ds) AS last_ds FROM f WHERE y IS NOT NULL GROUP BY 1)
+SELECT l_suppkey, CAST(i AS INTEGER) AS step, CAST(last_ds + to_months(CAST(i AS INTEGER)) AS DATE) AS ds, true AS inside FROM e, range(1, 4) t(i)""")
+def forecast_dates(spark, folder):
+    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
+    inside = (F.col("lower") < F.col("yhat")) & (F.col("yhat") < F.col("upper"))
+    return forecast(sf, 3).forecast.select("l_suppkey", "step", "ds", inside.alias("inside"))
+
+
 @query()
 def forecast_many_series(spark, folder):
     sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")

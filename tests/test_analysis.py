@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import ledgerwave as lw
 from ledgerwave.operators import kernels
+from ledgerwave.operators.segments import ranked
 
 
 # --- growth -------------------------------------------------------------------
@@ -215,11 +216,11 @@ def three_segments(start=date(2022, 1, 3)):
 @pytest.mark.parametrize("unique", [True, False])
 def test_ranking(frame, unique):
     sr = lw.compare_segments(frame(three_segments(), "W-MON", "product", unique))
-    got = sr.summary.orderBy("rank").collect()
+    got = ranked(sr).orderBy("rank").collect()
     assert [r.segment for r in got] == ["A", "B", "C"] and [r["rank"] for r in got] == [1, 2, 3]
     assert got[0].trend_direction in ("up", "flat") and max(abs(r.cagr) for r in got) < 3
     latest = lw.compare_segments(frame(three_segments(), "W-MON", "product", unique), ranked_by="latest_value")
-    values = [r.latest_value for r in latest.summary.orderBy("rank").collect()]
+    values = [r.latest_value for r in latest.sorted().collect()]
     assert values == sorted(values, reverse=True)
 
 
@@ -234,15 +235,27 @@ def test_ranking_does_not_depend_on_the_anchor(frame, offset):
 def test_small_and_undefined_segments(frame):
     d = mondays(6)
     data = [(d[0], 5.0, "one")] + [(x, 0.0, "zero") for x in d] + [(x, 1.0 + i, "up") for i, x in enumerate(d)]
-    got = lw.compare_segments(frame(data, "W-MON", "s")).summary.orderBy("rank").collect()
+    got = lw.compare_segments(frame(data, "W-MON", "s")).sorted().collect()
     assert [(r.segment, r.trend_direction) for r in got] == [("up", "up"), ("zero", "flat")] and got[1].cagr is None
 
 
+def test_rank_with_many_equal_and_missing_metrics(spark):
+    from ledgerwave.core import SegmentRanking
+
+    cagr = [None, 0.5, 0.5, -0.1, float("inf"), 0.5, None, float("-inf"), 0.0] * 4
+    rows_ = [(f"s{i:02d}", c) for i, c in enumerate(cagr)]
+    sr = SegmentRanking(spark.createDataFrame(rows_, "segment string, cagr double"), "cagr")
+    want = sorted(rows_, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = ranked(sr).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 37)) and [r.segment for r in got] == [w[0] for w in want]
+    assert [r.segment for r in sr.sorted().collect()] == [w[0] for w in want]
+
+
 def test_segment_errors(frame):
     sf = frame([(d, 1.0) for d in mondays(5)], "W-MON")
-    with pytest.raises(ValueError, match="No segment column"):
+    with pytest.raises(ValueError, match="needs a segment column"):
         lw.compare_segments(sf)
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no column 'nope'"):
         lw.compare_segments(sf, by="nope")
 
 
@@ -381,5 +394,6 @@ def test_annotated_series_keeps_every_row(frame):
     sf = frame([*spiky(), (date(2024, 1, 1), None)], "W-MON")
     got = lw.plot_annotated(sf, lw.detect_anomalies(sf, "zscore"), lw.decompose_trend(sf)).toPandas()
     assert len(got) == 105 and got.is_anomaly.sum() == 1 and got.trend.isna().sum() == 1
-    plain = lw.plot_annotated(sf).toPandas()
+    plain = lw.plot_annotated(sf, title="Sales").toPandas()
+    assert (plain.title == "Sales").all()
     assert plain.trend.isna().all() and not plain.is_anomaly.any()
