@@ -82,55 +82,39 @@ def regularise(
         F.count_if(F.isnull("y")).alias("n_null"),
         F.max("y").alias("last_y"),  # rows of one date are ordered by value, NULL first
     )
-    by_date = Window.partitionBy(*keys).orderBy("ds")
-    upto_prev = by_date.rowsBetween(Window.unboundedPreceding, -1)
-    upto_here = by_date.rowsBetween(Window.unboundedPreceding, 0)
-
-    nxt = F.lead("ds").over(by_date)
     has_val = F.col("n_val") > 0
-    new_dates = F.coalesce(
-        cal.grid(F.date_add("ds", 1), F.date_sub("__next", 1), freq), F.array().cast("array<date>")
+    by_date = Window.partitionBy(*keys).orderBy("ds")
+    earlier = by_date.rowsBetween(Window.unboundedPreceding, -1)
+    d = daily.select(
+        "*",
+        F.lag("ds").over(by_date).alias("prev_ds"),
+        F.last(F.when(has_val, F.col("last_y")), ignorenulls=True).over(earlier).alias("prev_y"),
+        # dates after one date with a value, up to and with the next one
+        F.count(F.when(has_val, 1)).over(earlier).alias("island"),
     )
-    d = daily.withColumn("__next", nxt).withColumn("new_dates", new_dates)
-    # missing rows before this date, counted over observed NULLs and new dates
+    none = F.array().cast("array<date>")
     d = d.withColumn(
-        "before",
-        F.coalesce(F.sum(F.col("n_null") + F.size("new_dates")).over(upto_prev), F.lit(0)),
-    )
-    at_value = F.when(has_val, F.col("before") + F.col("n_null"))
-    d = d.withColumn("run_start", F.last(at_value, ignorenulls=True).over(upto_prev)).withColumn(
-        "prev_y", F.last(F.when(has_val, F.col("last_y")), ignorenulls=True).over(upto_prev)
+        "new_dates", F.coalesce(cal.grid(F.date_add("prev_ds", 1), F.date_sub("ds", 1), freq), none)
     )
-    d = d.withColumn("run_start_after", F.last(at_value, ignorenulls=True).over(upto_here)).withColumn(
-        "after_y", F.last(F.when(has_val, F.col("last_y")), ignorenulls=True).over(upto_here)
-    )
-    ok = ok_after = F.lit(True)
+    # In an island all missing rows precede the value: new dates, then NULL rows of
+    # a date (rows of one date are ordered by value, NULL first).
+    missing = F.col("n_null") + F.size("new_dates")
+    island = Window.partitionBy(*keys, "island")
+    before = F.sum(missing).over(island.orderBy("ds").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("before", F.coalesce(before, F.lit(0)))
+    fillable = F.col("prev_y").isNotNull()
     if strict_gaps:
-        down = Window.partitionBy(*keys).orderBy(F.desc("ds"))
-        end_here = F.coalesce(
-            F.last(at_value, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)),
-            F.lit(1 << 40),
-        )
-        end_next = F.coalesce(
-            F.last(at_value, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(1 << 40),
-        )
-        d = d.withColumn("ok", end_here - F.col("run_start") <= max_fill).withColumn(
-            "ok_after", end_next - F.col("run_start_after") <= max_fill
-        )
-        ok, ok_after = F.coalesce("ok", F.lit(False)), F.coalesce("ok_after", F.lit(False))
+        d = d.withColumn("gap", F.sum(missing).over(island))
+        fillable = fillable & (F.col("gap") <= max_fill)
 
-    # rank inside the run of missing rows, from 1
-    null_rank0 = F.col("before") - F.coalesce("run_start", F.lit(0))
-    new_rank0 = F.col("before") + F.col("n_null") - F.coalesce("run_start_after", F.lit(0))
     new_rows = F.transform(
         "new_dates",
         lambda x, i: F.struct(
-            x.alias("ds"), F.when(ok_after & (new_rank0 + i + 1 <= max_fill), F.col("after_y")).alias("y")
+            x.alias("ds"), F.when(fillable & (F.col("before") + i < max_fill), F.col("prev_y")).alias("y")
         ),
     )
-    filled = F.when(ok & F.col("prev_y").isNotNull(), F.greatest(
-        F.lit(0), F.least(F.col("n_null"), F.lit(max_fill) - null_rank0))).otherwise(F.lit(0))
+    room = F.lit(max_fill) - F.col("before") - F.size("new_dates")
+    filled = F.when(fillable, F.greatest(F.lit(0), F.least(F.col("n_null"), room))).otherwise(F.lit(0))
 
     if one_row_per_date:
         own = F.struct(
