@@ -35,8 +35,10 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     planner does not fold it into an earlier, coalesced exchange on the keys."""
     if not keys:
         return df.repartition(1)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(2 * n + 1, *keys)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(2 * n, 4 * spark.sparkContext.defaultParallelism) + 1
+    return df.repartition(tasks + (tasks == n), *keys)
 
 
 def _present(*cols: str) -> Column:

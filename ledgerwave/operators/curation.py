@@ -29,17 +29,25 @@ def replay_sample(pairs: DataFrame, per_type: int = 30, seed: int = 42, type_col
     """Exactly min(per_type, size) verified rows of every type, by seeded hash.
 
     Small samples: `row_number <= n` is limited per task before the shuffle.
-    Large ones: each type is first cut to its n best inside hash-salted parts, so
-    a type that holds a third of the rows is not sorted in one task."""
+    Large ones: counts per hash prefix tell which prefixes are wholly in the sample
+    and which one is cut, so rows outside never reach a shuffle and only rows of one
+    prefix are sorted together, whatever share of the table a type holds."""
     d = verified_only(pairs).withColumn("__k", seeded_key(F.col(id_col), seed))
-
-    def best(df: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("__k", id_col)
-        return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_type).drop("__r")
-
-    if per_type > _LOCAL_TOP:
-        d = best(d.withColumn("__salt", F.substring("__k", 1, 2)), type_col, "__salt").drop("__salt")
-    return best(d, type_col).drop("__k")
+    if per_type <= _LOCAL_TOP:
+        w = Window.partitionBy(type_col).orderBy("__k", id_col)
+        return d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_type).drop("__r", "__k")
+    d = d.withColumn("__p", F.substring("__k", 1, 5))
+    sizes = d.groupBy(F.col(type_col).alias("__type"), "__p").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__type").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    last = sizes.where(F.col("before") < per_type).groupBy("__type").agg(
+        F.max("__p").alias("__cut"), (F.lit(per_type) - F.max("before")).alias("__room")
+    )
+    kept = d.join(last, F.col(type_col).eqNullSafe(F.col("__type")) & (F.col("__p") <= F.col("__cut")))
+    w = Window.partitionBy(type_col, "__p").orderBy("__k", id_col)
+    kept = kept.withColumn("__r", F.row_number().over(w))
+    kept = kept.where((F.col("__p") < F.col("__cut")) | (F.col("__r") <= F.col("__room")))
+    return kept.select(*pairs.columns)
 
 
 def mix(delta: DataFrame, replay: DataFrame) -> DataFrame:

@@ -194,6 +194,18 @@ def replay_sample_large(spark, folder):
     return cur.replay_sample(documents(spark, folder), 2000, 42).select("id", "signal_type", "text")
 
 
+# Every order counts here, so that a sample of 1,001 cuts into the hash prefixes.
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS signal_type, o_totalprice AS y,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '5'), o_orderkey) AS k FROM orders)
+SELECT id, signal_type, y FROM r WHERE k <= 1001""")
+def replay_sample_orders(spark, folder):
+    d = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("signal_type"), F.col("o_totalprice").alias("y"),
+        F.lit(True).alias("verified"),
+    )
+    return cur.replay_sample(d, 1001, 5).select("id", "signal_type", "y")
+
+
 @query(f"""WITH {_DOC_PAIRS}, r AS (SELECT doc_id AS id, lang, {_TYPE_SQL} AS signal_type,
   row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '42'), doc_id) AS k FROM d WHERE verified),
 m AS (SELECT id, signal_type FROM r WHERE k <= 20 AND lang IN ('en', 'es') UNION ALL SELECT id, signal_type FROM r WHERE lang IN ('fr', 'de'))

@@ -108,7 +108,7 @@ def test_replay_sample_is_exact_and_seeded(spark, monkeypatch):
     ids = {r.id for r in first.collect()}
     assert ids == {r.id for r in cur.replay_sample(d.repartition(5), 7, 42).collect()}
     assert ids != {r.id for r in cur.replay_sample(d, 7, 43).collect()}
-    monkeypatch.setattr(cur, "_LOCAL_TOP", 3)  # the salted way gives the same rows
+    monkeypatch.setattr(cur, "_LOCAL_TOP", 3)  # the way of large samples gives the same rows
     assert ids == {r.id for r in cur.replay_sample(d, 7, 42).collect()}
 
 
@@ -201,5 +201,5 @@ def test_pair_files(spark, seeds, tmp_path):
     assert sorted(records.read_pairs(spark, path).collect()) == sorted(pairs.collect())
     other = tmp_path / "x.jsonl"
     other.write_text('{"question": "Q?", "lib": "2.0.0", "dataset_seed": 3}\n\n{"question": "R?", "lib": "2.0.0"}\n')
-    got = records.read_pairs(spark, str(other), version_field="lib").where("question IS NOT NULL").collect()
+    got = records.read_pairs(spark, str(other), version_field="lib").collect()
     assert [(r.question, r.library_version) for r in got] == [("Q?", "2.0.0"), ("R?", "2.0.0")]
