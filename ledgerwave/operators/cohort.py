@@ -47,22 +47,20 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> Coh
 
 def _zero_filled(active: DataFrame, keys: list[str]) -> DataFrame:
     """All offsets for all cohorts.  Both sides are bounded by the calendar."""
-    # `active` is never 0; naming it gives both branches the same columns, so that
-    # they share one exchange and the cells are counted once
+    # `active` is never 0; naming it gives both branches the same columns, so that they
+    # share one exchange and the cells are counted once
     present = F.when(F.col("active") > 0, F.col("period_offset"))
     offsets = active.groupBy(*keys).agg(F.sort_array(F.collect_set(present)).alias("offsets"))
-    # one row per cohort with its own cells as a map, spread over all offsets
-    per_cohort = active.groupBy(*keys, "cohort_start").agg(
-        F.map_from_entries(F.collect_list(F.struct("period_offset", "active"))).alias("cells")
+    sizes = active.groupBy(*keys, "cohort_start").agg(
+        F.sum(F.when(F.col("period_offset") == 0, F.col("active")).otherwise(F.lit(0))).alias("cohort_size")
     )
-    zero = F.lit(0).cast("bigint")
-    full = attach(per_cohort, offsets, keys, ["offsets"]).select(
-        *keys, "cohort_start", F.explode("offsets").alias("period_offset"), "cells"
+    grid = attach(sizes, offsets, keys, ["offsets"]).select(
+        *keys, "cohort_start", F.explode("offsets").alias("period_offset"),
+        F.lit(0).cast("bigint").alias("active"), "cohort_size",
     )
-    full = full.select(
-        *keys, "cohort_start", "period_offset",
-        F.coalesce(F.try_element_at("cells", "period_offset"), zero).alias("active"),
-        F.coalesce(F.try_element_at("cells", F.lit(0).cast("bigint")), zero).alias("cohort_size"),
+    cells = active.withColumn("cohort_size", F.lit(None).cast("bigint")).unionByName(grid)
+    full = cells.groupBy(*keys, "cohort_start", "period_offset").agg(
+        F.sum("active").alias("active"), F.max("cohort_size").alias("cohort_size")
     )
     rate = F.when(F.col("cohort_size") > 0, F.col("active") / F.col("cohort_size"))
     return full.withColumn("retention", F.least(F.lit(1.0), F.coalesce(rate, F.lit(0.0))))
