@@ -41,7 +41,7 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(tasks + (tasks == n), *keys)
 
 
-def _present(*cols: str) -> Column:
+def present(*cols: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
 
 
@@ -73,7 +73,7 @@ def rank_rows(
     position of the first of them."""
     # the join below would add these filters to one branch only, and the branches
     # could no longer share their input
-    df = df.where(_present(*keys, *block))
+    df = df.where(present(*keys, *block))
     w = F.col(weight) if weight else F.lit(1)
     sizes = df.groupBy(*keys, *block).agg(F.sum(w).alias("__size"))
     over_blocks = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +132,7 @@ def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bound
     counts = (
         df.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("__band", value_band(F.col("y"), 4096))
-        .where(_present(*keys, "__band"))
+        .where(present(*keys, "__band"))
     )
     bands = counts.groupBy(*keys, "__band").agg(
         F.sum("n").alias("size"), F.sum(F.col("y") * F.col("n")).alias("sum_y")
@@ -196,14 +196,17 @@ def with_stats(df: DataFrame, keys: list[str], by: list[str], stats: dict[str, C
 
 def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """Value of a per-key step function at `y`: the `level` of the last step with
-    `edge < y`, or `base` below the first.  `steps` is `(keys…, edge, level, base)`.
+    `edge < y`, or `base` below the first.  `steps` is `(keys…, edge, level, base)`;
+    a row has a multiplicity `n`.
 
     Rows meet only the steps of their own value band; what enters a band from
     below is carried over a table with one row per band."""
-    r = rows.withColumn("__band", value_band(F.col("y"), 4096))
+    r = rows.withColumn("__band", value_band(F.col("y"), 4096)).where(present(*keys, "__band"))
     s = steps.withColumn("__band", value_band(F.col("edge"), 4096))
     bands = (
-        r.select(*keys, "__band").distinct().withColumn("__last", F.lit(None).cast("double"))
+        # `n` is counted so that this branch reads what the rows' branch reads
+        r.groupBy(*keys, "__band").agg(F.sum("n").alias("n")).where("n > 0")
+        .select(*keys, "__band", F.lit(None).cast("double").alias("__last"))
         .unionByName(s.groupBy(*keys, "__band").agg(F.max_by("level", "edge").alias("__last")))
         .groupBy(*keys, "__band").agg(F.max("__last").alias("__last"))
     )
@@ -245,7 +248,7 @@ def previous_value(df: DataFrame, keys: list[str], col: str, out: str) -> DataFr
     """`col` of the row before (by pos), for rows cut into `__block`s: inside a
     block by window, across blocks from a table with one row per block."""
     # same filter and same columns on both branches, so that they share their input
-    df = df.where(_present(*keys, "__block"))
+    df = df.where(present(*keys, "__block"))
     row = F.max_by(F.struct(*df.columns), "pos")
     last = df.groupBy(*keys, "__block").agg(row.alias("__row")).select(
         *keys, "__block", F.col("__row")[col].alias("__last"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
 from ..functions.ordering import (
-    attach, compact, materialise, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
+    attach, compact, materialise, present, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
 )
 from ..functions.text import fixed
 from .batches import key_fields, map_series
@@ -82,15 +82,19 @@ def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
 
     rows = compact(obs, keys)
     values = rows.groupBy(*keys, "y").agg(F.sum("n").alias("n")).withColumn("__band", value_band(F.col("y"), 4096))
+    values = values.where(present(*keys, "__band"))
     ranked = rank_rows(values, keys, ["__band"], ["y"], weight="n")
-    ranked = attach(ranked, rows.groupBy(*keys).agg(F.sum("n").alias("total")), keys, ["total"])
+    totals = values.groupBy(*keys).agg(
+        F.sum("n").alias("total"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean")
+    )
+    ranked = attach(ranked, totals, keys, ["total", "mean"])
     size = F.least(F.col("total"), F.lit(FOREST_SAMPLE))
 
     def picked_before(pos: Column) -> Column:  # sampled ranks among the first `pos`
         return F.ceil(pos * size / F.col("total") - 1e-9)
 
     ranked = ranked.withColumn("take", picked_before(F.col("pos") + F.col("n")) - picked_before(F.col("pos")))
-    sample = repeat_rows(ranked, "take", "__i").select(*keys, "y")
+    sample = repeat_rows(ranked, "take", "__i").select(*keys, "y", "mean")
 
     def build(pdf):
         values = pdf["y"].sort_values().to_numpy()
@@ -98,16 +102,16 @@ def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
         out = pd.DataFrame({"edge": edges, "level": levels[1:], "base": levels[0]})
         if not len(edges):
             out = pd.DataFrame({"edge": [values[0]], "level": levels, "base": levels})
-        for k in keys:
+        for k in [*keys, "mean"]:
             out[k] = pdf[k].iloc[0]
         return out
 
-    schema = f"{key_fields(obs, keys)}edge double, level double, base double"
+    schema = f"{key_fields(obs, keys)}edge double, level double, base double, mean double"
     steps = materialise(spread(sample, keys).groupBy(*keys).applyInPandas(build, schema))
     scored = step_lookup(rows, steps, keys).withColumnRenamed("level", "score")
     # a forest has at most as many distinct scores as steps, so this map is small
     cut = scored.groupBy(*keys).agg(F.percentile("score", F.lit(0.95), F.col("n")).alias("cut"))
-    means = obs.groupBy(*keys).agg(F.avg("y").alias("mean"))
+    means = steps.groupBy(*keys).agg(F.first("mean").alias("mean"))
     flagged = attach(attach(scored, cut, keys, ["cut"]), means, keys, ["mean"]).where("score > cut")
     return repeat_rows(flagged, "n", "__i")
 
