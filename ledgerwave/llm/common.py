@@ -66,8 +66,10 @@ def pieces_of(batch: pa.RecordBatch, column: str = "text"):
 
 
 def filled(texts: pa.Array) -> pa.Array:
-    """Texts with 64-bit offsets and null as the empty text."""
-    return pc.fill_null(texts.cast(pa.large_string()), "")
+    """Texts with 64-bit offsets and null as the empty text, copied: some of Arrow's text functions misread the
+    buffers of a slice."""
+    texts = texts.cast(pa.large_string())
+    return pc.if_else(pc.is_null(texts), pa.scalar("", pa.large_string()), texts)
 
 
 def components(edges: DataFrame) -> DataFrame:

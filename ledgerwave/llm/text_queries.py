@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .languages import learn, predict
+from .licences import scan
 from .quality import apply_rules
 from .registry import query
 
@@ -33,3 +35,14 @@ FROM b"""
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return apply_rules(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return predict(docs, learn(docs))
+
+
+@query()
+def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"))
