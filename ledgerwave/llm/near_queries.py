@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .jaccard import jaccard_components
+from .passages import repeated_passages
 from .registry import query
 
 JACCARD_SQL = r"""
@@ -24,3 +25,8 @@ SELECT doc_id, len(g) AS n_shingles, (SELECT min(c) FROM r WHERE r.d = s.doc_id)
 @query(JACCARD_SQL)
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"), n=3, percent=90)
+
+
+@query()
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"), words=50, similarity=0.8)
