@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embeddings import near_vectors
 from .jaccard import jaccard_components
 from .passages import repeated_passages
 from .registry import query
@@ -30,3 +31,18 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"), words=50, similarity=0.8)
+
+
+VECTORS_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(d, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.d)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links,
+  (SELECT min(c) FROM r WHERE r.d = v.vec_id) AS component_id,
+  (SELECT min(c) FROM r WHERE r.d = v.vec_id) = vec_id AS kept FROM v"""
+
+
+@query(VECTORS_SQL)
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"), cosine=0.9)
