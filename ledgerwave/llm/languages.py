@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import filled, pieces_of, worker_cache
 
@@ -125,7 +125,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-3,
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, text's lang_pred and score (0 to 1), for every row.
+    """docs with held_out, lang_pred and score (0 to 1), for every row; columns of these names are replaced.
 
     A null text, or one without letters, is `und` with score 0; without a model every text is.  The score is
     the regression's value for the language, brought from [-1, 1] to [0, 1].  Equal values go to the language first
@@ -145,11 +145,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     name[at] = np.array(model.languages, object)[best]
                     score[at] = np.clip((value[np.arange(len(at)), best] + 1) / 2, 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in batch.schema.names if c != "text"), pa.array(name, pa.string()),
-                     pa.array(score)], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+                    [*rows.columns, pa.array(name, pa.string()), pa.array(score)],
+                    [*batch.schema.names, "lang_pred", "score"])
 
-    kept = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return kept.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    kept = docs.drop("lang_pred", "score").withColumn("held_out", held_out())
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, per_language: int = 400, longest: int = 20_000, **more) -> Model | None:

@@ -40,7 +40,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return predict(docs, learn(docs))
+    return predict(docs.select("doc_id", "text"), learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query()
