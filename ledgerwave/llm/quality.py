@@ -30,13 +30,20 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def paired(step: int):
+    """Hashes of each element with the one `step` places on."""
+    return lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - step - 1),
+                                 lambda k: F.xxhash64(F.get(h, k), F.get(h, k + step)))
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in windows of WINDOW words found twice or more in the array, the first time included.
 
     Windows are compared by 64-bit hashes.  Without a repeated hash that is all; else hashes are sorted with their
     places, and the places of repeated ones cover words."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)),
-                         lambda k: F.xxhash64(F.slice(words, k, WINDOW)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):  # of single words, pairs, fours and eights
+        hashes = bound(hashes, paired(step))
 
     def covered(h):
         pairs = F.array_sort(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
@@ -59,11 +66,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda s: F.length(F.translate(s, " \t\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     count = {
         "n_words": F.size("__words"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
-        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "word_chars": F.length(F.array_join("__words", "")),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": repeated_words(F.col("__words")),
         "n_lines": F.size("__lines"),
@@ -124,3 +131,10 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFra
     ordered = cascade_order(rows, rules or default_rules())
     rows = rows.withColumn("base_failed", base_failed())
     return rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(ordered)))
+
+
+def passing(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The rows of docs that are kept.  They are picked by a generator, below which the optimizer moves no
+    expression: a filter would evaluate the measures once more for each of their uses."""
+    rows = apply_rules(docs, rules)
+    return rows.withColumn("__kept", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select(docs.columns)
