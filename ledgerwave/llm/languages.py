@@ -19,7 +19,7 @@ from .common import filled, pieces_of, worker_cache
 
 ORDERS = 3
 #: Symbols: 0 for anything but letters, 1 to 26 for a to z in either case, then the bytes from 128 on.
-SYMBOL = np.zeros(256, np.int64)
+SYMBOL = np.zeros(256, np.int32)
 SYMBOL[ord("a"):ord("z") + 1] = SYMBOL[ord("A"):ord("Z") + 1] = np.arange(1, 27)
 SYMBOL[128:] = np.arange(27, 155)
 BASE = 155
@@ -40,7 +40,7 @@ def gram_rows(texts: pa.Array):
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     symbol = SYMBOL[data[at[0]:at[-1]]]
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))
     code = symbol
     yield owner, code
     for n in range(2, ORDERS + 1):
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-3,
     chosen = np.array(sorted(order[:landmarks]))
     found = np.zeros(CODES, np.int64)
     for owner, code in gram_rows(filled(texts.take(pa.array(chosen)))):
-        for key in np.unique(owner * CODES + code) % CODES:
+        for key in np.unique(owner.astype(np.int64) * CODES + code) % CODES:
             found[key] += 1
     grams = np.flatnonzero(found >= min(least, len(chosen)))
     rows_x = normed(presence(texts, places(grams), len(grams)).astype(np.float64))

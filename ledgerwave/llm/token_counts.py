@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import filled, pieces_of, worker_cache
-from .tokens import cut, encoder
+from .tokens import MEMO_ENTRIES, cut, encoder
 
 
 def frequent_pieces(docs: DataFrame, path: str, rows: int = 1000, longest: int = 20_000,
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, frequent: dict[s
             n = tier_two.get(piece)
             if n is None:
                 n = len(enc.fresh(piece)) // 4
-                if len(tier_two) < 1_000_000:
+                if len(tier_two) < 2 * MEMO_ENTRIES:
                     tier_two[piece] = n
             return n
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from .common import filled, worker_cache
 
 #: Entries of a worker's memo.  Pieces beyond it are encoded each time; the ids are the same.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 250_000
 #: A space before another white space or at the end: such texts are encoded whole.
 _IRREGULAR = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Letters that lower-casing and composition leave one character, then punctuation that starts no contraction.
