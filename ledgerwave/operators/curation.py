@@ -14,7 +14,6 @@ DEFAULT_SYSTEM_PROMPT = (
     "plot_annotated, narrate, forecast and cohort_analysis, and ends with a summary in plain English. "
     "If a question is outside the scope of sales analysis, answer with one comment line that says so."
 )
-_LOCAL_TOP = 1000  # up to this size Spark limits a ranked window before the shuffle
 
 
 def verified_only(pairs: DataFrame) -> DataFrame:
@@ -28,14 +27,10 @@ def seeded_key(id_col: Column, seed: int) -> Column:
 def replay_sample(pairs: DataFrame, per_type: int = 30, seed: int = 42, type_col: str = "signal_type", id_col: str = "id") -> DataFrame:
     """Exactly min(per_type, size) verified rows of every type, by seeded hash.
 
-    Small samples: `row_number <= n` is limited per task before the shuffle.
-    Large ones: counts per hash prefix tell which prefixes are wholly in the sample
-    and which one is cut, so rows outside never reach a shuffle and only rows of one
-    prefix are sorted together, whatever share of the table a type holds."""
+    Counts per hash prefix tell which prefixes are wholly in the sample and which
+    one is cut, so rows outside never reach a shuffle and only rows of one prefix
+    are sorted together, whatever share of the table a type holds."""
     d = verified_only(pairs).withColumn("__k", seeded_key(F.col(id_col), seed))
-    if per_type <= _LOCAL_TOP:
-        w = Window.partitionBy(type_col).orderBy("__k", id_col)
-        return d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_type).drop("__r", "__k")
     d = d.withColumn("__p", F.substring("__k", 1, 5))
     sizes = d.groupBy(F.col(type_col).alias("__type"), "__p").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("__type").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,8 +7,6 @@ grouping (see `batches.py`); each series is bounded by the calendar.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 
@@ -19,10 +17,21 @@ def _odd(x: float) -> int:
     return n if n % 2 else n + 1
 
 
-@lru_cache(maxsize=64)
+# Filled in each task: a plain dict travels to executors by value, a cached function by name only.
+_NEIGHBOURS: dict = {}
+
+
 def _neighbours(n: int, q: int):
     """For the places -1 … n: index, signed distance and tricube weight of the
     q nearest of n points."""
+    if (n, q) not in _NEIGHBOURS:
+        if len(_NEIGHBOURS) >= 64:
+            _NEIGHBOURS.clear()
+        _NEIGHBOURS[n, q] = _nearest(n, q)
+    return _NEIGHBOURS[n, q]
+
+
+def _nearest(n: int, q: int):
     at = np.arange(-1, n + 1)
     take = min(q, n)
     left = np.clip(at - (q + 1) // 2 + 1, 0, max(n - q, 0))

@@ -7,7 +7,6 @@ any number of tasks, and a lost task reproduces its rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,7 +60,6 @@ def signal_types(types: list[str] | None = None, delta_from: str | None = None)
     return [t for t in chosen if delta_from is None or t in ADDED_LATER]
 
 
-@lru_cache(maxsize=None)
 def _grid(start: str, n: int, freq: str):
     import pandas as pd
 

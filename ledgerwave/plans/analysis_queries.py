@@ -383,11 +383,15 @@ def cohort_retention_distinct(spark, folder):
     return _cohorts(spark, folder, "QS", "distinct", rows=True).retention.withColumn("retention", F.round("retention", 4))
 
 
+# Quarters of the seven years that the order dates span.
+OFFSETS = range(28)
+
+
 @query(f"""WITH {_COHORT.format(period=_QUARTER, n='1', agg='sum(n)')}
-SELECT cohort_start, """ + ", ".join(f'round(max(retention) FILTER (WHERE period_offset = {i}), 4) AS p{i}' for i in range(5)) + " FROM ret GROUP BY 1")
+SELECT cohort_start, """ + ", ".join(f'round(max(retention) FILTER (WHERE period_offset = {i}), 4) AS p{i}' for i in OFFSETS) + " FROM ret GROUP BY 1")
 def cohort_matrix(spark, folder):
-    wide = retention_matrix(_cohorts(spark, folder, "QS"), list(range(5)))
-    return wide.select("cohort_start", *[F.round(str(i), 4).alias(f"p{i}") for i in range(5)])
+    wide = retention_matrix(_cohorts(spark, folder, "QS"), list(OFFSETS))
+    return wide.select("cohort_start", *[F.round(str(i), 4).alias(f"p{i}") for i in OFFSETS])
 
 
 # --- narration and annotation -------------------------------------------------

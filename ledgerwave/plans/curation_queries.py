@@ -327,12 +327,10 @@ def ab_compare(spark, folder):
 
 
 @query(f"""WITH {_ANSWERS} {_scored_sql('a')}, {_scored_sql('b')},
-ra AS (SELECT signal_type, count(*) FILTER (WHERE passed) AS passed_a, count(*) AS total_a FROM sc_a WHERE signal_type <> 'forecast_up' GROUP BY 1),
-rb AS (SELECT signal_type, count(*) FILTER (WHERE passed) AS passed_b, count(*) AS total_b FROM sc_b WHERE signal_type <> 'trend_up' GROUP BY 1)
+ra AS (SELECT signal_type, count(*) FILTER (WHERE passed) AS passed_a, count(*) AS total_a FROM sc_a GROUP BY 1),
+rb AS (SELECT signal_type, count(*) FILTER (WHERE passed) AS passed_b, count(*) AS total_b FROM sc_b GROUP BY 1)
 SELECT signal_type, coalesce(passed_a, 0) AS passed_a, coalesce(total_a, 0) AS total_a, round(passed_a / total_a, 4) AS rate_a,
   coalesce(passed_b, 0) AS passed_b, coalesce(total_b, 0) AS total_b, round(passed_b / total_b, 4) AS rate_b,
   round(passed_b / total_b - passed_a / total_a, 4) AS delta FROM ra FULL JOIN rb USING (signal_type)""")
 def ab_by_type(spark, folder):
-    a = scored(spark, folder, "a").where("signal_type <> 'forecast_up'")
-    b = scored(spark, folder, "b").where("signal_type <> 'trend_up'")
-    return ev.compare_by_type(a, b)
+    return ev.compare_by_type(scored(spark, folder, "a"), scored(spark, folder, "b"))

@@ -20,8 +20,6 @@ REPORT_SCHEMA = (
     "elapsed_seconds double, pass_at_1 double, signal_detection_accuracy double, "
     f"scope_refusal_accuracy double, notes string, results array<struct<{_STRUCT_FIELDS}>>"
 )
-# Up to this many results a report may be gathered into a single JSON object.
-MAX_INLINE_RESULTS = 10_000
 
 
 def _renamed(schema: str, version_field: str) -> str:
@@ -44,17 +42,12 @@ def report_name(model_variant: str, timestamp: str) -> str:
 
 
 def write_report(report: Report, folder: str) -> str:
-    """`<folder>/<variant>-<timestamp>.json` with the results inside while they
-    are few; larger result tables go to `results/` next to the header."""
+    """`<folder>/<variant>-<timestamp>.json` with the header; the results, of any
+    number, are lines under `results/` in it."""
     head = report.header.select("model_variant", "timestamp").first()
     target = f"{folder.rstrip('/')}/{report_name(head.model_variant, head.timestamp)}.json"
-    if report.results.limit(MAX_INLINE_RESULTS + 1).count() <= MAX_INLINE_RESULTS:
-        listed = report.results.agg(F.collect_list(F.struct(*report.results.columns)).alias("results"))
-        one = report.header.withColumn("results", listed.scalar())
-        one.coalesce(1).write.mode("overwrite").json(target)
-    else:
-        report.header.write.mode("overwrite").json(target)
-        report.results.write.mode("overwrite").json(f"{target}/results")
+    report.header.write.mode("overwrite").json(target)
+    report.results.write.mode("overwrite").json(f"{target}/results")
     return target
 
 
@@ -65,14 +58,14 @@ def read_reports(spark: SparkSession, path: str, version_field: str = "library_v
 
 
 def latest_report(spark: SparkSession, path: str, version_field: str = "library_version") -> Report:
-    """The report with the lexicographically last name."""
-    d = read_reports(spark, path, version_field)
-    last = d.orderBy(F.desc("source")).limit(1)
-    header = last.drop("results", "source")
-    rows = last.select(F.inline("results"))
-    large = last.select(F.regexp_replace("source", "/[^/]*$", "").alias("dir"), F.isnull("results").alias("split")).first()
-    if large is None:
+    """The report with the lexicographically last name.  Only its file is parsed;
+    one from elsewhere may hold its results inside."""
+    name = F.col("_metadata.file_path")
+    last = spark.read.text(path, wholetext=True).agg(F.max(name).alias("name")).first().name
+    if last is None:
         raise FileNotFoundError(f"no report matches {path!r}")
-    if large.split:
-        rows = spark.read.schema(RESULT_FIELDS).json(f"{large.dir}/results")
-    return Report(header, rows)
+    d = read_reports(spark, last, version_field)
+    header = d.drop("results", "source")
+    if d.where("results IS NULL").limit(1).count():
+        return Report(header, spark.read.schema(RESULT_FIELDS).json(f"{last.rpartition('/')[0]}/results"))
+    return Report(header, d.select(F.inline("results")))
