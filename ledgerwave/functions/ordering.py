@@ -29,16 +29,15 @@ def value_band(y: Column, resolution: int) -> Column:
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Series over many tasks before a CPU-bound kernel.  The number is explicit
-    because adaptive coalescing goes by bytes: it would put thousands of short,
-    expensive series into one task.  It differs from the default so that the
-    planner does not fold it into an earlier, coalesced exchange on the keys."""
+    """Series over many tasks before a CPU-bound kernel: one more than the
+    session's shuffle partitions.  The number is explicit because adaptive
+    coalescing goes by bytes: it would put thousands of short, expensive series
+    into one task.  It differs from the default so that the planner does not fold
+    it into an earlier, coalesced exchange on the keys."""
     if not keys:
         return df.repartition(1)
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = min(2 * n, 4 * spark.sparkContext.defaultParallelism) + 1
-    return df.repartition(tasks + (tasks == n), *keys)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, *keys)
 
 
 def present(*cols: str) -> Column:
@@ -172,15 +171,13 @@ def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bound
     return got.select(*keys, *out, "mean")
 
 
-def bounded_groups(df: DataFrame, keys: list[str], limit: int, hint: str) -> DataFrame:
-    """Guard for kernels that need a whole series in one task: fails the job
-    before any series longer than `limit` is gathered."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    message = F.concat(F.lit("A series has "), F.col("__n").cast("string"), F.lit(f" rows, more than {limit}: {hint}"))
-    checked = sizes.select(
-        *keys, F.when(F.col("__n") > limit, F.raise_error(message)).otherwise(F.col("__n")).alias("__n")
-    )
-    return attach(df, checked, keys, ["__n"]).where("__n > 0").drop("__n")
+def one_per_date(df: DataFrame, keys: list[str], duplicates: str) -> DataFrame:
+    """Rows `(keys…, ds, y)` that share a date as one, their "sum" or "mean": what
+    a kernel gathers of a series is then bounded by the calendar."""
+    if duplicates not in ("sum", "mean"):
+        raise ValueError(f"duplicates must be 'sum' or 'mean', not {duplicates!r}")
+    fold = F.sum if duplicates == "sum" else F.avg
+    return df.groupBy(*keys, "ds").agg(fold("y").alias("y"))
 
 
 def with_stats(df: DataFrame, keys: list[str], by: list[str], stats: dict[str, Column], calendar_bounded: bool) -> DataFrame:
@@ -229,7 +226,9 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
 def into_blocks(df: DataFrame, before: int, after: int = 0, block: int = 50_000) -> DataFrame:
     """Cut positioned rows into blocks (`__block`) of one position range each and
     copy the rows that a frame of `before`/`after` rows reaches into from the
-    neighbouring blocks (`__home` is false for copies)."""
+    neighbouring blocks (`__home` is false for copies).  A block is as long as the
+    frame at least, so a frame ends in a neighbour."""
+    block = max(block, before, after)
     home = F.floor(F.col("pos") / block)
     homes = F.array_distinct(F.array(
         home, F.floor((F.col("pos") - after) / block), F.floor((F.col("pos") + before) / block)))
@@ -261,12 +260,15 @@ def previous_value(df: DataFrame, keys: list[str], col: str, out: str) -> DataFr
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once what several branches of a plan read.  The files go to the
-    shared folder the cluster names; only a session without one (tests) gets a
-    folder of its own."""
+    shared folder the cluster names, else to its warehouse; only a local session
+    without one (tests) gets a temporary folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (sc.master == "local" or sc.master.startswith("local[")):
+            import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerwave-"))
+            folder = tempfile.mkdtemp(prefix="ledgerwave-")
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir"))
     return df.checkpoint()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core import CohortTable, SalesFrame
+from ..functions import calendar as cal
 from ..functions.ordering import attach
 
 
@@ -17,15 +18,27 @@ def typical_gap(dates: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> CohortTable:
+def calendar_periods(freq: str, start: Column, end: Column) -> Column:
+    """Calendar periods from the one that holds `start` to the one that holds `end`."""
+    start, end = cal.period_start(start, freq), cal.period_start(end, freq)
+    months = {"MS": 1, "QS": 3, "YS": 12}.get(freq)
+    if months:
+        return F.round(F.months_between(end, start) / months).cast("bigint")
+    return F.floor(F.datediff(end, start) / (7 if freq.startswith("W") else 1)).cast("bigint")
+
+
+def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows", offset: str = "gap") -> CohortTable:
     """Share of each cohort active per period since its first date.
 
     Rows are counted (filler rows too), as the default; `count="distinct"`
-    counts members instead."""
+    counts members instead.  Offsets are days by the typical gap between dates,
+    or with `offset="calendar"` periods of the frame's frequency."""
     if cohort_col not in sf.df.columns:
         raise ValueError(f"no cohort_col '{cohort_col}' among {sf.df.columns}")
     if count not in ("rows", "distinct"):
         raise ValueError(f"count must be 'rows' or 'distinct', not {count!r}")
+    if offset not in ("gap", "calendar"):
+        raise ValueError(f"offset must be 'gap' or 'calendar', not {offset!r}")
     keys = [k for k in sf.keys if k != cohort_col]
     # One row per member and date: a member's window is bounded by the calendar.
     member_days = (
@@ -34,9 +47,12 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows") -> Coh
     )
     first = F.min("ds").over(Window.partitionBy(*keys, cohort_col))
     started = member_days.withColumn("cohort_start", first)
-    with_gap = attach(started, typical_gap(sf.df.dropna(subset=["ds"]), keys), keys, ["gap"])
-    offset = F.expr("datediff(ds, cohort_start) div gap").alias("period_offset")
-    cells = with_gap.select(*keys, cohort_col, "cohort_start", offset, "rows")
+    if offset == "calendar":
+        periods = calendar_periods(sf.freq, F.col("cohort_start"), F.col("ds"))
+    else:
+        started = attach(started, typical_gap(sf.df.dropna(subset=["ds"]), keys), keys, ["gap"])
+        periods = F.expr("datediff(ds, cohort_start) div gap")
+    cells = started.select(*keys, cohort_col, "cohort_start", periods.alias("period_offset"), "rows")
     if count == "distinct":
         cells = cells.groupBy(*keys, cohort_col, "cohort_start", "period_offset").agg(F.lit(1).alias("rows"))
     active = cells.groupBy(*keys, "cohort_start", "period_offset").agg(

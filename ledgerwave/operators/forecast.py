@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import Forecast, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import bounded_groups, with_stats
+from ..functions.ordering import one_per_date, with_stats
 from .batches import map_series
-from .trend import AGGREGATE_HINT, MAX_KERNEL_ROWS
 
 MIN_POINTS = 4
 Z80 = 1.28
@@ -63,13 +62,16 @@ def _fixed(obs: DataFrame, keys: list[str], horizon: int, alpha: float, beta: fl
 
 
 def forecast(
-    sf: SalesFrame, horizon: int = 12, smoothing: tuple[float, float] | None = None
+    sf: SalesFrame, horizon: int = 12, smoothing: tuple[float, float] | None = None, duplicates: str = "sum"
 ) -> Forecast:
     """`horizon` future periods on the series grid.  Series with fewer than four
     values are listed in `rejected`; with a single series that is an error.
-    `smoothing=(level, slope)` fixes the parameters and skips the seasonal part."""
+    `smoothing=(level, slope)` fixes the parameters and skips the seasonal part.
+    Rows that share a date count as one, the `duplicates` "sum" or "mean" of them."""
     keys = list(sf.keys)
     obs = sf.observed()
+    if not sf.calendar_bounded:
+        obs = one_per_date(obs, keys, duplicates)
     if not keys and obs.limit(MIN_POINTS).count() < MIN_POINTS:
         raise ValueError(f"A forecast takes at least {MIN_POINTS} values, the series has {obs.count()}.")
     sizes = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -78,10 +80,8 @@ def forecast(
     )
     enough = obs
     if keys:
-        sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, sf.calendar_bounded)
+        sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, True)
         enough = sized.where(F.col("n") >= MIN_POINTS).drop("n")
-    if not sf.calendar_bounded:
-        enough = bounded_groups(enough, keys, MAX_KERNEL_ROWS, AGGREGATE_HINT)
     if smoothing:
         fit = _fixed(enough, keys, horizon, *smoothing)
     else:

@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import Decomposition, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import bounded_groups, positions, sliding_mean, with_stats
+from ..functions.ordering import one_per_date, positions, sliding_mean, with_stats
 from .batches import map_series
 
-# longest series one kernel call may gather, when the calendar is no bound
-MAX_KERNEL_ROWS = 200_000
-AGGREGATE_HINT = "aggregate it to one row per period first (to_series)"
-
 
 def centred_mean(placed: DataFrame, keys: list[str], width: int, whole_series_fits: bool) -> DataFrame:
     before, after = width // 2, (width - 1) // 2
@@ -39,7 +35,10 @@ def stl_components(obs: DataFrame, keys: list[str], period: int) -> DataFrame:
     return map_series(obs, keys, decompose, "ds date, y double, trend double, seasonal double, residual double")
 
 
-def decompose_trend(sf: SalesFrame, period: int | str = "auto") -> Decomposition:
+def decompose_trend(sf: SalesFrame, period: int | str = "auto", duplicates: str = "sum") -> Decomposition:
+    """Trend, seasonal part and residual of every series.  Cycles are defined over
+    dates: for a period above 1, rows that share a date count as one, the
+    `duplicates` "sum" or "mean" of them."""
     keys = list(sf.keys)
     p = cal.seasonal_period(sf.freq) if period == "auto" else int(period)
     width = max(3, p // 2)
@@ -48,12 +47,12 @@ def decompose_trend(sf: SalesFrame, period: int | str = "auto") -> Decomposition
     if p <= 1:
         placed = positions(obs, keys, bounded)
         return Decomposition(centred_mean(placed, keys, width, bounded), p, tuple(keys))
-    sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, bounded)
+    if not bounded:
+        obs = one_per_date(obs, keys, duplicates)
+    sized = with_stats(obs, keys, [], {"n": F.count(F.lit(1))}, True)
     # fewer than 2·p rows, so the window below is bounded by the period
     short = sized.where(F.col("n") < 2 * p)
     placed = positions(short, keys, True)
     long = sized.where(F.col("n") >= 2 * p).select(*keys, "ds", "y")
-    if not bounded:
-        long = bounded_groups(long, keys, MAX_KERNEL_ROWS, AGGREGATE_HINT)
     parts = centred_mean(placed, keys, width, True).unionByName(stl_components(long, keys, p))
     return Decomposition(parts, p, tuple(keys))

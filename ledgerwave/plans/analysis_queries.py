@@ -85,6 +85,18 @@ def growth_over_rows(spark, folder):
     )
 
 
+# The window is longer than a block of positions.
+@query(f"""WITH s AS (SELECT CAST(l_shipdate AS DATE) AS ds, l_quantity AS y FROM lineitem),
+{_GROWTH.format(w=55_000, part='', src='s')}
+SELECT ds, count(*) AS points, count(*) FILTER (WHERE growth * before < 0) AS turns, round(sum(growth), 4) AS total FROM h GROUP BY 1""")
+def growth_long_window(spark, folder):
+    g = growth_metrics(lineitem_rows(spark, folder, value="l_quantity"), window=55_000).rolling
+    return g.groupBy("ds").agg(
+        F.count(F.lit(1)).alias("points"), F.count_if("is_inflection").alias("turns"),
+        F.round(F.sum("growth"), 4).alias("total"),
+    )
+
+
 _CAGR = """c AS (SELECT {k}first(y ORDER BY ds, y) AS a, last(y ORDER BY ds, y) AS z, count(*) AS n FROM {src} WHERE y IS NOT NULL {g})"""
 
 
@@ -383,6 +395,17 @@ def cohort_retention_distinct(spark, folder):
     return _cohorts(spark, folder, "QS", "distinct", rows=True).retention.withColumn("retention", F.round("retention", 4))
 
 
+_BY_QUARTER = _COHORT.format(period=_QUARTER, n='1', agg='sum(n)').replace(
+    "(ds - cohort_start) // gap", "date_diff('quarter', cohort_start, ds)")
+
+
+@query(f"WITH {_BY_QUARTER} {_RETENTION_SQL}")
+def cohort_calendar(spark, folder):
+    sf = orders_series(spark, folder, segment_col="o_custkey", freq="QS", fill=False)
+    t = cohort_analysis(sf, "o_custkey", offset="calendar").retention
+    return t.withColumn("retention", F.round("retention", 4))
+
+
 # Quarters of the seven years that the order dates span.
 OFFSETS = range(28)
 
