@@ -72,6 +72,11 @@ def chat_messages(question: Column, code: Column, system: Column | str = DEFAULT
     ])
 
 
+def turn_text(role: Column, text: Column) -> Column:
+    """One turn in the chat template; a conversation is its turns in order, joined by line breaks."""
+    return F.concat(F.lit(CHAT_OPEN), role, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(CHAT_CLOSE))
+
+
 def pairs_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(user, next assistant) turns as question and code: an equi-join on
     conversation and turn number, so a very long conversation stays spread."""

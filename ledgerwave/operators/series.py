@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import repeat_rows
+from ..functions.ordering import attach, repeat_rows
 from ..sources.tables import read_table, typed_rows
 
 MIN_PERIODS = 4
@@ -156,10 +156,11 @@ def load_sales(
     strict_gaps: bool = False,
     validate: bool = True,
     date_format: str | None = None,
+    format: str | None = None,
 ) -> SalesFrame:
-    """Read a table (path or DataFrame) and regularise it.  A `segment_col` that
-    the data does not have is ignored."""
-    table = read_table(path)
+    """Read a table (path of a `format`, or DataFrame) and regularise it.  A
+    `segment_col` that the data does not have is ignored."""
+    table = read_table(path, format=format)
     keys = list(keys)
     segment = segment_col if segment_col and segment_col in table.columns else None
     group = [*keys, *([segment] if segment else [])]
@@ -182,16 +183,26 @@ def to_series(
     fill: bool = True,
     max_fill: int = 3,
     strict_gaps: bool = False,
+    format: str | None = None,
+    drop_partial: bool = False,
 ) -> SalesFrame:
     """Transactions to one row per (keys, segment, period).
 
     This is the step to take before ordered operators on big tables: it is one
     map-side combined aggregate, and afterwards the length of a series is bounded
-    by the calendar, whatever share of the rows its key holds."""
+    by the calendar, whatever share of the rows its key holds.  `drop_partial`
+    leaves out the last period of the table unless its dates reach that period's
+    last day."""
     freq = "W-MON" if freq == "W" else cal.canonical(freq)
     group = [*keys, *([segment_col] if segment_col else [])]
-    rows = typed_rows(read_table(table), date_col, value_col, group, validate=False)
+    rows = typed_rows(read_table(table, format=format), date_col, value_col, group, validate=False)
     rows = rows.dropna(subset=["ds", *group])
+    if drop_partial:
+        columns, end = rows.columns, F.col("__end")
+        start = cal.period_start(end, freq)
+        whole = F.date_add(end, 1) >= cal.future_date(start, freq, F.lit(1))
+        rows = attach(rows, rows.agg(F.max("ds").alias("__end")), [], ["__end"])
+        rows = rows.where((F.col("ds") < start) | whole).select(*columns)
     rows = rows.withColumn("ds", cal.period_start(F.col("ds"), freq))
     series = rows.groupBy(*group, "ds").agg(_AGGREGATES[agg]("y").cast("double").alias("y"))
     if fill:

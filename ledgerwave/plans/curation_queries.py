@@ -217,6 +217,19 @@ def mix_shuffle(spark, folder):
     return cur.seeded_shuffle(mixed, 7).select("id", "signal_type", "position")
 
 
+# Whole conversations, one row per turn: any number of turns, each with its own system text.
+@query("""SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' AS text FROM conversations""")
+def chat_text(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return turns.select("conv_id", "turn", cur.turn_text(F.col("role"), F.col("text")).alias("text"))
+
+
+@query("SELECT conv_id, turn, role, text AS content FROM conversations")
+def chat_messages(spark, folder):
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
+# The three-part template of the questions that a user asked and the assistant's next turn answered.
 _TURNS = """p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS code FROM conversations a JOIN conversations b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""
 _SYSTEM_SQL = "'" + cur.DEFAULT_SYSTEM_PROMPT.replace("'", "''") + "'"
@@ -224,22 +237,11 @@ _SYSTEM_SQL = "'" + cur.DEFAULT_SYSTEM_PROMPT.replace("'", "''") + "'"
 
 @query(f"""WITH {_TURNS} SELECT conv_id, turn, '<|im_start|>system' || chr(10) || {_SYSTEM_SQL} || '<|im_end|>' || chr(10) ||
 '<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || code || '<|im_end|>' AS text FROM p""")
-def chat_text(spark, folder):
+def chat_answers(spark, folder):
     p = cur.pairs_from_turns(table(spark, folder, "conversations"))
     return p.select("conv_id", "turn", cur.chat_text(F.col("question"), F.col("code")).alias("text"))
 
 
-@query(f"""WITH {_TURNS}, m AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS pos, question, code FROM p)
-SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, ['system', 'user', 'assistant'][pos + 1] AS role,
-  CASE pos WHEN 0 THEN {_SYSTEM_SQL} WHEN 1 THEN question ELSE code END AS content FROM m""")
-def chat_messages(spark, folder):
-    p = cur.pairs_from_turns(table(spark, folder, "conversations"))
-    d = p.select("conv_id", "turn", cur.chat_messages(F.col("question"), F.col("code")).alias("messages"))
-    return d.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select(
-        "conv_id", "turn", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("content")
-    )
-
-
 # --- evaluation ---------------------------------------------------------------
 # Two "models" answer every document's question.  A refuses the toxic ones; B is
 # cut off on long texts.

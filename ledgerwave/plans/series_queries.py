@@ -27,6 +27,14 @@ def regularise_daily_by_priority(spark, folder):
     return sf.df.select("o_orderpriority", "ds", F.round("y", 2).alias("y"), "is_gap")
 
 
+@query("""WITH e AS (SELECT max(CAST(o_orderdate AS DATE)) AS e FROM orders)
+SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, round(sum(o_totalprice), 2) AS y
+FROM orders, e WHERE last_day(e) = e OR o_orderdate < date_trunc('month', e) GROUP BY 1, 2""")
+def monthly_drop_partial(spark, folder):
+    sf = orders_series(spark, folder, keys=PRIORITY, freq="M", fill=False, drop_partial=True)
+    return sf.df.select("o_orderpriority", "ds", F.round("y", 2).alias("y"))
+
+
 # Rows are not aggregated here: every order stays a row of its segment's series.
 @query("""WITH s AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS y FROM orders),
 b AS (SELECT o_orderpriority, min(ds) AS lo, max(ds) AS hi FROM s GROUP BY 1),

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
-def read_table(source, spark: SparkSession | None = None, schema=None) -> DataFrame:
-    """A DataFrame as it is, a Parquet path, or a CSV path with a header.
+def read_table(source, spark: SparkSession | None = None, schema=None, format: str | None = None) -> DataFrame:
+    """A DataFrame as it is, or a path: of `format` ("parquet", "csv", "orc", "json", ...), by default Parquet
+    where it ends in .parquet, else CSV.
 
-    CSV columns stay strings unless a schema is given (no inference pass)."""
+    CSV has a header, and its columns stay strings unless a schema is given (no inference pass)."""
     if isinstance(source, DataFrame):
         return source
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     path = str(source)
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    format = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    reader = spark.read.format(format)
+    if format == "csv":
+        reader = reader.option("header", True)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 def require_columns(df: DataFrame, date_col: str, value_col: str) -> None:
@@ -46,8 +48,13 @@ def _parsed_value(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+# Spellings of a missing cell.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def _missing_text(raw: Column) -> Column:
-    return F.trim(raw).isin("", "NaN", "nan", "NA", "N/A", "NULL", "null")
+    return F.trim(raw).isin(*MISSING)
 
 
 def typed_rows(
