@@ -143,6 +143,50 @@ def test_passages(documents):
     assert repeated_passages(documents([])).count() == 0
 
 
+def lost_words(texts, passages, words=50):
+    """(document, word) of the runs of `words` words that an earlier document holds as well and no passage covers."""
+    runs = [{tuple(t[k:k + words]) for k in range(len(t) - words + 1)} for t in texts]
+    covered = {(r.doc_id, k) for r in passages for k in range(r.first_word, r.last_word + 1)}
+    return {(i, k + j) for i, t in enumerate(texts) for k in range(len(t) - words + 1) for j in range(words)
+            if any(tuple(t[k:k + words]) in runs[e] for e in range(i))} - covered
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_with_frequent_phrases_and_variants(documents, seed):
+    rng = random.Random(seed)
+    fresh = lambda n: [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (50, 55, 75, 140)]
+    texts = []
+    for p in passages:  # earlier documents hold every phrase of the passages, part-copies and variants
+        texts += [fresh(60) + p[k:k + 9] + fresh(60) for k in range(0, len(p), 4)]
+        texts += [fresh(30) + p[k:k + 30] + fresh(30) for k in range(0, len(p), 15)]
+        for _ in range(3):
+            w = list(p)
+            for k in range(rng.randrange(10), len(w), 10):
+                w[k] = fresh(1)[0]
+            texts.append(fresh(20) + w + fresh(40))
+    for p in passages * 3:
+        w = list(p)
+        for _ in range(rng.choice([0, 0, 1])):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(fresh(rng.randrange(60)) + w + fresh(rng.randrange(60)))
+    found = repeated_passages(documents([" ".join(t) for t in texts])).collect()
+    assert not lost_words(texts, found)
+    for r in found:
+        one = shingles(" ".join(texts[r.doc_id][r.first_word:r.last_word + 1]), 5)
+        two = shingles(" ".join(texts[r.of_doc_id][r.of_first_word:r.of_last_word + 1]), 5)
+        assert r.of_doc_id < r.doc_id and r.last_word - r.first_word >= 49
+        assert len(one & two) / len(one | two) == pytest.approx(r.similarity) and r.similarity >= 0.8
+
+
+def test_passage_with_an_edit_near_its_end(documents):
+    shared = [f"s{k}" for k in range(50)]
+    texts = [["a"] * 60 + shared + ["b"] * 60, ["c"] * 60 + [*shared[:2], "changed", *shared[3:]] + ["d"] * 60]
+    found = repeated_passages(documents([" ".join(t) for t in texts]), hashes=8).collect()
+    assert [(r.doc_id, r.of_doc_id) for r in found] == [(1, 0)]
+    assert found[0].last_word - found[0].first_word >= 49 and found[0].similarity >= 0.8
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 16))
