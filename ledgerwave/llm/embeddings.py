@@ -3,12 +3,14 @@
 Rotations of the centred, normalised vectors are learnt on a bounded sample so that signs lose little.  Codes are cut
 into substrings, one table each.  A vector joins the ball of a leader, the first vector of one of its buckets, if it
 is within half of the linking angle: all of a ball are then linked without being paired.  Balls meet through the
-tables, where one side also looks one bit away; their centres' codes and then their vectors decide: all linked, none
-linked, or members compared in blocks."""
+buckets of all their members, where one side also looks some bits away; their centres' codes and then their vectors
+decide: all linked, none linked, or members compared in blocks.  Longer substrings take more tables and more bits, so
+that a pair at the linking angle meets with the same modelled chance at every size."""
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,40 @@ from .common import components, stored
 
 #: Rows of the sample that the rotations are fitted on.
 SAMPLE = 4000
-TABLES, BALL_TABLES = 8, 4
-#: Bits in which the codes (64 bits) of linked centres, and of a vector and its leader, may differ.
-FAR_BITS, NEAR_BITS = 22, 16
+#: Tables at least, tables before another bit is looked away, tables of leaders.
+TABLES, MOST_TABLES, BALL_TABLES = 8, 12, 4
+#: Modelled chance at least (random planes) that two vectors at the linking angle meet in a table, and at most that
+#: the codes of two linked balls differ in more bits than allowed.
+RECALL, FAR_LOSS = 0.95, 1e-5
+#: Bits in which the codes (64 bits) of a vector and its leader may differ.
+NEAR_BITS = 16
+#: Steps of the angle between centres for which the allowed bits are computed.
+STEPS = 16
 BLOCK = 256
 
 
+def at_most(flips: int, bits: int, angle: float) -> float:
+    """The chance that random planes give two vectors at this angle at most `flips` different ones of `bits` bits."""
+    p = min(1.0, angle / math.pi)
+    return sum(math.comb(bits, k) * p ** k * (1 - p) ** (bits - k) for k in range(flips + 1))
+
+
+def search_plan(bits: int, theta: float) -> tuple[int, int]:
+    """(tables, bits looked away) whose modelled chance at the angle theta is RECALL or more."""
+    for flips in range(bits + 1):
+        hit = at_most(flips, bits, theta)
+        tables = 1 if hit >= 1 else math.ceil(math.log(1 - RECALL) / math.log1p(-hit)) if hit > 0 else math.inf
+        if tables <= MOST_TABLES and flips:
+            return max(TABLES, tables), flips
+    return TABLES, bits
+
+
+def far_bits(theta: float) -> list[int]:
+    """Bits of 64 in which centres may differ whose angle is at most theta * (1 + k / STEPS), for k from 0 to STEPS."""
+    return [next(f for f in range(65) if f == 64 or 1 - at_most(f, 64, theta * (1 + k / STEPS)) <= FAR_LOSS)
+            for k in range(STEPS + 1)]
+
+
 def fit_rotations(sample: np.ndarray, count: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """(mean, rotations): columns of each rotation are directions whose signs are the bits."""
     mean = sample.mean(0)
@@ -54,7 +84,7 @@ def valid(vectors: str) -> "F.Column":
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def coded(rows: DataFrame, mean: np.ndarray, turns: np.ndarray, bits: int) -> DataFrame:
+def coded(rows: DataFrame, mean: np.ndarray, turns: np.ndarray, bits: int, tables: int) -> DataFrame:
     """rows (key, embedding) with code (first 64 bits) and the bucket of each table."""
     def run(batches):
         for batch in batches:
@@ -64,10 +94,10 @@ def coded(rows: DataFrame, mean: np.ndarray, turns: np.ndarray, bits: int) -> Da
             head[:, :min(64, signs.shape[1])] = signs[:, :64]
             code = np.packbits(head, axis=1).view(">i8").astype(np.int64).reshape(-1)
             weight = np.int64(1) << np.arange(bits)
-            buckets = np.stack([signs[:, t * bits:(t + 1) * bits] @ weight for t in range(TABLES)], 1)
+            buckets = np.stack([signs[:, t * bits:(t + 1) * bits] @ weight for t in range(tables)], 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("embedding"), batch.column("n"), pa.array(code),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, TABLES * len(code) + 1, TABLES), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, tables * len(code) + 1, tables), pa.int32()),
                                           pa.array(buckets.reshape(-1).astype(np.int64)))],
                 ["key", "embedding", "n", "code", "buckets"])
 
@@ -114,15 +144,21 @@ def balls_of(codes: DataFrame, half: float) -> DataFrame:
         F.when(F.col("ball").isNull(), 0.0).otherwise(angle).alias("angle"))
 
 
-def ball_pairs(centres: DataFrame, bits: int) -> DataFrame:
-    """Pairs a < b of balls whose centres fall into one bucket of a table, or into two that differ in one bit, with
-    codes that differ in at most FAR_BITS."""
-    places = centres.select("ball", "code", F.posexplode("buckets").alias("t", "bucket"))
-    around = F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(1 << k)) for k in range(bits)])
-    probes = places.select(F.col("ball").alias("a"), F.col("code").alias("code_a"), "t",
-                           F.explode(around).alias("bucket"))
-    met = probes.join(places.select(F.col("ball").alias("b"), "code", "t", "bucket"), ["t", "bucket"])
-    return met.where((F.col("a") < F.col("b")) & (differing("code_a", "code") <= FAR_BITS)).select("a", "b").distinct()
+def ball_pairs(members: DataFrame, centres: DataFrame, bits: int, flips: int, theta: float) -> DataFrame:
+    """Pairs a < b of balls of which two members fall into one bucket of a table, or into two that differ in at most
+    `flips` bits, with centres whose codes differ in no more bits than far_bits allows at the linking angle and both
+    radii."""
+    places = members.select("ball", F.posexplode("buckets").alias("t", "bucket")).distinct().join(
+        centres.select("ball", "code", "radius"), "ball")
+    masks = [sum(1 << k for k in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
+    # Whoever looks away is the smaller key of a pair.
+    probes = places.select(F.col("ball").alias("a"), F.col("code").alias("code_a"), F.col("radius").alias("radius_a"), "t",
+                           "bucket").withColumn("mask", F.explode(F.lit(masks).cast("array<bigint>"))).withColumn(
+        "bucket", F.col("bucket").bitwiseXOR(F.col("mask"))).drop("mask")
+    met = probes.join(places.select(F.col("ball").alias("b"), "code", "radius", "t", "bucket"), ["t", "bucket"])
+    step = F.ceil((F.col("radius_a") + F.col("radius")) * (STEPS / theta) - 1e-9).cast("int")
+    allowed = F.element_at(F.lit(far_bits(theta)), F.least(F.lit(STEPS), step) + 1)
+    return met.where((F.col("a") < F.col("b")) & (differing("code_a", "code") <= allowed)).select("a", "b").distinct()
 
 
 def compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
@@ -156,13 +192,13 @@ def compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
         "a", "b", "i", "j").applyInArrow(run, "key long, own long, other long, m long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE,
+                 bits: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, zero or hold null or non-finite components, and those whose length is not the most
     frequent one, link with nothing.  Equal rows are linked like others.  A null vec_id links but names no
-    component.  Other columns are not read."""
-    spark = vectors.sparkSession
+    component.  Other columns are not read.  `bits` of a table follow the number of rows unless given."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                           F.col("embedding").cast("array<double>").alias("embedding")).withColumn("ok", valid("embedding"))
     alone = rows.where("NOT ok")
@@ -180,16 +216,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE)
     fit_rows = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(
         "embedding").limit(sample).collect()
     grid = np.array([r.embedding for r in fit_rows] or [[1.0] * dim])
-    bits = min(24, max(12, math.ceil(math.log2(total + 1))))
-    mean, turns = fit_rotations(grid / np.linalg.norm(grid, axis=1, keepdims=True), -(-TABLES * bits // dim))
+    bits = bits or min(24, max(12, math.ceil(math.log2(total + 1))))
     theta = math.acos(cosine)
-    codes = stored(coded(keyed, mean, turns, bits))
+    tables, flips = search_plan(bits, theta)
+    mean, turns = fit_rotations(grid / np.linalg.norm(grid, axis=1, keepdims=True), -(-tables * bits // dim))
+    codes = stored(coded(keyed, mean, turns, bits, tables))
     members = stored(balls_of(codes, theta / 2))
     centres = members.groupBy("ball").agg(F.sum("n").alias("size"), F.max("angle").alias("radius")).join(
-        codes.select(F.col("key").alias("ball"), "embedding", "code", "buckets"), "ball")
+        codes.select(F.col("key").alias("ball"), "embedding", "code"), "ball")
     centres = stored(centres)
     facts = centres.select("ball", "size", "radius", "embedding")
-    pairs = ball_pairs(centres, bits).join(facts.toDF("a", "size_a", "radius_a", "va"), "a").join(
+    pairs = ball_pairs(members, centres, bits, flips, theta).join(facts.toDF("a", "size_a", "radius_a", "va"), "a").join(
         facts.toDF("b", "size_b", "radius_b", "vb"), "b")
     seen = with_cosine(pairs)
     angle, reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cos")))), F.col("radius_a") + F.col("radius_b")

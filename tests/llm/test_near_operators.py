@@ -207,6 +207,19 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [20, 24])
+def test_recall_does_not_fall_with_the_bits(spark, bits):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    rows = np.concatenate([base, 0.902 * base + (1 - 0.902 ** 2) ** 0.5 * side])  # pairs just above the limit
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    assert sum(r.n_links for r in near_vectors(df, bits=bits).collect()) >= 0.93 * 2 * len(base)
+
+
 def test_equal_vectors(spark):
     df = spark.createDataFrame([(k, [1.0, 2.0, 3.0]) for k in (5, 3, 9, 9)] + [(None, [1.0, 2.0, 3.0])],
                                "vec_id long, embedding array<float>")
