@@ -37,15 +37,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, frequent: dict[s
     Null and empty texts have no tokens; rows with a null or repeated doc_id are counted like others; other columns
     are not read.  `frequent` is tier one (default: fitted on a sample)."""
     frequent = frequent_pieces(docs, path) if frequent is None else frequent
-    names = "\0".join(frequent)
+    names = list(frequent)
     counts = np.fromiter(frequent.values(), np.uint32, len(frequent)).tobytes()
     sent = docs.sparkSession.sparkContext.broadcast((names, counts))
-    label = f"frequent {zlib.crc32(names.encode())} {path}"
+    label = f"frequent {zlib.crc32(repr(names).encode())} {path}"
 
     def run(batches):
         def first_tier():
             keys, n = sent.value
-            return dict(zip(keys.split("\0"), np.frombuffer(n, np.uint32).tolist())) if n else {}
+            return dict(zip(keys, np.frombuffer(n, np.uint32).tolist()))
 
         tier_one = worker_cache(label, first_tier)
         enc = encoder(path)

@@ -86,6 +86,12 @@ def test_counts(documents, edge_texts, byte_tokenizer, frequent):
         assert tuple(r)[1:] == (len((t or "").encode()), n, n > 100)
 
 
+def test_counts_of_repeated_pieces_with_nul(documents, byte_tokenizer):
+    texts = ["one h\0e\0l\0l\0o two antidisestablishmentarianism three"] * 3 + ["x \0 \0 y incomprehensibilities"] * 2
+    got = token_counts(documents(texts), BYTE).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(byte_tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_chunked_encoding(documents, edge_texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
