@@ -47,20 +47,25 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))
 
 
-def leaf_signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def leaf_for(percent: int) -> int:
+    """The largest leaf, at most LEAF, that suits a similarity of `percent`."""
+    return LEAF if percent >= 100 else min(LEAF, percent // (100 - percent))
+
+
+def leaf_signatures(values: np.ndarray, bounds: np.ndarray, most: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of the leaves of every set: a hash of the part and of what the set holds of it."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     content, owners, signatures, depth = mixed(values, 7), [], [], 0
-    while len(values):
+    while len(values) and depth <= 64:
         prefix = values >> np.uint64(64 - depth) if depth else np.zeros(len(values), np.uint64)
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (prefix[1:] != prefix[:-1])])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(values)))
-        leaf = size <= LEAF
+        leaf = size <= most
         total = np.add.reduceat(content, first)
         owners.append(owner[first[leaf]])
         signatures.append(mixed(total[leaf] + mixed(prefix[first[leaf]], depth), 11))
-        go = np.repeat(size >= LEAF, size)  # with exactly LEAF both: a set of one more has no leaf here
+        go = np.repeat(size >= most, size)  # with exactly that many both: a set of one more has no leaf here
         values, owner, content, depth = values[go], owner[go], content[go], depth + 1
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -74,13 +79,13 @@ def set_numbers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size, mixed(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64), 5), 0).view(np.int64)
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
+def described(docs: DataFrame, n: int, leaf: int) -> DataFrame:
     """doc_id, node (number of its set's content), n_shingles and leaf signatures of every row."""
     def run(batches):
         for batch in batches:
             for rows in pieces_of(batch):
                 values, bounds = shingle_sets(rows.column("text"), n)
-                owner, signature = leaf_signatures(values, bounds)
+                owner, signature = leaf_signatures(values, bounds, leaf)
                 order = np.argsort(owner, kind="stable")
                 at = np.searchsorted(owner[order], np.arange(len(bounds)))
                 yield pa.RecordBatch.from_arrays(
@@ -250,16 +255,16 @@ def block_links(sets: DataFrame, percent: int, block: int = CELL) -> DataFrame:
         "region", "block", "block2", "node", "items", "side"), ["region", "block", "block2"], percent)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row; percent must be 90 or more.
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; percent must suit the leaf (leaf_for): 90 or more for LEAF.
 
     A-Z are lower-cased, words cut at white space.  Documents link when 100 * intersection >= percent * union.  A
     document without words, or with null text, has no shingle and is alone.  Equal sets are joined once, by a 64-bit
     number of their content.  Rows with a null doc_id link by their text but name no component; rows with equal
     doc_id are joined each by its own text.  Other columns are not read."""
-    if percent * (LEAF + 1) < 100 * LEAF:
-        raise ValueError(f"percent must be at least {100 * LEAF / (LEAF + 1):g}")
-    seen = stored(described(docs, n))
+    if leaf < 1 or percent * (leaf + 1) < 100 * leaf:
+        raise ValueError(f"percent must be at least {100 * max(1, leaf) / (max(1, leaf) + 1):g}")
+    seen = stored(described(docs, n, leaf))
     nodes = stored(seen.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("leaves").alias("leaves")))
     regions = components(leaf_edges(nodes)).select("node", F.col("component").alias("region"))

@@ -85,6 +85,18 @@ def test_near_sets_share_a_leaf():
             assert set(leaf[owner == 0]) & set(leaf[owner == 1]), (size, gone)
 
 
+@pytest.mark.parametrize("percent", [50, 67, 75, 80, 85])
+def test_near_sets_share_a_smaller_leaf(percent):
+    rng = np.random.default_rng(6)
+    for size in [*range(1, 60), 300, 1000]:
+        one = np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+        for gone in {*range(min(8, len(one) * (100 - percent) // 100 + 1)), len(one) * (100 - percent) // 100}:
+            two = np.sort(rng.permutation(one)[gone:])
+            owner, leaf = leaf_signatures(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]),
+                                          jaccard.leaf_for(percent))
+            assert set(leaf[owner == 0]) & set(leaf[owner == 1]), (size, gone)
+
+
 def test_jaccard_odd_ids(documents):
     text = " ".join(f"w{k}" for k in range(40))
     rows = jaccard_components(documents([text, text, text, "other words here"], ids=[None, 4, 4, None])).collect()

@@ -38,3 +38,10 @@ def test_stages_take_odd_tables(spark, documents):
             assert stage(spark, docs, FOLDER).count() <= 10 * docs.count(), name
     left = corpus_pipeline.near_duplicates(spark, documents([text, text, text], ids=[3, 3, 4]), FOLDER)
     assert [r.doc_id for r in left.collect()] == [3]
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark, documents):
+    words = [f"word{k}" for k in range(100)]
+    edited = ["changed" if k in (30, 70) else w for k, w in enumerate(words)]
+    docs = documents([" ".join(words), " ".join(edited), " ".join(words[:60])])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()) == [0, 2]
