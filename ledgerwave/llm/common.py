@@ -44,11 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: computed once, with short lineage, safe from lost executors."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and the folder."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: computed once, with short lineage, safe from lost executors."""
+    return stored_at(df)[0]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of stored_at that no later step reads, through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def worker_cache(name: str, make):
