@@ -193,8 +193,8 @@ def with_stats(df: DataFrame, keys: list[str], by: list[str], stats: dict[str, C
 
 def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """Value of a per-key step function at `y`: the `level` of the last step with
-    `edge < y`, or `base` below the first.  `steps` is `(keys…, edge, level, base)`;
-    a row has a multiplicity `n`.
+    `edge < y`.  `steps` is `(keys…, edge, level)`, the first edge of a key below all
+    its rows; a row has a multiplicity `n`.
 
     Rows meet only the steps of their own value band; what enters a band from
     below is carried over a table with one row per band."""
@@ -209,8 +209,6 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
     )
     below = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     carry = bands.select(*keys, "__band", F.last("__last", ignorenulls=True).over(below).alias("__carry"))
-    base = steps.groupBy(*keys).agg(F.first("base").alias("__base"))
-    carry = attach(carry, base, keys, ["__base"])
     cols = rows.columns
     both = r.withColumn("__level", F.lit(None).cast("double")).withColumn("__is_row", F.lit(0)).unionByName(
         s.select(*keys, "__band", F.col("edge").alias("y"), F.col("level").alias("__level"), F.lit(1).alias("__is_row")),
@@ -219,7 +217,7 @@ def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
     upto = Window.partitionBy(*keys, "__band").orderBy("y", "__is_row").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__seen", F.last("__level", ignorenulls=True).over(upto)).where("__is_row = 0")
     return equi(seen, carry, [*keys, "__band"]).select(
-        *cols, F.coalesce("__seen", "__carry", "__base").alias("level")
+        *cols, F.coalesce("__seen", "__carry").alias("level")
     )
 
 

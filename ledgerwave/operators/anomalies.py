@@ -3,19 +3,16 @@ isolation forest.  Every method is row-wise, so duplicates per date are fine."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import (
-    attach, compact, materialise, present, quantiles, rank_rows, repeat_rows, spread, step_lookup, value_band, with_stats,
-)
+from ..functions.ordering import attach, quantiles, repeat_rows, with_stats
 from ..functions.text import fixed
-from .batches import key_fields, map_series
+from .forest import forest_scores
 
 METHODS = ("auto", "zscore", "iqr", "iforest", "contextual")
 DEFAULT_THRESHOLD = {"zscore": 3.0, "iqr": 1.5, "contextual": 2.5, "iforest": 0.05}
-FOREST_SAMPLE = 100 * 256  # trees × rows per tree: all a forest ever looks at
 
 
 def label(score: Column, direction: Column) -> Column:
@@ -56,66 +53,6 @@ def _iqr(obs: DataFrame, keys: list[str], threshold: float, bounded: bool) -> Da
     return d.withColumn("score", (F.col("y") - F.col("mean")) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr))
 
 
-def _forest_bounded(obs: DataFrame, keys: list[str]) -> DataFrame:
-    from .kernels import isolation_steps
-
-    import numpy as np
-
-    def detect(y, rows):
-        score = np.empty_like(y)
-        for i, values in enumerate(y):
-            edges, levels = isolation_steps(values)
-            score[i] = levels[np.searchsorted(edges, values, side="left")]
-        cut, mean = np.percentile(score, 95, axis=1), y.mean(axis=1)
-        n = y.shape[1]
-        return rows.assign(score=score.ravel(), cut=cut.repeat(n), mean=mean.repeat(n))
-
-    return map_series(obs, keys, detect, "ds date, y double, score double, cut double, mean double")
-
-
-def _forest_split(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """Series of any length: a systematic sample by value rank feeds the forest,
-    the forest comes back as a step function, rows look their score up by band."""
-    from .kernels import isolation_steps
-
-    import pandas as pd
-
-    rows = compact(obs, keys)
-    values = rows.groupBy(*keys, "y").agg(F.sum("n").alias("n")).withColumn("__band", value_band(F.col("y"), 4096))
-    values = values.where(present(*keys, "__band"))
-    ranked = rank_rows(values, keys, ["__band"], ["y"], weight="n")
-    totals = values.groupBy(*keys).agg(
-        F.sum("n").alias("total"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean")
-    )
-    ranked = attach(ranked, totals, keys, ["total", "mean"])
-    size = F.least(F.col("total"), F.lit(FOREST_SAMPLE))
-
-    def picked_before(pos: Column) -> Column:  # sampled ranks among the first `pos`
-        return F.ceil(pos * size / F.col("total") - 1e-9)
-
-    ranked = ranked.withColumn("take", picked_before(F.col("pos") + F.col("n")) - picked_before(F.col("pos")))
-    sample = repeat_rows(ranked, "take", "__i").select(*keys, "y", "mean")
-
-    def build(pdf):
-        values = pdf["y"].sort_values().to_numpy()
-        edges, levels = isolation_steps(values)
-        out = pd.DataFrame({"edge": edges, "level": levels[1:], "base": levels[0]})
-        if not len(edges):
-            out = pd.DataFrame({"edge": [values[0]], "level": levels, "base": levels})
-        for k in [*keys, "mean"]:
-            out[k] = pdf[k].iloc[0]
-        return out
-
-    schema = f"{key_fields(obs, keys)}edge double, level double, base double, mean double"
-    steps = materialise(spread(sample, keys).groupBy(*keys).applyInPandas(build, schema))
-    scored = step_lookup(rows, steps, keys).withColumnRenamed("level", "score")
-    # a forest has at most as many distinct scores as steps, so this map is small
-    cut = scored.groupBy(*keys).agg(F.percentile("score", F.lit(0.95), F.col("n")).alias("cut"))
-    means = steps.groupBy(*keys).agg(F.first("mean").alias("mean"))
-    flagged = attach(attach(scored, cut, keys, ["cut"]), means, keys, ["mean"]).where("score > cut")
-    return repeat_rows(flagged, "n", "__i")
-
-
 def detect_anomalies(sf: SalesFrame, method: str = "auto", threshold: float | None = None) -> AnomalyTable:
     if method not in METHODS:
         raise ValueError(f"Unknown method: {method!r}")
@@ -134,7 +71,7 @@ def detect_anomalies(sf: SalesFrame, method: str = "auto", threshold: float | No
     elif method == "iqr":
         found = _table(_iqr(obs, keys, t, bounded), keys, method, t, mean_side)
     else:
-        d = _forest_bounded(obs, keys).where("score > cut") if bounded else _forest_split(obs, keys)
+        d = repeat_rows(forest_scores(obs, keys, bounded).where("score > cut"), "n", "__i")
         found = _table(d, keys, method, t, mean_side)
     series = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return AnomalyTable(found, method, t, series, tuple(keys))

@@ -6,30 +6,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import Forecast, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import one_per_date, with_stats
-from .batches import map_series
+from ..functions.ordering import one_per_date, spread, with_stats
+from .smoothing import fit
 
 MIN_POINTS = 4
 Z80 = 1.28
 
 
 def _fitted(obs: DataFrame, keys: list[str], horizon: int, period: int) -> DataFrame:
-    """Optimised additive Holt-Winters; seasonal only with two full cycles."""
-    from .kernels import fit_holt_winters, project
-
-    import numpy as np
-    def fit(y, rows):
-        count, n = y.shape
-        m = period if period > 1 and n >= 2 * period else 0
-        _, _, errors, state = fit_holt_winters(y, m)
-        ends = rows.iloc[n - 1 :: n].drop(columns="y").rename(columns={"ds": "last_ds"})
-        out = ends.loc[ends.index.repeat(horizon)].reset_index(drop=True)
-        return out.assign(
-            step=np.tile(np.arange(1, horizon + 1), count), yhat=project(state, horizon, m).ravel(),
-            sd=errors.std(axis=1, ddof=1).repeat(horizon),
-        )
-
-    return map_series(obs, keys, fit, "step int, yhat double, last_ds date, sd double", matrix_cells=8_000)
+    """Holt-Winters with fitted parameters; seasonal only with two full cycles."""
+    points = obs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("p"))
+    n = F.size("p")
+    season = F.when(n >= 2 * period, period).otherwise(1) if period > 1 else F.lit(1)
+    series = points.select(*keys, F.transform("p", lambda r: r["y"]).alias("y"), n.alias("n"), season.alias("m"),
+                           F.element_at("p", -1)["ds"].alias("last_ds"))
+    variance = (F.col("state.s2") - F.col("state.s1") * F.col("state.s1") / F.col("n")) / (F.col("n") - 1)
+    ahead = fit(spread(series, keys)).select(
+        *keys, "last_ds", "m", "state", F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"),
+        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    turn = F.element_at("state.ring", ((F.col("step") - 1) % F.col("m") + 1).cast("int"))
+    return ahead.withColumn("yhat", F.col("state.l") + F.col("state.b") * F.col("step") + turn)
 
 
 def _fixed(obs: DataFrame, keys: list[str], horizon: int, alpha: float, beta: float) -> DataFrame:

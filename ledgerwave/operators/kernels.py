@@ -1,6 +1,6 @@
-"""Numpy kernels for what Spark has no expression for.
+"""Seasonal decomposition, for which Spark has no expression, in numpy.
 
-They take many series of one length at a time, as a matrix with a row per
+It takes many series of one length at a time, as a matrix with a row per
 series, so that a task's time goes into array operations.  Spark does the
 grouping (see `batches.py`); each series is bounded by the calendar.
 """
@@ -115,146 +115,3 @@ def stl(y, period: int, seasonal: int = 7, inner: int = 2, outer: int = 15):
         u = r[more] / scale[more]
         rho = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
     return trend_out, season_out
-
-
-# --- Holt-Winters, additive ---------------------------------------------------
-
-def smooth(y, start, alpha, beta, gamma, m, keep=False):
-    """One-step errors of S series under G parameter sets each.
-
-    `y` is (S, n); `start` (S, G, 2+m): level, slope and one cycle of seasonals
-    (m = 0: none); the parameters broadcast to (S, G).
-    → (squared error sums (S, G), errors (S, G, n) or None, final states)."""
-    level, slope = start[..., 0].copy(), start[..., 1].copy()
-    ring = np.moveaxis(start[..., 2:], -1, 0).copy()
-    n = y.shape[1]
-    sse = np.zeros_like(level)
-    err = np.empty((*level.shape, n)) if keep else None
-    for t in range(n):
-        e = y[:, t, None] - level - slope
-        if m:
-            e -= ring[t % m]
-            ring[t % m] += gamma * e
-        level += slope + alpha * e
-        slope += alpha * beta * e
-        sse += e * e
-        if keep:
-            err[..., t] = e
-    ring = np.roll(ring, -(n % m), axis=0) if m else ring
-    last = np.concatenate([level[..., None], slope[..., None], np.moveaxis(ring, 0, -1)], axis=-1)
-    return sse, err, last
-
-
-def first_state(y, m):
-    """Start states (S, 2+m) from the first cycles."""
-    if not m:
-        k = min(y.shape[1], 10)
-        slope, level = np.polyfit(np.arange(1, k + 1), y[:, :k].T, 1)
-        return np.column_stack([level, slope])
-    cycles = min(y.shape[1] // m, 5)
-    head = y[:, : cycles * m]
-    slope = (y[:, m : 2 * m] - y[:, :m]).mean(axis=1) / m
-    line = head.mean(axis=1)[:, None] + slope[:, None] * (np.arange(cycles * m) - (cycles * m - 1) / 2)
-    season = (head - line).reshape(-1, cycles, m).mean(axis=1)
-    season -= season.mean(axis=1, keepdims=True)
-    return np.column_stack([line[:, 0] - slope, slope, season])
-
-
-def _best_start(y, params, guess, m):
-    """Least-squares start states for given parameters: the errors are an affine
-    function of the start state, so one extra run per state gives the optimum."""
-    k = guess.shape[1]
-    runs = np.repeat(guess[:, None], k + 1, axis=1)
-    runs[:, 1:] += np.eye(k)
-    _, err, _ = smooth(y, runs, *(p[:, None] for p in params), m, keep=True)
-    slopes = np.swapaxes(err[:, 1:] - err[:, :1], 1, 2)
-    return guess - (np.linalg.pinv(slopes) @ err[:, 0, :, None])[..., 0]
-
-
-def fit_holt_winters(y, m: int, rounds: int = 6):
-    """Least-squares smoothing parameters and start states of every row of y.
-
-    A coarse grid, then shrinking grids around the best point of each series,
-    with the start state re-estimated in every round.
-    → (params (3, S), start, errors (S, n), final states)."""
-    y = np.atleast_2d(np.asarray(y, float))
-    count = len(y)
-    start = first_state(y, m)
-    coarse = np.array([0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99])
-    fine = np.linspace(-1, 1, 5)
-    axes = [np.tile(coarse, (count, 1))] * (3 if m else 2) + ([] if m else [np.zeros((count, 1))])
-    best_sse = np.full(count, np.inf)
-    best = {"params": np.zeros((3, count)), "start": start, "err": np.zeros_like(y), "last": start}
-    width, rows = 0.2, np.arange(count)
-    for _ in range(rounds):
-        a, b, g = (x.reshape(count, -1) for x in np.broadcast_arrays(
-            axes[0][:, :, None, None], axes[1][:, None, :, None], axes[2][:, None, None, :]))
-        sse, _, _ = smooth(y, np.repeat(best["start"][:, None], a.shape[1], axis=1), a, b, g, m)
-        pick = np.where(np.isfinite(sse), sse, np.inf).argmin(axis=1)
-        params = np.stack([a[rows, pick], b[rows, pick], g[rows, pick]])
-        for guess in (best["start"], _best_start(y, params, best["start"], m)):
-            total, err, last = smooth(y, guess[:, None], *(p[:, None] for p in params), m, keep=True)
-            total = total[:, 0]
-            won = np.isfinite(total) & (total < best_sse)
-            best_sse = np.where(won, total, best_sse)
-            best["params"] = np.where(won, params, best["params"])
-            for name, new in (("start", guess), ("err", err[:, 0]), ("last", last[:, 0])):
-                best[name] = np.where(won[:, None], new, best[name])
-        axes = [np.clip(p[:, None] + width * fine, 1e-4, 0.9999) for p in best["params"]]
-        if not m:
-            axes[2] = np.zeros((count, 1))
-        width /= 2.5
-    return best["params"], best["start"], best["err"], best["last"]
-
-
-def project(state, horizon: int, m: int):
-    """(S, horizon) future values from final states (S, 2+m)."""
-    steps = np.arange(1, horizon + 1)
-    line = state[:, :1] + state[:, 1:2] * steps
-    return line + state[:, 2:][:, (steps - 1) % m] if m else line
-
-
-# --- Isolation forest on the number line (Liu, Ting & Zhou 2008) --------------
-
-def expected_path(n):
-    n = np.asarray(n, float)
-    big = np.maximum(n, 3)
-    return np.where(n > 2, 2 * (np.log(big - 1) + np.euler_gamma) - 2 * (big - 1) / big, (n == 2) * 1.0)
-
-
-def isolation_steps(sample, seed: int = 42, trees: int = 100, size: int = 256):
-    """Anomaly score as a step function of the value → (edges, levels): `levels[i]`
-    holds for edges[i-1] < value <= edges[i].
-
-    On the number line a node is a run of the sorted sample, so all trees grow
-    together, one level at a time."""
-    rng = np.random.default_rng(seed)
-    sample = np.asarray(sample, float)
-    k = min(size, len(sample))
-    if k < len(sample):
-        x = np.sort([rng.choice(sample, k, replace=False) for _ in range(trees)], axis=1)
-    else:
-        x = np.tile(np.sort(sample), (trees, 1))
-    tree, lo, hi = np.arange(trees), np.zeros(trees, int), np.full(trees, k)
-    cut_at = np.zeros((trees, k + 1))
-    leaf_depth = np.full((trees, k), np.nan)  # by first sample of the leaf
-    limit = int(np.ceil(np.log2(max(k, 2))))
-    for depth in range(limit + 1):
-        small, large = x[tree, lo], x[tree, hi - 1]
-        split = (small < large) & (depth < limit)
-        leaf_depth[tree[~split], lo[~split]] = depth + expected_path((hi - lo)[~split])
-        tree, lo, hi, small, large = (v[split] for v in (tree, lo, hi, small, large))
-        at = rng.uniform(small, large)
-        below = (x[tree] <= at[:, None]).sum(axis=1) if len(tree) else np.zeros(0, int)
-        mid = np.clip(below, lo + 1, hi - 1)
-        cut_at[tree, mid] = at
-        tree, lo, hi = np.concatenate([tree, tree]), np.concatenate([lo, mid]), np.concatenate([mid, hi])
-    which, first = np.nonzero(~np.isnan(leaf_depth))
-    depths = leaf_depth[which, first]
-    inner = first > 0
-    change = np.diff(depths, prepend=0.0)[inner]
-    order = np.argsort(cut_at[which[inner], first[inner]], kind="stable")
-    edges, starts = np.unique(cut_at[which[inner], first[inner]][order], return_index=True)
-    total = depths[~inner].sum() + np.concatenate([[0.0], np.cumsum(np.add.reduceat(change[order], starts)) if len(starts) else []])
-    scale = float(expected_path(k)) or 1.0
-    return edges, 2.0 ** (-(total / trees) / scale)

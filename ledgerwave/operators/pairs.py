@@ -1,19 +1,12 @@
-"""Question/answer pairs: candidates, batch verification, contract check."""
+"""Question/answer pairs about claims on series: candidates, their verification, the contract check."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core import SalesFrame
 from . import signals as sig
-from .anomalies import detect_anomalies
-from .cohort import cohort_analysis
-from .forecast import forecast
-from .growth import growth_metrics
-from .segments import compare_segments
-from .trend import decompose_trend
 
 PAIR_SCHEMA = (
     "question string, code string, signal_type string, library_version string, "
@@ -21,74 +14,76 @@ PAIR_SCHEMA = (
 )
 REFUSAL_TEXT = "# This question is outside the scope of sales analysis."
 MAX_CODE_LINES = 15
+#: Bits of a seed that one count of `first_pairs` looks at.
+RADIX_BITS = 16
 TRAIN_SEEDS, HELD_OUT_SEEDS = (0, 8999), (9000, 9999)
 SPLITS = {"train": TRAIN_SEEDS, "held_out": HELD_OUT_SEEDS}
 
 # The questions of each type with the operator (and options) that
 # answers them.
-QUESTIONS: dict[str, list[tuple[str, str]]] = {
+QUESTIONS: dict[str, list[tuple[str, dict]]] = {
     "trend_up": [
-        ("Is my overall sales trend going up?", "trend"),
-        ("Has my revenue been increasing over time?", "trend"),
-        ("What direction is my sales trend heading?", "growth"),
-        ("Show me whether sales are growing.", "trend+chart"),
-        ("Is there a positive trend in my data?", "growth"),
+        ("Is my overall sales trend going up?", {"op": "trend"}),
+        ("Has my revenue been increasing over time?", {"op": "trend"}),
+        ("What direction is my sales trend heading?", {"op": "growth"}),
+        ("Show me whether sales are growing.", {"op": "trend", "chart": True}),
+        ("Is there a positive trend in my data?", {"op": "growth"}),
     ],
     "trend_down": [
-        ("Is my overall sales trend going down?", "trend"),
-        ("Has revenue been declining?", "growth"),
-        ("Are sales falling over time?", "trend"),
-        ("What's the sales trajectory — is it negative?", "growth"),
-        ("Show me if there's a downward trend.", "trend+chart"),
+        ("Is my overall sales trend going down?", {"op": "trend"}),
+        ("Has revenue been declining?", {"op": "growth"}),
+        ("Are sales falling over time?", {"op": "trend"}),
+        ("What's the sales trajectory — is it negative?", {"op": "growth"}),
+        ("Show me if there's a downward trend.", {"op": "trend", "chart": True}),
     ],
     "anomaly_spike": [
-        ("Which weeks had unusually high sales?", "anomaly_auto+chart"),
-        ("Were there any sales spikes in my data?", "anomaly_auto+chart"),
-        ("Show me any periods of abnormally high revenue.", "anomaly_zscore+chart"),
-        ("Identify weeks where sales were far above normal.", "anomaly_auto"),
-        ("Were there any surprising jumps in my sales figures?", "anomaly_auto+chart"),
+        ("Which weeks had unusually high sales?", {"op": "anomaly_auto", "chart": True}),
+        ("Were there any sales spikes in my data?", {"op": "anomaly_auto", "chart": True}),
+        ("Show me any periods of abnormally high revenue.", {"op": "anomaly_zscore", "chart": True}),
+        ("Identify weeks where sales were far above normal.", {"op": "anomaly_auto"}),
+        ("Were there any surprising jumps in my sales figures?", {"op": "anomaly_auto", "chart": True}),
     ],
     "anomaly_drop": [
-        ("Which weeks had unusually low sales?", "anomaly_auto+chart"),
-        ("Were there any sales dips I should know about?", "anomaly_auto+chart"),
-        ("Show me periods where revenue dropped unexpectedly.", "anomaly_zscore+chart"),
-        ("Highlight any weeks where sales were far below average.", "anomaly_auto"),
-        ("Flag any unusual downturns in my sales data.", "anomaly_auto+chart"),
+        ("Which weeks had unusually low sales?", {"op": "anomaly_auto", "chart": True}),
+        ("Were there any sales dips I should know about?", {"op": "anomaly_auto", "chart": True}),
+        ("Show me periods where revenue dropped unexpectedly.", {"op": "anomaly_zscore", "chart": True}),
+        ("Highlight any weeks where sales were far below average.", {"op": "anomaly_auto"}),
+        ("Flag any unusual downturns in my sales data.", {"op": "anomaly_auto", "chart": True}),
     ],
     "anomaly_contextual": [
-        ("Are there any days that are unusual for their day of week?", "anomaly_contextual+chart"),
-        ("Find anomalies that are odd compared to similar days.", "anomaly_contextual+chart"),
-        ("Which days stand out compared to the same weekday historically?", "anomaly_contextual"),
-        ("Show me contextual anomalies in my daily sales.", "anomaly_contextual+chart"),
-        ("Are there any Mondays (or other weekdays) that performed unexpectedly?", "anomaly_contextual+chart"),
+        ("Are there any days that are unusual for their day of week?", {"op": "anomaly_contextual", "chart": True}),
+        ("Find anomalies that are odd compared to similar days.", {"op": "anomaly_contextual", "chart": True}),
+        ("Which days stand out compared to the same weekday historically?", {"op": "anomaly_contextual"}),
+        ("Show me contextual anomalies in my daily sales.", {"op": "anomaly_contextual", "chart": True}),
+        ("Are there any Mondays (or other weekdays) that performed unexpectedly?", {"op": "anomaly_contextual", "chart": True}),
     ],
     "segment_drag": [
-        ("Which product is dragging my overall sales down?", "segments"),
-        ("Which segment has the worst growth trend?", "segments"),
-        ("Compare my products by sales growth and identify the laggard.", "segments"),
-        ("Show me which product or region is underperforming.", "segments"),
-        ("Rank my segments from best to worst growth.", "segments"),
+        ("Which product is dragging my overall sales down?", {"op": "segments"}),
+        ("Which segment has the worst growth trend?", {"op": "segments"}),
+        ("Compare my products by sales growth and identify the laggard.", {"op": "segments"}),
+        ("Show me which product or region is underperforming.", {"op": "segments"}),
+        ("Rank my segments from best to worst growth.", {"op": "segments"}),
     ],
     "scope_refusal": [
-        ("Write me a web scraper for competitor prices.", "refusal"),
-        ("Can you help me write a SQL query?", "refusal"),
-        ("Predict tomorrow's stock price.", "refusal"),
-        ("Build a recommendation engine for my products.", "refusal"),
-        ("What's the weather forecast for next week?", "refusal"),
+        ("Write me a web scraper for competitor prices.", {"op": "refusal"}),
+        ("Can you help me write a SQL query?", {"op": "refusal"}),
+        ("Predict tomorrow's stock price.", {"op": "refusal"}),
+        ("Build a recommendation engine for my products.", {"op": "refusal"}),
+        ("What's the weather forecast for next week?", {"op": "refusal"}),
     ],
     "forecast_up": [
-        ("What will my sales look like over the next 12 months?", "forecast:12"),
-        ("Can you forecast my revenue for the next quarter?", "forecast:3"),
-        ("Project my sales trend forward for the next 6 periods.", "forecast:6"),
-        ("Show me a sales forecast with confidence intervals.", "forecast:12"),
-        ("What does the model predict for my future sales?", "forecast:12"),
+        ("What will my sales look like over the next 12 months?", {"op": "forecast", "horizon": 12}),
+        ("Can you forecast my revenue for the next quarter?", {"op": "forecast", "horizon": 3}),
+        ("Project my sales trend forward for the next 6 periods.", {"op": "forecast", "horizon": 6}),
+        ("Show me a sales forecast with confidence intervals.", {"op": "forecast", "horizon": 12}),
+        ("What does the model predict for my future sales?", {"op": "forecast", "horizon": 12}),
     ],
     "cohort_question": [
-        ("How is customer retention trending across cohorts?", "cohort"),
-        ("Show me a cohort retention analysis.", "cohort"),
-        ("Which customer cohort has the best retention?", "cohort"),
-        ("Are later cohorts retaining customers better than earlier ones?", "cohort"),
-        ("Build a cohort analysis heatmap for my sales data.", "cohort"),
+        ("How is customer retention trending across cohorts?", {"op": "cohort"}),
+        ("Show me a cohort retention analysis.", {"op": "cohort"}),
+        ("Which customer cohort has the best retention?", {"op": "cohort"}),
+        ("Are later cohorts retaining customers better than earlier ones?", {"op": "cohort"}),
+        ("Build a cohort analysis heatmap for my sales data.", {"op": "cohort"}),
     ],
 }
 
@@ -100,42 +95,43 @@ _CALLS = {
     "anomaly_zscore": (None, "anomalies", "detect_anomalies(sf, method='zscore')", "anomalies"),
     "anomaly_contextual": (None, "anomalies", "detect_anomalies(sf, method='contextual')", "anomalies"),
     "segments": ("product", "ranking", "compare_segments(sf)", None),
-    "forecast": (None, "result", "forecast(sf, horizon={arg})", None),
+    "forecast": (None, "result", "forecast(sf, horizon={horizon})", None),
     "cohort": ("cohort", "table", "cohort_analysis(sf, cohort_col='cohort')", None),
 }
 
 
-def answer(spec: str) -> tuple[str, str]:
-    """`(operator, script)` of a question's answer, such as `trend+chart`."""
-    body, _, chart = spec.partition("+")
-    op, _, arg = body.partition(":")
+def script(op: str, horizon: int | None = None, chart: bool = False) -> str:
+    """The script that answers a question by an operator."""
     if op == "refusal":
-        return op, REFUSAL_TEXT
+        return REFUSAL_TEXT
     segment, name, call, plot = _CALLS[op]
     options = f", segment_col='{segment}'" if segment else ""
-    lines = [f"sf = load_sales('data.csv'{options})", f"{name} = {call.format(arg=arg)}"]
+    lines = [f"sf = load_sales('data.csv'{options})", f"{name} = {call.format(horizon=horizon)}"]
     if chart:
         lines.append(f"fig = plot_annotated(sf, {plot}={name})")
-    return op, "\n".join([*lines, f"narrate({name})"])
+    return "\n".join([*lines, f"narrate({name})"])
 
 
 def question_bank(types: list[str] | None = None) -> list[dict]:
     rows = []
     for t in sig.signal_types(types):
         for i, (question, spec) in enumerate(QUESTIONS[t]):
-            op, code = answer(spec)
             rows.append({
                 "signal_type": t, "type_pos": list(sig.SIGNALS).index(t), "paraphrase_id": i,
-                "question": question, "code": code, "op": op,
+                "question": question, "code": script(**spec), "op": spec["op"],
             })
     return rows
 
 
-def candidates(seeds: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Every question of every type for every seed: the bank is an array literal
-    exploded per seed, so nothing is shuffled."""
-    bank = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in question_bank(types)])
-    return seeds.select(F.col("seed").cast("bigint").alias("seed"), F.inline(bank))
+def candidates(claims: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Every question of its kind for every claim: the bank is a map literal whose entry is exploded per claim, so
+    nothing is shuffled.  Claims of other kinds have none."""
+    by_type: dict[str, list[Column]] = {}
+    for row in question_bank(types):
+        fields = [F.lit(v).alias(k) for k, v in row.items() if k != "signal_type"]
+        by_type.setdefault(row["signal_type"], []).append(F.struct(*fields))
+    bank = F.create_map(*[x for t, rows in by_type.items() for x in (F.lit(t), F.array(*rows))])
+    return claims.where(F.col("signal_type").isin(list(by_type))).select(*claims.columns, F.inline(bank[F.col("signal_type")]))
 
 
 def passes_as_refusal(code: Column) -> Column:
@@ -145,74 +141,10 @@ def passes_as_refusal(code: Column) -> Column:
     return text.startswith("#") & (low.contains("outside") | low.contains("scope"))
 
 
-def _anomaly_flags(sf: SalesFrame, seeds: DataFrame, types: list[str], method: str, strict: bool) -> DataFrame:
-    keys = list(sig.KEYS)
-    found = detect_anomalies(sf, method).anomalies
-    if strict:
-        tolerance = F.create_map(*[x for t in types for x in (F.lit(t), F.lit(sig.SIGNALS[t].tolerance))])
-        near = F.abs(F.datediff("ds", "planted_ds")) <= tolerance[F.col("signal_type")]
-        found = found.join(sig.planted_dates(seeds, types), keys).where(near)
-    return found.select(*keys).distinct().withColumn("detected", F.lit(True))
-
-
-def _flags(op: str, seeds: DataFrame, types: list[str], strict: bool) -> DataFrame:
-    """`(signal_type, seed, detected)` of one operator over all its datasets."""
-    sf = sig.frame(seeds, types)
-    keys = list(sig.KEYS)
-    rising = F.col("signal_type") == "trend_up"
-    if op == "trend":
-        ends = decompose_trend(sf).components.groupBy(*keys).agg(
-            (F.max_by("trend", "ds") - F.min_by("trend", "ds")).alias("rise")
-        )
-        return ends.select(*keys, F.when(rising, F.col("rise") > 0).otherwise(F.col("rise") < 0).alias("detected"))
-    if op == "growth":
-        limit = 0.03 if strict else 0.02
-        g = growth_metrics(sf).summary
-        return g.select(*keys, F.when(rising, F.col("cagr") > limit).otherwise(F.col("cagr") < -limit).alias("detected"))
-    if op.startswith("anomaly_"):
-        return _anomaly_flags(sf, seeds, types, op.removeprefix("anomaly_"), strict)
-    if op == "segments":
-        sr = compare_segments(sf)
-        last = sr.summary.groupBy(*keys).agg(F.max_by("segment", sr.order).alias("bottom"))
-        return last.select(*keys, (F.upper("bottom") == "C").alias("detected"))
-    if op == "forecast":
-        # one fit serves every horizon
-        return forecast(sf, 12).forecast.groupBy(*keys).agg((F.count(F.lit(1)) > 0).alias("detected"))
-    rows = cohort_analysis(sf, "segment").retention
-    return rows.groupBy(*keys).agg((F.count(F.lit(1)) > 0).alias("detected"))
-
-
-def verify_signals(seeds: DataFrame, types: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """`(signal_type, seed, op, ran, detected)`: each operator runs once over the
-    datasets of all seeds.  `strict` also asks for the planted date and a larger
-    growth rate."""
-    chosen = sig.signal_types(types)
-    by_op: dict[str, list[str]] = {}
-    for t in chosen:
-        for op in sig.SIGNALS[t].ops:
-            by_op.setdefault(op, []).append(t)
-    keys = list(sig.KEYS)
-    # every dataset is long enough to load, so an operator always runs; a dataset
-    # missing from its flags was run without a detection
-    expected = sig.plan(seeds, chosen)
-    parts = []
-    for op, of in by_op.items():
-        all_sets = expected.where(F.col("signal_type").isin(of))
-        if op == "refusal":
-            done = all_sets.withColumn("detected", F.lit(True))
-        else:
-            done = all_sets.join(_flags(op, seeds, of, strict), keys, "left")
-        parts.append(done.select(
-            *keys, F.lit(op).alias("op"), F.lit(True).alias("ran"),
-            F.coalesce("detected", F.lit(False)).alias("detected"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def verify_pairs(pairs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Candidates with `ran`, `detected`, `verified`.  A refusal comment passes
-    both checks for any type."""
-    d = pairs.join(flags, [*sig.KEYS, "op"], "left")
+def verify_pairs(pairs: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates with `ran`, `detected`, `verified`.  `flags` has a row for each (keys…, signal_type, op).  A refusal
+    comment passes both checks for any type."""
+    d = pairs.join(flags.select(*keys, "signal_type", "op", "ran", "detected"), [*keys, "signal_type", "op"], "left")
     refused = passes_as_refusal(F.col("code"))
     ran = refused | F.coalesce("ran", F.lit(False))
     detected = refused | F.coalesce("detected", F.lit(False))
@@ -239,20 +171,46 @@ def split_name(seed: Column) -> Column:
 
 
 def first_pairs(pairs: DataFrame, count: int) -> DataFrame:
-    """The first `count` verified pairs by seed, type and paraphrase."""
-    return pairs.where("verified").orderBy("seed", "type_pos", "paraphrase_id").limit(count)
+    """The first `count` verified pairs by seed, type and paraphrase (seeds that are null come last).
+
+    The seed at which the count is reached is found by counting, a group of `RADIX_BITS` bits of the seed at a time;
+    all pairs of smaller seeds pass, and only the pairs of that seed are ranked.  Rows keep their partitions."""
+    done = pairs.where("verified")
+    # The order of signed numbers as an order of bit groups: the sign bit is turned.
+    turned = F.col("seed").bitwiseXOR(F.lit(-(1 << 63)))
+    left, prefix = count, 0
+    inside = F.col("seed").isNotNull()
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        part = F.shiftrightunsigned(turned, shift).bitwiseAND(F.lit((1 << RADIX_BITS) - 1))
+        sizes = done.where(inside).groupBy(part.alias("part")).count().orderBy("part").collect()
+        for size in sizes:
+            if size["count"] >= left:
+                break
+            left -= size["count"]
+        else:
+            # There are no more pairs than asked for among those with a seed.
+            without = done.where("seed IS NULL").orderBy("type_pos", "paraphrase_id").limit(left)
+            return done.where("seed IS NOT NULL").union(without)
+        prefix = prefix << RADIX_BITS | size.part
+        inside = F.shiftrightunsigned(turned, shift) == F.lit(prefix - (1 << 64) if prefix >> 63 else prefix)
+    last = prefix - (1 << 63)
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("type_pos", "paraphrase_id"))
+    edge = done.where(F.col("seed") == last).withColumn("__rank", rank).where(F.col("__rank") <= left).drop("__rank")
+    return done.where(F.col("seed") < last).union(edge)
 
 
 def generate_pairs(
-    seeds: DataFrame, library_version: str, split: str = "train", count: int | None = None,
-    types: list[str] | None = None, delta_from: str | None = None, strict: bool = False,
+    claims: DataFrame, flags: DataFrame, library_version: str, seed: str, split: str = "train", count: int | None = None,
+    types: list[str] | None = None, delta_from: str | None = None,
 ) -> DataFrame:
-    """Verified pairs of a split in the pair schema."""
+    """Verified pairs of a split in the pair schema.  `claims` has one row per series (its number is the column `seed`)
+    and kind, `flags` is what `verify_claims` says of them."""
     chosen = sig.signal_types(types, delta_from)
-    usable = seeds.where(in_split(F.col("seed"), split))
+    usable = claims.where(in_split(F.col(seed), split)).select(F.col(seed).cast("bigint").alias("seed"), "signal_type")
     if not chosen:
         return usable.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    done = verify_pairs(candidates(usable, chosen), verify_signals(usable, chosen, strict)).where("verified")
+    known = flags.withColumn("seed", F.col(seed).cast("bigint"))
+    done = verify_pairs(candidates(usable, chosen), known, ["seed"]).where("verified")
     if count is not None:
         done = first_pairs(done, count)
     key = [F.col("signal_type"), F.col("seed").cast("string"), F.col("paraphrase_id").cast("string"), F.lit(library_version)]

@@ -1,54 +1,31 @@
-"""Synthetic sales series with planted signals, one dataset per (signal_type, seed).
-
-Every dataset depends on its own seed only, so the plan table can be split over
-any number of tasks, and a lost task reproduces its rows.
-"""
+"""The kinds of signals that questions ask about, and which operators find them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
-
-from ..core import SalesFrame
-from ..functions.ordering import spread
-
-KEYS = ("signal_type", "seed")
-DATASET_SCHEMA = (
-    "signal_type string, seed bigint, ds date, y double, segment string, is_planted boolean"
-)
-
 
 @dataclass(frozen=True)
 class Signal:
-    """Fixed values of one kind of dataset."""
-
-    shape: str
-    freq: str
     ops: tuple[str, ...]  # operators that answer questions about it
-    drift: float = 0.0  # total linear change
-    jolt: float = 0.0  # size of a single planted point
-    floor: float | None = None
-    tolerance: int | None = None  # days between planted and found date
-    segmented: bool = False
+    tolerance: int | None = None  # days between the claimed and a found date
 
 
-# Names in registry order, sizes, floors and tolerances.
+# Names in registry order and tolerances.
 SIGNALS: dict[str, Signal] = {
-    "trend_up": Signal("weekly", "W-MON", ("trend", "growth"), drift=80, floor=0),
-    "trend_down": Signal("weekly", "W-MON", ("trend", "growth"), drift=-80, floor=1),
-    "anomaly_spike": Signal("weekly", "W-MON", ("anomaly_auto", "anomaly_zscore"), jolt=180, tolerance=7),
-    "anomaly_drop": Signal("weekly", "W-MON", ("anomaly_auto", "anomaly_zscore"), jolt=-180, floor=0, tolerance=7),
-    "anomaly_contextual": Signal("daily", "D", ("anomaly_contextual",), jolt=120, floor=0, tolerance=1),
-    "segment_drag": Signal("products", "W-MON", ("segments",), floor=1, segmented=True),
-    "scope_refusal": Signal("flat", "W-MON", ("refusal",)),
-    "forecast_up": Signal("monthly", "MS", ("forecast",), drift=200, floor=1),
-    "cohort_question": Signal("cohorts", "MS", ("cohort",), segmented=True),
+    "trend_up": Signal(("trend", "growth")),
+    "trend_down": Signal(("trend", "growth")),
+    "anomaly_spike": Signal(("anomaly_auto", "anomaly_zscore"), tolerance=7),
+    "anomaly_drop": Signal(("anomaly_auto", "anomaly_zscore"), tolerance=7),
+    "anomaly_contextual": Signal(("anomaly_contextual",), tolerance=1),
+    "segment_drag": Signal(("segments",)),
+    "scope_refusal": Signal(("refusal",)),
+    "forecast_up": Signal(("forecast",)),
+    "cohort_question": Signal(("cohort",)),
 }
 ADDED_LATER = ("forecast_up", "cohort_question")
-WEEKLY_START, MONTHLY_START = "2022-01-03", "2020-01-01"
-PRODUCT_SLOPES = {"A": 1.5, "B": 0.5, "C": -1.2}
-COHORTS = ("2022-Q1", "2022-Q2", "2022-Q3", "2022-Q4")
+# The growth rate that counts as a trend, and the one that strict verification asks for.
+GROWTH, STRICT_GROWTH = 0.02, 0.03
 
 
 def signal_types(types: list[str] | None = None, delta_from: str | None = None) -> list[str]:
@@ -58,116 +35,3 @@ def signal_types(types: list[str] | None = None, delta_from: str | None = None)
         if t not in SIGNALS:
             raise ValueError(f"Unknown signal_type: {t!r}. Valid: {list(SIGNALS)}")
     return [t for t in chosen if delta_from is None or t in ADDED_LATER]
-
-
-def _grid(start: str, n: int, freq: str):
-    import pandas as pd
-
-    return pd.date_range(start, periods=n, freq=freq).to_numpy()
-
-
-def _rows(signal: Signal, seed: int):
-    """(dates, values, segments, index of the planted row) of one dataset.  The
-    order of the random draws is part of the definition."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    planted = None
-    segments = None
-    if signal.shape == "weekly":
-        n = 104
-        level = 200 + rng.normal(0, 10, n)
-        wave = 20 * np.sin(np.linspace(0, 4 * np.pi, n))
-        y = level + wave + rng.normal(0, 5, n) + np.linspace(0, signal.drift, n)
-        if signal.jolt:
-            planted = int(rng.integers(20, 80))
-    elif signal.shape == "daily":
-        n = 104
-        y = 200 + rng.normal(0, 8, n)
-        y[::7] -= 100
-        planted = int(rng.integers(10, 90)) // 7 * 7
-    elif signal.shape == "products":
-        n = 52
-        y = np.concatenate([
-            150 + rng.normal(0, 8, n) + np.linspace(0, slope * 40, n) for slope in PRODUCT_SLOPES.values()
-        ])
-        segments = np.repeat(list(PRODUCT_SLOPES), n)
-    elif signal.shape == "flat":
-        n = 52
-        y = np.full(n, 100.0)
-    elif signal.shape == "monthly":
-        n = 48
-        y = 500 + np.linspace(0, signal.drift, n) + rng.normal(0, 20, n)
-    else:
-        return _cohort_rows(rng)
-    if planted is not None:
-        y[planted] += signal.jolt
-    if signal.floor is not None:
-        y = np.maximum(y, signal.floor)
-    start = MONTHLY_START if signal.freq == "MS" else WEEKLY_START
-    dates = _grid(start, n, signal.freq)
-    return np.tile(dates, len(y) // n), y, segments, planted
-
-
-def _cohort_rows(rng):
-    """Four quarterly cohorts; each later one is shorter and decays faster."""
-    import numpy as np
-
-    dates, values, segments, sizes = [], [], [], []
-    for i, name in enumerate(COHORTS):
-        for month in range(8 - i):
-            size = max(1, int(100 * (0.75 - 0.05 * i) ** month + rng.normal(0, 5)))
-            values.append(np.round(rng.uniform(50, 200, size), 2))
-            dates.append(np.datetime64("2022-01") + 3 * i + month)
-            segments.append(name)
-            sizes.append(size)
-    days = np.array(dates, dtype="datetime64[ns]").repeat(sizes)
-    return days, np.concatenate(values), np.array(segments, object).repeat(sizes), None
-
-
-def datasets(plan: DataFrame) -> DataFrame:
-    """Rows of every planned dataset.  Only the plan (one row per dataset) is
-    shuffled; its expansion is narrow."""
-
-    def expand(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                names, seeds = batch["signal_type"].iloc[at : at + 200], batch["seed"].iloc[at : at + 200]
-                sets = [_rows(SIGNALS[name], int(seed)) for name, seed in zip(names, seeds)]
-                sizes = [len(y) for _, y, _, _ in sets]
-                planted = [np.arange(len(y)) == (-1 if p is None else p) for _, y, _, p in sets]
-                none = [np.full(len(y), None) if seg is None else np.asarray(seg, object) for _, y, seg, _ in sets]
-                yield pd.DataFrame({
-                    "signal_type": names.repeat(sizes).to_numpy(), "seed": seeds.repeat(sizes).to_numpy(),
-                    "ds": np.concatenate([d for d, _, _, _ in sets]), "y": np.concatenate([y for _, y, _, _ in sets]),
-                    "segment": np.concatenate(none), "is_planted": np.concatenate(planted),
-                })
-
-    planned = plan.select("signal_type", F.col("seed").cast("bigint").alias("seed"))
-    return spread(planned, list(KEYS)).mapInPandas(expand, DATASET_SCHEMA)
-
-
-def plan(seeds: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """`(signal_type, seed)` for every seed and type."""
-    names = F.array(*[F.lit(t) for t in signal_types(types)])
-    distinct = seeds.select(F.col("seed").cast("bigint").alias("seed")).distinct()
-    return distinct.select(F.explode(names).alias("signal_type"), "seed")
-
-
-def frame(seeds: DataFrame, types: list[str]) -> SalesFrame:
-    """Datasets of types that share a shape as one keyed frame.  The generator
-    emits complete grids, so nothing has to be filled."""
-    first = SIGNALS[types[0]]
-    rows = datasets(plan(seeds, types)).withColumn("is_gap", F.lit(False))
-    segment = "segment" if first.segmented else None
-    return SalesFrame(
-        rows.select(*KEYS, *([segment] if segment else []), "ds", "y", "is_gap"),
-        first.freq, KEYS, segment, one_row_per_date=first.shape != "cohorts",
-    )
-
-
-def planted_dates(seeds: DataFrame, types: list[str]) -> DataFrame:
-    return datasets(plan(seeds, types)).where("is_planted").select(*KEYS, F.col("ds").alias("planted_ds"))

@@ -135,26 +135,33 @@ def trend_over_rows(spark, folder):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {MONTHLY}, {sql.stl(PRIORITY, 'f', 12)}
+SELECT o_orderpriority, ds, round(y, 2) AS y, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(residual, 2) AS residual FROM parts""")
 def stl_monthly(spark, folder):
     d = decompose_trend(monthly(spark, folder)).components
     return d.select("o_orderpriority", "ds", *[F.round(c, 2).alias(c) for c in ("y", "trend", "seasonal", "residual")])
 
 
-# The parts add up to the series, point by point, for every supplier.
-@query(f"""WITH {sql.prepared('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey'], 'MS')}
-SELECT l_suppkey, ds, y, y AS recomposed FROM f WHERE y IS NOT NULL""")
+SUPPLIER_MONTHLY = sql.prepared("lineitem", "l_shipdate", "sum(l_quantity)", ["l_suppkey"], "MS")
+
+
+def supplier_monthly(spark, folder):
+    return to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
+
+
+# What trend and season explain, point by point, for every supplier.
+@query(f"""WITH RECURSIVE {SUPPLIER_MONTHLY}, {sql.stl(['l_suppkey'], 'f', 12)}
+SELECT l_suppkey, ds, y, round(trend + seasonal, 4) AS recomposed FROM parts""")
 def stl_recomposed(spark, folder):
-    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
-    d = decompose_trend(sf).components
-    whole = F.round(F.col("trend") + F.col("seasonal") + F.col("residual"), 6)
-    return d.select("l_suppkey", "ds", "y", whole.alias("recomposed"))
+    d = decompose_trend(supplier_monthly(spark, folder)).components
+    return d.select("l_suppkey", "ds", "y", F.round(F.col("trend") + F.col("seasonal"), 4).alias("recomposed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SUPPLIER_MONTHLY}, {sql.stl(['l_suppkey'], 'f', 12)}
+SELECT l_suppkey, count(*) AS n, round(stddev_samp(seasonal), 2) AS seasonal_sd,
+  round(last(trend ORDER BY ds) - first(trend ORDER BY ds), 2) AS rise FROM parts GROUP BY 1""")
 def stl_many_series(spark, folder):
-    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
-    d = decompose_trend(sf).components
+    d = decompose_trend(supplier_monthly(spark, folder)).components
     return d.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp("seasonal"), 2).alias("seasonal_sd"),
         F.round(F.max_by("trend", "ds") - F.min_by("trend", "ds"), 2).alias("rise"),
@@ -244,29 +251,31 @@ def anomaly_contextual_over_rows(spark, folder):
     return _found(detect_anomalies(lineitem_rows(spark, folder), "contextual", 1.65))
 
 
-@query()
+@query(f"""WITH {sql.prepared(*ORDERS, "sum(o_totalprice)", PRIORITY)}, {sql.forest(PRIORITY, 'f')}
+{_found_sql('o_orderpriority, ', 'iforest', 'side', 0.05)} FROM found""")
 def anomaly_iforest(spark, folder):
     return _found(detect_anomalies(orders_series(spark, folder, keys=PRIORITY), "iforest"), "o_orderpriority")
 
 
-@query()
+@query(f"""WITH {SUPPLIER_MONTHLY}, {sql.forest(['l_suppkey'], 'f')}
+{_found_sql('l_suppkey, ', 'iforest', 'side', 0.05)} FROM found""")
+def anomaly_iforest_many_series(spark, folder):
+    return _found(detect_anomalies(supplier_monthly(spark, folder), "iforest"), "l_suppkey")
+
+
+# Far more rows than a forest draws, and many of them equal.
+@query(f"""WITH s AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS ds, l_extendedprice AS y FROM lineitem), {sql.forest(['l_returnflag'], 's')}
+{_found_sql('l_returnflag, ', 'iforest', 'side', 0.05)} FROM found""")
 def anomaly_iforest_over_rows(spark, folder):
     return _found(detect_anomalies(lineitem_rows(spark, folder, ["l_returnflag"]), "iforest"), "l_returnflag")
 
 
-# At most 5 % of a series is flagged, and the largest value of every series is.
-@query(f"""WITH {sql.prepared('orders', 'o_orderdate', 'sum(o_totalprice)', PRIORITY)}
-SELECT o_orderpriority, count(y) AS n, true AS few, true AS has_largest FROM f GROUP BY 1""")
+# What share of a series is flagged, and whether its largest value is.
+@query(f"""WITH s AS (SELECT CAST(l_shipdate AS DATE) AS ds, l_quantity AS y FROM lineitem), {sql.forest([], 's')}
+SELECT y, count(*) AS found, round(max(score), 4) AS score FROM found GROUP BY 1""")
 def anomaly_iforest_share(spark, folder):
-    sf = orders_series(spark, folder, keys=PRIORITY)
-    found = detect_anomalies(sf, "iforest").anomalies.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("found"), F.max("y").alias("top")
-    )
-    all_ = sf.observed().groupBy("o_orderpriority").agg(F.count("y").alias("n"), F.max("y").alias("largest"))
-    return all_.join(found, "o_orderpriority").select(
-        "o_orderpriority", "n", (F.col("found") <= F.ceil(F.col("n") * 0.05)).alias("few"),
-        (F.col("top") == F.col("largest")).alias("has_largest"),
-    )
+    found = detect_anomalies(lineitem_rows(spark, folder, value="l_quantity"), "iforest").anomalies
+    return found.groupBy("y").agg(F.count(F.lit(1)).alias("found"), F.round(F.max("score"), 4).alias("score"))
 
 
 # --- segments -----------------------------------------------------------------
@@ -323,27 +332,36 @@ def holt_fixed(spark, folder):
     return d.select("o_orderpriority", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
 
 
-@query()
+def _ahead_sql(keys: list[str], src: str, period: int, horizon: int) -> str:
+    return (f"WITH RECURSIVE {src}, {sql.holt_winters(keys, 'f', period, horizon)} SELECT {keys[0]}, step, "
+            "CAST(last_ds + to_months(step) AS DATE) AS ds, round(yhat, 2) AS yhat, round(yhat - 1.28 * sd, 2) AS lower, "
+            "round(yhat + 1.28 * sd, 2) AS upper FROM ahead")
+
+
+def _ahead(fc, key):
+    return fc.forecast.select(key, "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
+
+
+@query(_ahead_sql(PRIORITY, MONTHLY, 12, 12))
 def forecast_hw(spark, folder):
-    d = forecast(monthly(spark, folder), 12).forecast
-    return d.select("o_orderpriority", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
+    return _ahead(forecast(monthly(spark, folder), 12), "o_orderpriority")
 
 
-# The dates of a forecast, and that its band encloses it.
-@query(f"""WITH {sql.prepared('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey'], 'MS')},
-e AS (SELECT l_suppkey, max(ds) AS last_ds FROM f WHERE y IS NOT NULL GROUP BY 1)
-SELECT l_suppkey, CAST(i AS INTEGER) AS step, CAST(last_ds + to_months(CAST(i AS INTEGER)) AS DATE) AS ds, true AS inside FROM e, range(1, 4) t(i)""")
+# The dates of a forecast, and whether its band has a width.
+@query(f"""WITH RECURSIVE {sql.prepared('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_partkey'], 'QS')},
+{sql.holt_winters(['l_partkey'], 'f', 4, 3)}
+SELECT l_partkey, step, CAST(last_ds + to_months(3 * step) AS DATE) AS ds, sd > 1e-6 AS inside FROM ahead""")
 def forecast_dates(spark, folder):
-    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
-    inside = (F.col("lower") < F.col("yhat")) & (F.col("yhat") < F.col("upper"))
-    return forecast(sf, 3).forecast.select("l_suppkey", "step", "ds", inside.alias("inside"))
+    sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_partkey"], freq="Q")
+    inside = F.col("upper") - F.col("lower") > 2.56e-6
+    return forecast(sf, 3).forecast.select("l_partkey", "step", "ds", inside.alias("inside"))
 
 
-@query()
+# Some suppliers have less than two years of sales: their model has no season.
+@query(_ahead_sql(["l_suppkey"], sql.prepared("lineitem", "l_shipdate", "sum(l_quantity)", ["l_suppkey"], "MS"), 12, 3))
 def forecast_many_series(spark, folder):
     sf = to_series(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity", keys=["l_suppkey"], freq="M")
-    d = forecast(sf, 3).forecast
-    return d.select("l_suppkey", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "lower", "upper")])
+    return _ahead(forecast(sf, 3), "l_suppkey")
 
 
 @query("""WITH s AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ds FROM orders GROUP BY 1, 2)
@@ -452,6 +470,14 @@ def narrate_segments(spark, folder):
     return narrate(compare_segments(orders_series(spark, folder, segment_col="o_orderpriority", freq="M")))
 
 
+@query(f"""WITH RECURSIVE {MONTHLY}, {sql.stl(PRIORITY, 'f', 12)},
+e AS (SELECT o_orderpriority, last(trend ORDER BY ds) - first(trend ORDER BY ds) AS rise, stddev_samp(seasonal) AS sd FROM parts GROUP BY 1)
+SELECT o_orderpriority, NULL::DATE AS ds, 'Underlying trend: ' || {_SIGN.format(x='rise', up='upward', down='downward')} ||
+' over the full period. Seasonal component strength (std): ' || {sql.fixed('sd', 2)} || '. Decomposition period: 12.' AS text FROM e""")
+def narrate_seasons(spark, folder):
+    return narrate(decompose_trend(monthly(spark, folder)))
+
+
 @query(f"""WITH {sql.prepared('events', 'ts', 'sum(value)', ['event_type'])},
 t AS (SELECT *, avg(y) OVER (PARTITION BY event_type ORDER BY ds ROWS BETWEEN 13 PRECEDING AND 12 FOLLOWING) AS trend FROM f WHERE y IS NOT NULL),
 e AS (SELECT event_type, last(trend ORDER BY ds) - first(trend ORDER BY ds) AS rise FROM t GROUP BY 1)

@@ -1,8 +1,6 @@
-"""Signal, pair, curation and evaluation queries.
+"""Claim, pair, curation and evaluation queries.
 
-Seeds are supplier keys and ids are row keys of the given tables, so the work of
-every query grows with them.
-"""
+Claims are about the sales of the given suppliers and orders, so the work of every query grows with the tables."""
 
 from __future__ import annotations
 
@@ -12,47 +10,123 @@ from ..operators import curation as cur
 from ..operators import evaluate as ev
 from ..operators import pairs as pr
 from ..operators import signals as sig
+from ..operators.series import to_series
+from ..operators.verify import verify_claims
 from . import sqltext as sql
 from .registry import query, table
+from .series_queries import orders_series
+
+# --- claims about suppliers ---------------------------------------------------
+# A supplier in the black claims a rising trend, others a falling one; its dearest line is the claimed spike, its
+# cheapest the claimed drop and the flag of that one the segment that drags; every supplier asks the other questions.
+
+SUPPLIER_CLAIMS = """line AS (SELECT l_suppkey, max({'p': l_extendedprice, 'd': CAST(l_shipdate AS DATE)}) AS top,
+  min({'p': l_extendedprice, 'd': CAST(l_shipdate AS DATE), 'f': l_returnflag}) AS low FROM lineitem GROUP BY 1),
+claims AS (SELECT l_suppkey, CASE WHEN s_acctbal >= 0 THEN 'trend_up' ELSE 'trend_down' END AS signal_type, NULL::DATE AS claimed_ds,
+    NULL::VARCHAR AS claimed_segment FROM line JOIN supplier ON s_suppkey = l_suppkey
+  UNION ALL SELECT l_suppkey, 'anomaly_spike', top.d, NULL FROM line UNION ALL SELECT l_suppkey, 'anomaly_drop', low.d, NULL FROM line
+  UNION ALL SELECT l_suppkey, 'segment_drag', NULL, low.f FROM line
+  UNION ALL SELECT l_suppkey, unnest(['scope_refusal', 'forecast_up', 'cohort_question']), NULL, NULL FROM line)"""
+
+
+def supplier_claims(spark, folder):
+    day = F.col("l_shipdate").cast("date")
+    line = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(
+        F.max(F.struct(F.col("l_extendedprice").alias("p"), day.alias("d"))).alias("top"),
+        F.min(F.struct(F.col("l_extendedprice").alias("p"), day.alias("d"), F.col("l_returnflag").alias("f"))).alias("low"))
+    balance = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    no_day, no_segment = F.lit(None).cast("date"), F.lit(None).cast("string")
+
+    def claim(kind, ds=no_day, segment=no_segment):
+        return F.struct(F.lit(kind).alias("signal_type"), ds.alias("claimed_ds"), segment.alias("claimed_segment"))
+
+    fixed = F.array(
+        claim("anomaly_spike", F.col("top.d")), claim("anomaly_drop", F.col("low.d")),
+        claim("segment_drag", no_day, F.col("low.f")), claim("scope_refusal"), claim("forecast_up"), claim("cohort_question"))
+    rows = line.select("l_suppkey", F.inline(fixed))
+    trend = F.when(F.col("s_acctbal") >= 0, F.lit("trend_up")).otherwise(F.lit("trend_down"))
+    return rows.unionByName(line.join(balance, "l_suppkey").select(
+        "l_suppkey", trend.alias("signal_type"), no_day.alias("claimed_ds"), no_segment.alias("claimed_segment")))
+
+
+def supplier_frames(spark, folder):
+    lines = table(spark, folder, "lineitem")
+
+    def of(freq, segment=None):
+        return to_series(lines, "l_shipdate", "l_quantity", keys=["l_suppkey"], segment_col=segment, freq=freq)
+
+    flags = of("M", "l_returnflag")
+    return {"trend": of("M"), "growth": of("M"), "forecast": of("M"), "anomaly": of("W-MON"), "segments": flags, "cohort": flags}
+
+
+@query(f"WITH {SUPPLIER_CLAIMS} SELECT * FROM claims")
+def signal_claims(spark, folder):
+    return supplier_claims(spark, folder)
+
+
+def _verified_sql(strict: bool) -> str:
+    growth = sig.STRICT_GROWTH if strict else sig.GROWTH
+    monthly = sql.prepared("lineitem", "l_shipdate", "sum(l_quantity)", ["l_suppkey"], "MS")
+    weekly = f"""{sql.series('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey'], 'W-MON', name='ws')},
+wf AS (WITH x AS (SELECT 1), {sql.filled(['l_suppkey'], 'W-MON', src='ws', name='inner_f').strip()} SELECT * FROM inner_f)"""
+    flags = f"""{sql.series('lineitem', 'l_shipdate', 'sum(l_quantity)', ['l_suppkey', 'l_returnflag'], 'MS', name='fs')},
+ff AS (WITH x AS (SELECT 1), {sql.filled(['l_suppkey', 'l_returnflag'], 'MS', src='fs', name='inner_f').strip()} SELECT * FROM inner_f)"""
+    near = ("EXISTS (SELECT 1 FROM found WHERE found.l_suppkey = c.l_suppkey AND abs(found.ds - c.claimed_ds) <= 7 AND score > {t})"
+            if strict else "EXISTS (SELECT 1 FROM found WHERE found.l_suppkey = c.l_suppkey AND score > {t})")
+    return f"""WITH RECURSIVE {monthly}, {weekly}, {flags}, {sql.stl(['l_suppkey'], 'f', 12)}, {SUPPLIER_CLAIMS},
+short AS (SELECT l_suppkey, ds, avg(y) OVER (PARTITION BY l_suppkey ORDER BY ds ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS trend
+  FROM f WHERE y IS NOT NULL AND l_suppkey NOT IN (SELECT l_suppkey FROM a0)),
+rise AS (SELECT l_suppkey, last(trend ORDER BY ds) - first(trend ORDER BY ds) AS rise FROM (
+  SELECT l_suppkey, ds, trend FROM parts UNION ALL SELECT * FROM short) GROUP BY 1),
+months AS (SELECT l_suppkey, count(*) AS n, CASE WHEN first(y ORDER BY ds) > 0 THEN
+  pow(last(y ORDER BY ds) / first(y ORDER BY ds), 1 / greatest(count(*) / 12.0, 0.01)) - 1 END AS cagr FROM f WHERE y IS NOT NULL GROUP BY 1),
+weeks AS (SELECT l_suppkey, count(*) AS n FROM wf WHERE y IS NOT NULL GROUP BY 1),
+found AS (SELECT l_suppkey, ds, abs(y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0) AS score FROM wf WHERE y IS NOT NULL
+  WINDOW w AS (PARTITION BY l_suppkey)),
+worst AS (SELECT l_suppkey, l_returnflag FROM (SELECT l_suppkey, l_returnflag, CASE WHEN first(y ORDER BY ds) > 0 THEN
+    pow(last(y ORDER BY ds) / first(y ORDER BY ds), 1 / (count(*) / 12.0)) - 1 END AS cagr FROM ff WHERE y IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY cagr NULLS FIRST, l_returnflag DESC) = 1),
+parts_n AS (SELECT l_suppkey, count(*) AS n FROM ff WHERE y IS NOT NULL GROUP BY 1),
+j AS (SELECT c.*, m.n AS months, wk.n AS weeks, pn.n AS flag_rows, rise, cagr, l_returnflag,
+    {near.format(t='3.0')} AS far_out, {near.format(t='2.5')} AS out FROM claims c LEFT JOIN months m USING (l_suppkey)
+  LEFT JOIN weeks wk USING (l_suppkey) LEFT JOIN parts_n pn USING (l_suppkey) LEFT JOIN rise USING (l_suppkey) LEFT JOIN worst USING (l_suppkey)),
+verdicts AS (
+  SELECT *, 'trend' AS op, months >= 2 AS ran, CASE signal_type WHEN 'trend_up' THEN rise > 0 ELSE rise < 0 END AS seen FROM j WHERE signal_type LIKE 'trend%'
+  UNION ALL SELECT *, 'growth', months >= 2, CASE signal_type WHEN 'trend_up' THEN cagr > {growth} ELSE cagr < -{growth} END FROM j WHERE signal_type LIKE 'trend%'
+  UNION ALL SELECT *, 'anomaly_zscore', weeks >= 2, far_out FROM j WHERE signal_type LIKE 'anomaly%'
+  UNION ALL SELECT *, 'anomaly_auto', weeks >= 2, out FROM j WHERE signal_type LIKE 'anomaly%'
+  UNION ALL SELECT *, 'segments', flag_rows >= 2, l_returnflag = claimed_segment FROM j WHERE signal_type = 'segment_drag'
+  UNION ALL SELECT *, 'refusal', true, true FROM j WHERE signal_type = 'scope_refusal'
+  UNION ALL SELECT *, 'forecast', months >= 4, months >= 4 FROM j WHERE signal_type = 'forecast_up'
+  UNION ALL SELECT *, 'cohort', flag_rows >= 2, flag_rows >= 1 FROM j WHERE signal_type = 'cohort_question'),
+checked AS (SELECT l_suppkey, signal_type, claimed_ds, claimed_segment, op, coalesce(ran, false) AS ran, coalesce(ran AND seen, false) AS detected FROM verdicts)"""
+
+
+@query(_verified_sql(False) + " SELECT * FROM checked")
+def signal_verification(spark, folder):
+    return verify_claims(supplier_claims(spark, folder), supplier_frames(spark, folder))
 
 
-def supplier_seeds(spark, folder):
-    return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("seed"))
-
-
-# --- planted signals ----------------------------------------------------------
-
-@query()
-def signals_summary(spark, folder):
-    rows = sig.datasets(sig.plan(supplier_seeds(spark, folder)))
-    return rows.groupBy("signal_type", "seed").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
-        F.round(F.avg("y"), 4).alias("mean"), F.max(F.when(F.col("is_planted"), F.col("ds"))).alias("planted_ds"),
-    )
-
-
-@query("""SELECT 'scope_refusal' AS signal_type, s_suppkey AS seed, DATE '2022-01-03' + 7 * CAST(i AS INTEGER) AS ds, 100.0::DOUBLE AS y
-FROM supplier, range(0, 52) t(i)""")
-def signals_flat(spark, folder):
-    return sig.datasets(sig.plan(supplier_seeds(spark, folder), ["scope_refusal"])).select("signal_type", "seed", "ds", "y")
-
-
-_SHAPES = [
-    ("trend_up", 104, "2022-01-03", "2023-12-25", 0), ("trend_down", 104, "2022-01-03", "2023-12-25", 0),
-    ("anomaly_spike", 104, "2022-01-03", "2023-12-25", 1), ("anomaly_drop", 104, "2022-01-03", "2023-12-25", 1),
-    ("anomaly_contextual", 104, "2022-01-03", "2022-04-16", 1), ("segment_drag", 156, "2022-01-03", "2022-12-26", 0),
-    ("scope_refusal", 52, "2022-01-03", "2022-12-26", 0), ("forecast_up", 48, "2020-01-01", "2023-12-01", 0),
-]
-
-
-@query(f"""WITH {sql.values(_SHAPES, ['signal_type', 'n', 'lo', 'hi', 'planted'], 'k')}
-SELECT signal_type, s_suppkey AS seed, CAST(n AS BIGINT) AS n, CAST(lo AS DATE) AS first_ds, CAST(hi AS DATE) AS last_ds, CAST(planted AS BIGINT) AS planted FROM supplier, k""")
-def signals_shape(spark, folder):
-    rows = sig.datasets(sig.plan(supplier_seeds(spark, folder), [s[0] for s in _SHAPES]))
-    return rows.groupBy("signal_type", "seed").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
-        F.count_if("is_planted").alias("planted"),
-    )
+@query(_verified_sql(True) + " SELECT * FROM checked")
+def signal_verification_strict(spark, folder):
+    return verify_claims(supplier_claims(spark, folder), supplier_frames(spark, folder), strict=True)
+
+
+# Was the day of an order, or the one beside it, unusual for its weekday?  Every order is a claim about the daily
+# revenue of its priority, so a few series and days hold them all.
+@query(f"""WITH {sql.prepared('orders', 'o_orderdate', 'sum(o_totalprice)', ['o_orderpriority'])},
+z AS (SELECT o_orderpriority, ds, (y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0) AS score FROM f WHERE y IS NOT NULL
+  WINDOW w AS (PARTITION BY o_orderpriority, isodow(ds))),
+near AS (SELECT DISTINCT o_orderpriority, ds + CAST(d AS INTEGER) AS ds FROM z, range(-1, 2) r(d) WHERE abs(score) > 2.5),
+n AS (SELECT o_orderpriority, count(y) AS n FROM f GROUP BY 1)
+SELECT o_orderkey, n >= 2 AS ran, n >= 2 AND near.ds IS NOT NULL AS detected FROM orders o JOIN n USING (o_orderpriority)
+LEFT JOIN near ON near.o_orderpriority = o.o_orderpriority AND near.ds = CAST(o.o_orderdate AS DATE)""")
+def order_days_verified(spark, folder):
+    claims = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderpriority", F.lit("anomaly_contextual").alias("signal_type"),
+        F.col("o_orderdate").cast("date").alias("claimed_ds"), F.lit(None).cast("string").alias("claimed_segment"))
+    daily = orders_series(spark, folder, keys=["o_orderpriority"])
+    return verify_claims(claims, {"anomaly": daily}, strict=True).select("o_orderkey", "ran", "detected")
 
 
 # --- pairs --------------------------------------------------------------------
@@ -65,51 +139,60 @@ def _bank_sql(types=None) -> str:
     return sql.values(rows, _BANK_COLUMNS, "bank")
 
 
-@query(f"WITH {_bank_sql()} SELECT s_suppkey AS seed, bank.* FROM supplier, bank")
-def pairs_candidates(spark, folder):
-    return pr.candidates(supplier_seeds(spark, folder))
-
-
-@query(f"WITH {_bank_sql(['forecast_up', 'cohort_question'])} SELECT s_suppkey AS seed, bank.* FROM supplier, bank")
-def pairs_delta(spark, folder):
-    return pr.candidates(supplier_seeds(spark, folder), sig.signal_types(delta_from="1.0.0"))
+_CANDIDATES = "SELECT l_suppkey AS seed, bank.* FROM claims JOIN bank USING (signal_type)"
 
 
-_OPS = [(t, op) for t, signal in sig.SIGNALS.items() for op in signal.ops]
-# What must come out: every operator runs on every dataset and finds its signal.
-_ALL_FOUND = f"""WITH {sql.values(_OPS, ['signal_type', 'op'], 'k')}
-SELECT signal_type, s_suppkey AS seed, op, true AS ran, true AS detected FROM supplier, k"""
+def supplier_candidates(spark, folder, types=None):
+    claims = supplier_claims(spark, folder).select(F.col("l_suppkey").alias("seed"), "signal_type")
+    return pr.candidates(claims, types)
 
 
-@query(_ALL_FOUND)
-def signal_verification(spark, folder):
-    seeds = supplier_seeds(spark, folder)
-    return pr.verify_signals(seeds)
+@query(f"WITH {SUPPLIER_CLAIMS}, {_bank_sql()} {_CANDIDATES}")
+def pairs_candidates(spark, folder):
+    return supplier_candidates(spark, folder)
 
 
-@query(_ALL_FOUND)
-def signal_verification_strict(spark, folder):
-    seeds = supplier_seeds(spark, folder)
-    return pr.verify_signals(seeds, strict=True)
+@query(f"WITH {SUPPLIER_CLAIMS}, {_bank_sql(['forecast_up', 'cohort_question'])} {_CANDIDATES}")
+def pairs_delta(spark, folder):
+    return supplier_candidates(spark, folder, sig.signal_types(delta_from="1.0.0"))
 
 
-@query(f"""WITH {_bank_sql()}, p AS (SELECT *, md5(signal_type || '|' || s_suppkey || '|' || paraphrase_id || '|1.0.0') AS h
-  FROM supplier, bank WHERE s_suppkey BETWEEN 0 AND 8999)
-SELECT question, code, signal_type, '1.0.0' AS library_version, s_suppkey AS dataset_seed, paraphrase_id, true AS verified,
+@query(_verified_sql(False) + f""", {_bank_sql()},
+p AS (SELECT bank.*, l_suppkey, md5(signal_type || '|' || l_suppkey || '|' || paraphrase_id || '|1.0.0') AS h
+  FROM checked JOIN bank USING (signal_type, op) WHERE ran AND detected AND l_suppkey BETWEEN 0 AND 8999)
+SELECT question, code, signal_type, '1.0.0' AS library_version, l_suppkey AS dataset_seed, paraphrase_id, true AS verified,
   h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS id FROM p""")
 def pairs_generated(spark, folder):
-    return pr.generate_pairs(supplier_seeds(spark, folder), "1.0.0")
+    claims = supplier_claims(spark, folder)
+    flags = verify_claims(claims, supplier_frames(spark, folder))
+    return pr.generate_pairs(claims, flags, "1.0.0", seed="l_suppkey")
 
 
 # Verified here by a rule SQL can state, to check the order of the cut.
-@query(f"""WITH {_bank_sql()} SELECT seed, signal_type, paraphrase_id, question FROM (
-SELECT s_suppkey AS seed, bank.*, (s_suppkey + paraphrase_id) % 4 <> 0 AS verified FROM supplier, bank)
-WHERE verified ORDER BY seed, type_pos, paraphrase_id LIMIT 100""")
+def _first_sql(n: int) -> str:
+    return f"""WITH {_bank_sql()} SELECT seed, signal_type, paraphrase_id FROM (
+SELECT o_orderkey AS seed, bank.*, (o_orderkey + paraphrase_id) % 4 <> 0 AS verified FROM orders JOIN bank ON signal_type = CASE
+  o_orderstatus WHEN 'F' THEN 'trend_up' WHEN 'O' THEN 'segment_drag' ELSE 'scope_refusal' END)
+WHERE verified ORDER BY seed, type_pos, paraphrase_id LIMIT {n}"""
+
+
+def _first(spark, folder, n):
+    kind = F.when(F.col("o_orderstatus") == "F", F.lit("trend_up")).when(
+        F.col("o_orderstatus") == "O", F.lit("segment_drag")).otherwise(F.lit("scope_refusal"))
+    claims = table(spark, folder, "orders").select(F.col("o_orderkey").alias("seed"), kind.alias("signal_type"))
+    d = pr.candidates(claims).withColumn("verified", (F.col("seed") + F.col("paraphrase_id")) % 4 != 0)
+    return pr.first_pairs(d, n).select("seed", "signal_type", "paraphrase_id")
+
+
+@query(_first_sql(100))
 def pairs_first(spark, folder):
-    d = pr.candidates(supplier_seeds(spark, folder)).withColumn(
-        "verified", (F.col("seed") + F.col("paraphrase_id")) % 4 != 0
-    )
-    return pr.first_pairs(d, 100).select("seed", "signal_type", "paraphrase_id", "question")
+    return _first(spark, folder, 100)
+
+
+# Far into the table, in the middle of one order's questions.
+@query(_first_sql(50_001))
+def pairs_first_many(spark, folder):
+    return _first(spark, folder, 50_001)
 
 
 @query("""SELECT o_orderkey AS seed, CASE WHEN o_orderkey BETWEEN 0 AND 8999 THEN 'train' WHEN o_orderkey BETWEEN 9000 AND 9999 THEN 'held_out' END AS split FROM orders""")
@@ -155,13 +238,13 @@ def pair_contract(spark, folder):
     )
 
 
-@query(f"""WITH {_bank_sql()}, c AS (SELECT DISTINCT signal_type, op, question, code FROM supplier, bank),
-t AS (SELECT s_suppkey AS seed, signal_type, code FROM supplier, bank UNION ALL SELECT conv_id, role, text FROM conversations)
+@query(f"""WITH {SUPPLIER_CLAIMS}, {_bank_sql()},
+t AS (SELECT l_suppkey AS seed, signal_type, code FROM claims JOIN bank USING (signal_type) UNION ALL SELECT conv_id, role, text FROM conversations)
 SELECT seed, signal_type, regexp_matches(code, '(?i)out.of.scope|outside.*scope|cannot|not.*support') AND NOT regexp_matches(code,
  '(load_sales|decompose_trend|growth_metrics|detect_anomalies|compare_segments|plot_annotated|narrate|forecast|cohort_analysis)\\(') AS refusal,
  starts_with(trim(code), '#') AND (contains(lower(code), 'outside') OR contains(lower(code), 'scope')) AS shortcut FROM t""")
 def refusal_flag(spark, folder):
-    answers = pr.candidates(supplier_seeds(spark, folder)).select("seed", "signal_type", "code")
+    answers = supplier_candidates(spark, folder).select("seed", "signal_type", "code")
     turns = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("seed"), F.col("role").alias("signal_type"), F.col("text").alias("code")
     )

@@ -6,7 +6,7 @@ from helpers import days, growing_weekly, mondays, months, rows
 from pyspark.sql import functions as F
 
 import ledgerwave as lw
-from ledgerwave.operators import kernels
+from ledgerwave.operators import kernels, smoothing
 from ledgerwave.operators.segments import ranked
 
 
@@ -303,48 +303,47 @@ def test_forecast_sizes(frame):
         assert all(r.lower < r.yhat < r.upper for r in got) and 560 < got[0].yhat < 640
 
 
-def test_holt_winters_beats_the_coarse_grid():
-    t = np.arange(48)
-    y = 500 + 4 * t + 30 * np.sin(2 * np.pi * t / 12) + np.random.default_rng(2).normal(0, 5, 48)
-    _, _, errors, state = kernels.fit_holt_winters(np.stack([y[::-1], y]), 12)
-    axis = np.array([0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99])
-    a, b, g = (v.ravel()[None] for v in np.meshgrid(axis, axis, axis))
-    start = np.repeat(kernels.first_state(y[None], 12)[:, None], 343, axis=1)
-    sse, _, _ = kernels.smooth(y[None], start, a, b, g, 12)
-    assert (errors[1] ** 2).sum() <= sse.min() + 1e-9
-    future = 500 + 4 * np.arange(48, 60) + 30 * np.sin(2 * np.pi * np.arange(48, 60) / 12)
-    assert np.abs(kernels.project(state, 12, 12)[1] - future).max() < 25
-
-
-def test_smooth_follows_the_recursion():
-    y, m = np.array([3.0, 5, 4, 8, 7, 9, 12, 10, 11]), 4
-    a, b, g = 0.4, 0.2, 0.3
-    start = np.array([2.0, 0.5, 0.1, -0.2, 0.3, -0.2])
-    par = [np.array([[v]]) for v in (a, b, g)]
-    sse, err, last = kernels.smooth(y[None], start[None, None], *par, m, keep=True)
-    lvl, slp, s, want = 2.0, 0.5, list(start[2:]), []
+def smoothed(spark, series):
+    """The fitted row of each (values, period)."""
+    df = spark.createDataFrame([(i, [float(v) for v in y], m) for i, (y, m) in enumerate(series)], "i int, y array<double>, m int")
+    return smoothing.fit(df.withColumn("n", F.size("y"))).orderBy("i").collect()
+
+
+def plain_errors(y, m, start, a, b, g):
+    """One-step errors and final (level, slope, ring) by the textbook's recursion."""
+    level, slope, season, errors = start.l, start.b, list(start.ring), []
     for t, v in enumerate(y):
-        want.append(v - (lvl + slp + s[t]))
-        new = a * (v - s[t]) + (1 - a) * (lvl + slp)
-        s.append(g * (v - lvl - slp) + (1 - g) * s[t])
-        lvl, slp = new, b * (new - lvl) + (1 - b) * slp
-    assert np.allclose(err[0, 0], want) and np.allclose(sse, np.sum(np.square(want)))
-    assert np.allclose(last[0, 0], [lvl, slp, *s[-4:]])
-
-
-def test_isolation_steps_match_a_recursive_tree():
-    rng = np.random.default_rng(4)
-    x = np.round(rng.normal(0, 1, 60), 1)  # with ties
-    edges, levels = kernels.isolation_steps(x)
-    assert len(levels) == len(edges) + 1 and np.all(np.diff(edges) > 0)
-    assert levels.min() > 0 and levels.max() < 1
-    far = levels[np.searchsorted(edges, [x.min(), 0.0, x.max()], side="left")]
-    assert far[0] > far[1] < far[2]
-    # one tree of depth 6 on 60 points: all paths lie between 1 and the limit + its leaf term
-    _, one = kernels.isolation_steps(x, trees=1)
-    paths = -np.log2(one) * kernels.expected_path(60)
-    assert paths.min() >= 1 and paths.max() <= 6 + kernels.expected_path(60)
-    assert kernels.isolation_steps(np.ones(9))[0].size == 0
+        errors.append(v - (level + slope + season[t]))
+        new = level + slope + a * errors[-1]
+        level, slope = new, slope + a * b * errors[-1]
+        season.append(season[t] + g * errors[-1])
+    return np.array(errors), level, slope, season[-m:]
+
+
+def test_smoothing_follows_the_recursion(spark):
+    rng = np.random.default_rng(2)
+    t = np.arange(48)
+    seasonal = 500 + 4 * t + 30 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 5, 48)
+    series = [(seasonal, 12), (seasonal[::-1], 12), (seasonal[:31], 7), (rng.normal(0, 1, 9), 1), (np.arange(4.0), 1)]
+    starts = [r.s for r in spark.createDataFrame(
+        [(i, [float(v) for v in y], m) for i, (y, m) in enumerate(series)], "i int, y array<double>, m int").orderBy("i").select(
+        smoothing.first_states(F.col("y"), F.size("y"), F.col("m")).alias("s")).collect()]
+    line = np.polyfit(np.arange(1, 10), series[3][0], 1)
+    assert np.allclose([starts[3].b, starts[3].l], line) and starts[3].ring == [0.0] and abs(sum(starts[0].ring)) < 1e-9
+    for (y, m), start, row in zip(series, starts, smoothed(spark, series)):
+        errors, level, slope, ring = plain_errors(y, m, start, row.a, row.b, row.g)
+        assert np.allclose([row.state.s1, row.state.s2, row.state.l, row.state.b], [errors.sum(), (errors ** 2).sum(), level, slope])
+        assert np.allclose(row.state.ring, ring) and (m > 1 or row.g == 0)
+        tried = [(plain_errors(y, m, start, a, b, g)[0] ** 2).sum() for a in smoothing.COARSE for b in smoothing.COARSE
+                 for g in (smoothing.COARSE if m > 1 else [0.0])]
+        assert row.sse <= min(tried) * (1 + 1e-12) + 1e-12
+
+
+def test_seasonal_forecast_goes_on(frame):
+    t = np.arange(60)
+    y = 500 + 4 * t + 30 * np.sin(2 * np.pi * t / 12) + np.random.default_rng(2).normal(0, 5, 60)
+    got = lw.forecast(frame([(d, float(v)) for d, v in zip(months(48), y)], "MS"), 12).forecast.orderBy("step").collect()
+    assert np.abs(np.array([r.yhat for r in got]) - (500 + 4 * t[48:] + 30 * np.sin(2 * np.pi * t[48:] / 12))).max() < 25
 
 
 def test_many_series_and_rejects(frame):

@@ -1,22 +1,38 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from helpers import mondays
 from pyspark.sql import functions as F
 
+from ledgerwave import SalesFrame
 from ledgerwave.operators import curation as cur
 from ledgerwave.operators import evaluate as ev
 from ledgerwave.operators import pairs as pr
 from ledgerwave.operators import signals as sig
+from ledgerwave.operators.verify import near_dates, verify_claims
 from ledgerwave.sources import records
 
 
+KINDS = ["trend_up", "trend_down", "anomaly_spike", "anomaly_drop", "segment_drag", "scope_refusal", "forecast_up", "cohort_question"]
+
+
 @pytest.fixture(scope="module")
-def seeds(spark):
-    return spark.createDataFrame([(0,), (1,), (9000,)], "seed bigint")
+def claims(spark):
+    rows = [(k, t) for k in (0, 1, 9000) for t in KINDS]
+    return spark.createDataFrame(rows, "seed bigint, signal_type string").cache()
+
+
+def all_true(claims):
+    return claims.join(spread_ops(claims), "signal_type").withColumns({"ran": F.lit(True), "detected": F.lit(True)})
+
+
+def spread_ops(claims):
+    rows = [(t, op) for t, s in sig.SIGNALS.items() for op in s.ops]
+    return claims.sparkSession.createDataFrame(rows, "signal_type string, op string")
 
 
-def test_registry(spark):
+def test_registry():
     assert list(sig.SIGNALS)[:2] == ["trend_up", "trend_down"] and len(sig.SIGNALS) == 9
     assert sig.signal_types(delta_from="1.0.0") == ["forecast_up", "cohort_question"]
     assert sig.signal_types(["trend_up"], delta_from="1.0.0") == []
@@ -24,68 +40,121 @@ def test_registry(spark):
         sig.signal_types(["nope"])
 
 
-def test_datasets_follow_their_seed(spark, seeds):
-    got = sig.datasets(sig.plan(seeds)).toPandas()
-    spike = got[(got.signal_type == "anomaly_spike") & (got.seed == 1)].sort_values("ds")
-    rng = np.random.default_rng(1)
-    y = 200 + rng.normal(0, 10, 104)
-    y = y + 20 * np.sin(np.linspace(0, 4 * np.pi, 104)) + rng.normal(0, 5, 104)
-    at = int(rng.integers(20, 80))
-    y[at] += 180
-    assert np.allclose(spike.y, y) and spike.is_planted.tolist().index(True) == at
-    flat = got[got.signal_type == "scope_refusal"]
-    assert (flat.y == 100).all() and len(flat) == 3 * 52
-    cohort = got[(got.signal_type == "cohort_question") & (got.seed == 0)]
-    assert sorted(cohort.segment.unique()) == list(sig.COHORTS)
-    assert cohort.groupby("segment").ds.nunique().tolist() == [8, 7, 6, 5]
-    context = got[(got.signal_type == "anomaly_contextual") & got.is_planted]
-    assert all(d.weekday() == 0 for d in context.ds)
-    assert got[got.signal_type == "forecast_up"].ds.min() == date(2020, 1, 1)
-
-
-def test_datasets_do_not_depend_on_partitioning(spark, seeds):
-    plan = sig.plan(seeds)
-    keys = ["signal_type", "seed", "ds", "y", "segment"]
-    a = sig.datasets(plan.coalesce(1)).toPandas().sort_values(keys).reset_index(drop=True)
-    b = sig.datasets(plan.repartition(7)).toPandas().sort_values(keys).reset_index(drop=True)
-    assert a.equals(b)
-
-
-def test_bank_and_candidates(spark, seeds):
+def test_bank_and_candidates(claims):
     bank = pr.question_bank()
     assert len(bank) == 45 and all(len(r["code"].split("\n")) <= pr.MAX_CODE_LINES for r in bank)
     assert bank[0]["code"] == "sf = load_sales('data.csv')\nresult = decompose_trend(sf)\nnarrate(result)"
-    assert pr.answer("forecast:6")[1].split("\n")[1] == "result = forecast(sf, horizon=6)"
-    assert pr.candidates(seeds).count() == 3 * 45
+    assert pr.script("forecast", 6).split("\n")[1] == "result = forecast(sf, horizon=6)"
+    assert pr.candidates(claims).count() == 3 * 5 * len(KINDS)
+    assert pr.candidates(claims, ["trend_up"]).count() == 15
+    assert pr.candidates(claims.withColumn("signal_type", F.lit(None).cast("string"))).count() == 0
     assert sum(not r["question"].endswith("?") for r in bank) == 19
 
 
-def test_generation_respects_split_count_and_order(spark, seeds):
-    got = pr.generate_pairs(seeds, "1.0.0", "train", count=10, types=["trend_up", "segment_drag", "scope_refusal"])
-    rows = got.collect()
+def test_generation_respects_split_count_and_order(claims):
+    flags = all_true(claims)
+    types = ["trend_up", "segment_drag", "scope_refusal"]
+    rows = pr.generate_pairs(claims, flags, "1.0.0", "seed", "train", count=10, types=types).collect()
     assert len(rows) == 10 and all(r.verified for r in rows) and {r.dataset_seed for r in rows} == {0}
     assert {r.signal_type for r in rows} == {"trend_up", "segment_drag"}
-    held = pr.generate_pairs(seeds, "1.0.0", "held_out", types=["scope_refusal"])
+    held = pr.generate_pairs(claims, flags, "1.0.0", "seed", "held_out", types=["scope_refusal"])
     assert {r.dataset_seed for r in held.collect()} == {9000} and held.count() == 5
-    assert pr.generate_pairs(seeds, "1.0.0", types=["trend_up"], delta_from="1.0.0").count() == 0
-
-
-@pytest.mark.parametrize("strict", [False, True])
-def test_all_signals_are_found(spark, seeds, strict):
-    flags = pr.verify_signals(seeds, strict=strict)
-    assert flags.count() == 3 * 13 and flags.where("NOT detected OR NOT ran").count() == 0
+    assert pr.generate_pairs(claims, flags, "1.0.0", "seed", types=["trend_up"], delta_from="1.0.0").count() == 0
 
 
-def test_undetected_and_refusal_pairs(spark, seeds):
-    flags = pr.verify_signals(seeds, ["segment_drag"]).withColumn("detected", F.lit(False))
-    d = pr.candidates(seeds, ["segment_drag"])
-    assert pr.verify_pairs(d, flags).where("ran AND NOT detected AND NOT verified").count() == 15
+@pytest.mark.parametrize("count", [0, 1, 7, 100, 299, 300, 301, 5000])
+def test_first_pairs(spark, count):
+    rng = np.random.default_rng(1)
+    seeds = [-(2 ** 63), -5, -1, 0, 1, 2 ** 40, 2 ** 40 + 1, 2 ** 63 - 1]
+    rows = [(int(s), int(k // 5), int(k % 5), bool(rng.random() < 0.9)) for s in seeds for k in range(40)] + [
+        (None, k, 0, True) for k in range(12)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    d = spark.createDataFrame(rows, "seed bigint, type_pos int, paraphrase_id int, verified boolean")
+    want = sorted((r[:3] for r in rows if r[3]), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))[:count]
+    got = sorted((tuple(r)[:3] for r in pr.first_pairs(d, count).collect()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+    assert got == want
+    assert pr.first_pairs(d.where("false"), count).count() == 0
+
+
+def test_undetected_and_refusal_pairs(claims):
+    flags = all_true(claims).withColumn("detected", F.lit(False))
+    d = pr.candidates(claims, ["segment_drag"])
+    assert pr.verify_pairs(d, flags, ["seed"]).where("ran AND NOT detected AND NOT verified").count() == 15
     refused = d.withColumn("code", F.lit("  # Outside of what I do"))
-    assert pr.verify_pairs(refused, flags).where("verified").count() == 15
-
-
-def test_contract(spark, seeds):
-    pairs = pr.generate_pairs(seeds, "1.0.0", types=["scope_refusal", "trend_up"])
+    assert pr.verify_pairs(refused, flags, ["seed"]).where("verified").count() == 15
+    assert pr.verify_pairs(d, flags.where("false"), ["seed"]).where("verified OR ran").count() == 0
+
+
+# --- verification
+
+WEEKS = mondays(104)
+
+
+def keyed(spark, series, freq="W-MON", segment=None):
+    """A frame of {key: values or {segment: values}} on weekly dates."""
+    rows = []
+    for k, values in series.items():
+        for name, ys in (values.items() if segment else [(None, values)]):
+            rows += [(k, *([name] if segment else []), d, None if y is None else float(y), y is None) for d, y in zip(WEEKS, ys)]
+    extra = f"{segment} string, " if segment else ""
+    return SalesFrame(spark.createDataFrame(rows, f"k string, {extra}ds date, y double, is_gap boolean"), freq, ("k",), segment,
+                      one_row_per_date=True)
+
+
+def verified(spark, claims, frames, strict=False):
+    df = spark.createDataFrame(claims, "k string, signal_type string, claimed_ds date, claimed_segment string, note string")
+    return {(r.k, r.signal_type, r.claimed_ds, r.op): (r.ran, r.detected) for r in verify_claims(df, frames, strict).collect()}
+
+
+def test_claims_are_judged(spark):
+    rng = np.random.default_rng(0)
+    noise = rng.normal(0, 1, 104)
+    up = 100 + np.arange(104) + noise
+    spiky = 100 + noise
+    spiky[50] += 80
+    frames = {"anomaly": keyed(spark, {"up": up, "spiky": spiky, "one": [5.0]}),
+              "segments": keyed(spark, {"up": {"a": up, "b": up[::-1]}}, segment="part"),
+              "cohort": keyed(spark, {"up": {"a": up, "b": up[::-1]}}, segment="part")}
+    frames |= {op: frames["anomaly"] for op in ("trend", "growth", "forecast")}
+    day, far = WEEKS[50], WEEKS[80]
+    claims = [("up", "trend_up", None, None, "x"), ("up", "trend_down", None, None, "x"), ("one", "trend_up", None, None, "x"),
+              ("gone", "trend_up", None, None, "x"), ("spiky", "anomaly_spike", day, None, "x"), ("spiky", "anomaly_spike", far, None, "x"),
+              ("spiky", "anomaly_spike", day + timedelta(days=7), None, "x"), ("spiky", "anomaly_spike", day - timedelta(days=8), None, "x"),
+              ("spiky", "anomaly_spike", None, None, "x"), ("up", "segment_drag", None, "B", "x"), ("up", "segment_drag", None, None, "x"),
+              ("up", "forecast_up", None, None, "x"), ("one", "forecast_up", None, None, "x"), ("up", "cohort_question", None, None, "x"),
+              ("gone", "scope_refusal", None, None, "x"), ("up", "no such kind", None, None, "x"), (None, "trend_up", None, None, "x")]
+    loose, strict = verified(spark, claims, frames), verified(spark, claims, frames, strict=True)
+    for op in ("trend", "growth"):
+        assert loose["up", "trend_up", None, op] == (True, True) and loose["up", "trend_down", None, op] == (True, False)
+        assert loose["one", "trend_up", None, op] == loose["gone", "trend_up", None, op] == loose[None, "trend_up", None, op] == (False, False)
+    for ds, hit in ((day, True), (far, False), (day + timedelta(days=7), True), (day - timedelta(days=8), False), (None, False)):
+        assert loose["spiky", "anomaly_spike", ds, "anomaly_zscore"] == (True, True)
+        assert strict["spiky", "anomaly_spike", ds, "anomaly_zscore"] == (True, hit)
+    assert loose["up", "forecast_up", None, "forecast"] == (True, True) and loose["one", "forecast_up", None, "forecast"] == (False, False)
+    assert loose["up", "cohort_question", None, "cohort"] == loose["gone", "scope_refusal", None, "refusal"] == (True, True)
+    assert not any(kind == "no such kind" for _, kind, _, _ in loose)
+    df = spark.createDataFrame([("up", "segment_drag", None, s) for s in ("b", "a", None)],
+                               "k string, signal_type string, claimed_ds date, claimed_segment string")
+    got = {r.claimed_segment: r.detected for r in verify_claims(df, frames).collect()}
+    assert got == {"b": True, "a": False, None: False}
+    assert verify_claims(df.where("false"), frames).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dates_against_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    start = date(1969, 11, 1)
+    day = lambda: start + timedelta(days=int(rng.integers(0, 150)))
+    asked = [(str(rng.choice(["a", "b", "c"])), day(), int(rng.choice([0, 1, 7]))) for _ in range(120)] + [("a", None, 7)]
+    found = [(str(rng.choice(["a", "b", "d"])), day()) for _ in range(40)]
+    got = near_dates(spark.createDataFrame(asked * 3, "k string, claimed_ds date, tolerance int"),
+                     spark.createDataFrame(found * 3, "k string, ds date"), ["k"]).collect()
+    want = {(k, d, t) for k, d, t in asked if d and any(k == j and abs((d - e).days) <= t for j, e in found)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_contract(claims):
+    pairs = pr.generate_pairs(claims, all_true(claims), "1.0.0", "seed", types=["scope_refusal", "trend_up"])
     checked = pr.check_contract(pairs)
     assert checked.where("NOT ok_id OR NOT ok_code OR NOT ok_version").count() == 0
     # questions that do not end in a question mark, per seed
@@ -191,8 +260,8 @@ def test_report_round_trip_and_comparison(spark, tmp_path, monkeypatch):
         records.latest_report(spark, f"{tmp_path}/absent-*.json")
 
 
-def test_pair_files(spark, seeds, tmp_path):
-    pairs = pr.generate_pairs(seeds, "1.0.0", types=["scope_refusal"])
+def test_pair_files(spark, claims, tmp_path):
+    pairs = pr.generate_pairs(claims, all_true(claims), "1.0.0", "seed", types=["scope_refusal"])
     path = str(tmp_path / "pairs")
     records.write_pairs(pairs, path)
     assert sorted(records.read_pairs(spark, path).collect()) == sorted(pairs.collect())
