@@ -20,6 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CHUNK = 100_000
+#: Accuracy of the quantile sketch, and how far from a wanted rank the values around it are taken: five times the
+#: share of the rows by which the sketch may err.
+SKETCH, BRACKET = 10_000, 5 / 10_000
 
 
 def value_band(y: Column, resolution: int) -> Column:
@@ -121,53 +124,55 @@ def quantiles(df: DataFrame, keys: list[str], probs: list[float], calendar_bound
     """Exact linear-interpolated quantiles of `y` per key as columns q0, q1, …,
     and its `mean`.
 
-    Short series use the built-in exact aggregate.  Otherwise only the value
-    bands that hold a wanted rank are sorted."""
+    Short series use the built-in exact aggregate.  Otherwise a sketch per key,
+    combined before the shuffle, gives two values around every wanted rank; a
+    second aggregate counts the rows below them and keeps the values between
+    them, about `2 * BRACKET` of a key's rows whatever their size or spread.  Only
+    those are put in order.  A rank that is not between its values is an error."""
     if calendar_bounded:
         q = F.percentile("y", F.array(*[F.lit(p) for p in probs]))
         return df.groupBy(*keys).agg(q.alias("__q"), F.avg("y").alias("mean")).select(
             *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))], "mean"
         )
-    counts = (
-        df.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("__band", value_band(F.col("y"), 4096))
-        .where(present(*keys, "__band"))
+    marks = [m for p in probs for m in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
+    sketch, few = F.percentile_approx("y", marks, SKETCH), F.count("y") < 2 / BRACKET
+    # where the bracket is less than two rows wide, it is the whole key
+    whole = F.array(*[F.min("y"), F.max("y")] * len(probs))
+    edges = df.groupBy(*keys).agg(
+        F.when(few, whole).otherwise(sketch).alias("__e"), F.count("y").alias("__total"), F.avg("y").alias("mean")
     )
-    bands = counts.groupBy(*keys, "__band").agg(
-        F.sum("n").alias("size"), F.sum(F.col("y") * F.col("n")).alias("sum_y")
-    )
-    cum = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = bands.withColumn("before", F.sum("size").over(cum) - F.col("size")).withColumn(
-        "total", F.sum("size").over(Window.partitionBy(*keys))
-    ).withColumn("mean", F.sum("sum_y").over(Window.partitionBy(*keys)) / F.col("total"))
-
-    def rank(p: float, up: bool) -> Column:
-        r = (F.col("total") - 1) * F.lit(p)
-        return (F.ceil(r) if up else F.floor(r)).cast("bigint")
-
-    def inside(r: Column, start: Column, size: Column) -> Column:
-        return (r >= start) & (r < start + size)
-
-    wanted = [(p, up) for p in probs for up in (False, True)]
-    hit = None
-    for p, up in wanted:
-        c = inside(rank(p, up), F.col("before"), F.col("size"))
-        hit = c if hit is None else hit | c
-    needed = bands.where(hit).select(*keys, "__band", "before", "total", "mean")
-    in_band = Window.partitionBy(*keys, "__band").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    rows = equi(counts, needed, [*keys, "__band"]).withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("n").over(in_band), F.lit(0))
+
+    def inside(i: int, value: str) -> Column:
+        return F.col(value).between(F.col("__e")[2 * i], F.col("__e")[2 * i + 1])
+
+    near = attach(df.where("y IS NOT NULL"), edges, keys, ["__e", "__total", "mean"])
+    kept = reduce(lambda x, y: x | y, [inside(i, "y") for i in range(len(probs))])
+    below = [F.count_if(F.col("y") < F.col("__e")[2 * i]).alias(f"__b{i}") for i in range(len(probs))]
+    # everything outside the brackets is one row of a key
+    folded = near.groupBy(*keys, F.when(kept, F.col("y")).alias("__v")).agg(
+        F.count(F.lit(1)).alias("n"), *below, *[F.first(c).alias(c) for c in ("__e", "__total", "mean")]
     )
-    picks = [
-        F.max(F.when(inside(rank(p, up), F.col("start"), F.col("n")), F.col("y"))).alias(f"__{i}")
-        for i, (p, up) in enumerate(wanted)
-    ]
-    got = rows.groupBy(*keys).agg(F.max("total").alias("total"), F.max("mean").alias("mean"), *picks)
+    key, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    starts = {
+        f"__s{i}": F.sum(f"__b{i}").over(key)
+        + F.coalesce(F.sum(F.when(inside(i, "__v"), F.col("n"))).over(upto), F.lit(0)) for i in range(len(probs))
+    }
+    placed = folded.withColumns(starts)
+    picks = []
+    for i, p in enumerate(probs):
+        at = (F.col("__total") - 1) * F.lit(p)
+        for name, rank in ((f"__lo{i}", F.floor(at)), (f"__hi{i}", F.ceil(at))):
+            start = F.col(f"__s{i}")
+            picks.append(F.max(F.when(
+                inside(i, "__v") & (rank >= start) & (rank < start + F.col("n")), F.col("__v"))).alias(name))
+    got = placed.groupBy(*keys).agg(F.max("__total").alias("__total"), F.max("mean").alias("mean"), *picks)
     out = []
     for i, p in enumerate(probs):
-        lo, hi = F.col(f"__{2 * i}"), F.col(f"__{2 * i + 1}")
-        share = (F.col("total") - 1) * F.lit(p) - F.floor((F.col("total") - 1) * F.lit(p))
-        out.append((lo + (hi - lo) * share).alias(f"q{i}"))
+        at = (F.col("__total") - 1) * F.lit(p)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        lost = F.raise_error(F.lit("a quantile is not between the values of its sketch")).cast("double")
+        value = lo + (hi - lo) * (at - F.floor(at))
+        out.append(F.when((lo.isNull() | hi.isNull()) & (F.col("__total") > 0), lost).otherwise(value).alias(f"q{i}"))
     return got.select(*keys, *out, "mean")
 
 

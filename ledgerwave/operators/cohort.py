@@ -27,9 +27,13 @@ def calendar_periods(freq: str, start: Column, end: Column) -> Column:
     return F.floor(F.datediff(end, start) / (7 if freq.startswith("W") else 1)).cast("bigint")
 
 
-def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows", offset: str = "gap") -> CohortTable:
+def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows", offset: str = "gap",
+                    zero_fill: bool = True) -> CohortTable:
     """Share of each cohort active per period since its first date.
 
+    Every cohort has a row for every offset found; with `zero_fill=False` only for those at which it was active, so
+    the table grows with the cells that are there and not with cohorts times offsets.
+
     Rows are counted (filler rows too), as the default; `count="distinct"`
     counts members instead.  Offsets are days by the typical gap between dates,
     or with `offset="calendar"` periods of the frame's frequency."""
@@ -58,7 +62,15 @@ def cohort_analysis(sf: SalesFrame, cohort_col: str, count: str = "rows", offset
     active = cells.groupBy(*keys, "cohort_start", "period_offset").agg(
         F.sum("rows").cast("bigint").alias("active")
     )
-    return CohortTable(_zero_filled(active, keys), tuple(keys))
+    table = _zero_filled(active, keys) if zero_fill else _sparse(active, keys)
+    return CohortTable(table, tuple(keys))
+
+
+def _sparse(active: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells that are there.  A cohort has one at offset 0, so its size is among them."""
+    size = F.max(F.when(F.col("period_offset") == 0, F.col("active"))).over(Window.partitionBy(*keys, "cohort_start"))
+    return active.withColumn("cohort_size", size).withColumn(
+        "retention", F.least(F.lit(1.0), F.col("active") / F.col("cohort_size")))
 
 
 def _zero_filled(active: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,9 +94,11 @@ def _zero_filled(active: DataFrame, keys: list[str]) -> DataFrame:
     return full.withColumn("retention", F.least(F.lit(1.0), F.coalesce(rate, F.lit(0.0))))
 
 
-def retention_matrix(table: CohortTable, offsets: list[int]) -> DataFrame:
-    """Wide view: one column per period offset, for display."""
-    return (
-        table.retention.groupBy(*table.keys, "cohort_start")
-        .pivot("period_offset", offsets).agg(F.first("retention"))
-    )
+def retention_matrix(table: CohortTable, offsets: list[int] | None = None, prefix: str = "") -> DataFrame:
+    """Wide view: one column `prefix` + offset per period offset; by default for every offset that the table has, which
+    a first pass finds."""
+    if offsets is None:
+        found = table.retention.select("period_offset").distinct().collect()
+        offsets = sorted(r.period_offset for r in found)
+    wide = table.retention.groupBy(*table.keys, "cohort_start").pivot("period_offset", offsets).agg(F.first("retention"))
+    return wide.withColumnsRenamed({str(i): f"{prefix}{i}" for i in offsets}) if prefix else wide

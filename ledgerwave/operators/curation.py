@@ -77,6 +77,21 @@ def turn_text(role: Column, text: Column) -> Column:
     return F.concat(F.lit(CHAT_OPEN), role, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(CHAT_CLOSE))
 
 
+def chat_records(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                 part_turns: int = 1000) -> DataFrame:
+    """One row per conversation with its turns in order: `conv`, part, n_turns, messages (role, content).
+
+    A long conversation comes in parts of `part_turns` turn numbers, in order by `part`, so that a record has a bounded
+    length whatever share of the turns its conversation holds.  Turns without a number come first, in part 0; turns
+    with one number are in order of role and text."""
+    message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    part = F.coalesce(F.floor(F.col(turn) / part_turns), F.lit(0)).cast("bigint")
+    records = turns.groupBy(F.col(conv), part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(message)).alias("messages"))
+    return records.withColumn("messages", F.transform("messages", lambda m: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"))))
+
+
 def pairs_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(user, next assistant) turns as question and code: an equi-join on
     conversation and turn number, so a very long conversation stays spread."""

@@ -94,7 +94,10 @@ def build_report(
     results: DataFrame, model_variant: str, eval_set: str, library_version: str, timestamp: str,
     elapsed_seconds: float = 0.0, signal_type_filter: list[str] | None = None,
 ) -> Report:
-    """Header of one row next to the results, which stay a distributed table."""
+    """Header of one row next to the results, which stay a distributed table.  A `position` keeps their order, from
+    one partition to the next, unless they have one."""
+    if "position" not in results.columns:
+        results = results.withColumn("position", F.monotonically_increasing_id())
     kinds = F.array(*[F.lit(t) for t in signal_type_filter]) if signal_type_filter else F.lit(None)
     header = metrics(results).select(
         F.lit(model_variant).alias("model_variant"), F.lit(eval_set).alias("eval_set"), "eval_set_size",

@@ -424,15 +424,21 @@ def cohort_calendar(spark, folder):
     return t.withColumn("retention", F.round("retention", 4))
 
 
-# Quarters of the seven years that the order dates span.
-OFFSETS = range(28)
-
-
+# Every offset that the data has is a column.
 @query(f"""WITH {_COHORT.format(period=_QUARTER, n='1', agg='sum(n)')}
-SELECT cohort_start, """ + ", ".join(f'round(max(retention) FILTER (WHERE period_offset = {i}), 4) AS p{i}' for i in OFFSETS) + " FROM ret GROUP BY 1")
+SELECT * FROM (PIVOT (SELECT cohort_start, period_offset, round(retention, 4) AS retention FROM ret) ON ('p' || period_offset)
+USING first(retention) GROUP BY cohort_start)""")
 def cohort_matrix(spark, folder):
-    wide = retention_matrix(_cohorts(spark, folder, "QS"), list(OFFSETS))
-    return wide.select("cohort_start", *[F.round(str(i), 4).alias(f"p{i}") for i in OFFSETS])
+    wide = retention_matrix(_cohorts(spark, folder, "QS"), prefix="p")
+    return wide.select("cohort_start", *[F.round(c, 4).alias(c) for c in wide.columns[1:]])
+
+
+# Daily cohorts: thousands of offsets, of which a cohort has a few.
+@query(f"""WITH {_COHORT.format(period='CAST(o_orderdate AS DATE)', n='1', agg='sum(n)')} {_RETENTION_SQL} WHERE active > 0""")
+def cohort_sparse(spark, folder):
+    sf = orders_series(spark, folder, segment_col="o_custkey", freq="D", fill=False)
+    t = cohort_analysis(sf, "o_custkey", zero_fill=False).retention
+    return t.withColumn("retention", F.round("retention", 4))
 
 
 # --- narration and annotation -------------------------------------------------

@@ -312,6 +312,14 @@ def chat_messages(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
+# Whole conversations as nested records, in parts of three turns; the messages as text, to be compared.
+@query("""SELECT conv_id, turn // 3 AS part, count(*) AS n_turns,
+  CAST(to_json(list({'role': role, 'content': text} ORDER BY turn, role, text)) AS VARCHAR) AS messages FROM conversations GROUP BY 1, 2""")
+def chat_records(spark, folder):
+    records = cur.chat_records(table(spark, folder, "conversations"), part_turns=3)
+    return records.withColumn("messages", F.to_json("messages", {"ignoreNullFields": "false"}))
+
+
 # The three-part template of the questions that a user asked and the assistant's next turn answered.
 _TURNS = """p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS code FROM conversations a JOIN conversations b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import calendar as cal
 from ..operators.series import infer_freq, load_sales, regularise, to_series
-from ..sources.tables import typed_rows
+from ..sources.tables import checked_rows, typed_rows
 from . import sqltext as sql
 from .registry import query, table
 
@@ -138,7 +138,8 @@ a{i} AS (SELECT ['MON','TUE','WED','THU','FRI','SAT','SUN'][isodow(ds)] AS ancho
   WHEN m <= 35 THEN 'MS' WHEN m <= 100 THEN 'QS' ELSE 'YS' END AS freq FROM m{i}, a{i}"""
     for i, f in enumerate(_GRIDS)))
 def infer_frequency(spark, folder):
-    rows = typed_rows(table(spark, folder, "orders"), "o_orderdate", "o_totalprice")
+    # one table of days for all grids: its exchange is computed once
+    rows = typed_rows(table(spark, folder, "orders"), "o_orderdate", "o_totalprice").select("ds").distinct()
     parts = [
         infer_freq(rows.withColumn("ds", cal.period_start(F.col("ds"), f))).select(
             F.lit(f).alias("grid"), "n_dates", "median_gap", "freq"
@@ -146,3 +147,23 @@ def infer_frequency(spark, folder):
         for f in _GRIDS
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Orders as a text file would hold them: dates in several spellings, missing and unreadable cells.
+_SPELLINGS = ["yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "d-MMM-yyyy", "MMM d, yyyy", None, " yyyy/M/d "]
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 5 THEN CAST(o_orderdate AS DATE) END AS ds,
+  CASE WHEN o_orderkey % 5 IN (0, 3) THEN o_totalprice END AS y, CASE WHEN o_orderkey % 7 = 5 THEN 'soon' END AS bad_date,
+  CASE WHEN o_orderkey % 5 = 2 THEN '12,5x' END AS bad_value FROM orders""")
+def typed_rows_text(spark, folder):
+    orders = table(spark, folder, "orders")
+    day, price = F.col("o_orderdate").cast("date"), F.col("o_totalprice").cast("string")
+    spelt = F.lit("soon")
+    for k, form in enumerate(_SPELLINGS):
+        if form:
+            spelt = F.when(F.col("o_orderkey") % 7 == k, F.date_format(day, form)).otherwise(spelt)
+    cell = F.element_at(F.array(price, F.lit("n/a"), F.lit("12,5x"), F.concat(F.lit(" "), price, F.lit(" ")), F.lit("")),
+                        (F.col("o_orderkey") % 5 + 1).cast("int"))
+    text = orders.select("o_orderkey", spelt.alias("day"), cell.alias("price"))
+    return checked_rows(text, "day", "price", ["o_orderkey"])

@@ -58,14 +58,15 @@ def read_reports(spark: SparkSession, path: str, version_field: str = "library_v
 
 
 def latest_report(spark: SparkSession, path: str, version_field: str = "library_version") -> Report:
-    """The report with the lexicographically last name.  Only its file is parsed;
-    one from elsewhere may hold its results inside."""
-    name = F.col("_metadata.file_path")
-    last = spark.read.text(path, wholetext=True).agg(F.max(name).alias("name")).first().name
+    """The report with the lexicographically last name.  Names come from the listing, only its file is opened; one
+    from elsewhere may hold its results inside.  Results have the `position` they were reported at."""
+    last = spark.read.format("binaryFile").load(path).agg(F.max("path").alias("name")).first().name
     if last is None:
         raise FileNotFoundError(f"no report matches {path!r}")
     d = read_reports(spark, last, version_field)
     header = d.drop("results", "source")
     if d.where("results IS NULL").limit(1).count():
-        return Report(header, spark.read.schema(RESULT_FIELDS).json(f"{last.rpartition('/')[0]}/results"))
-    return Report(header, d.select(F.inline("results")))
+        return Report(header, spark.read.schema(f"{RESULT_FIELDS}, position bigint").json(
+            f"{last.rpartition('/')[0]}/results"))
+    return Report(header, d.select(F.posexplode("results").alias("position", "r")).select(
+        "r.*", F.col("position").cast("bigint").alias("position")))

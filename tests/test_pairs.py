@@ -197,6 +197,16 @@ def test_chat_formats(spark):
     assert [(m.role, m.content) for m in row.m] == [("system", "sys"), ("user", "Q?"), ("assistant", "code")]
 
 
+def test_chat_records_come_in_parts(spark):
+    rows = [("hot", k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in reversed(range(25))] + [
+        ("one", 0, "user", None), ("odd", None, "system", "s"), ("odd", 3, "b", "x"), ("odd", 3, "a", "y")]
+    d = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {(r.conv_id, r.part): [tuple(m) for m in r.messages] for r in cur.chat_records(d, part_turns=10).collect()}
+    hot = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(25)]
+    assert got == {("hot", 0): hot[:10], ("hot", 1): hot[10:20], ("hot", 2): hot[20:], ("one", 0): [("user", None)],
+                   ("odd", 0): [("system", "s"), ("a", "y"), ("b", "x")]}
+
+
 REFUSALS = [
     ("# This question is outside the scope of sales analysis.", True),
     ("# Cannot answer this, not supported", True),
@@ -254,6 +264,12 @@ def test_report_round_trip_and_comparison(spark, tmp_path, monkeypatch):
     by_type = {r.signal_type: r for r in ev.compare_by_type(first.results, got.results).collect()}
     assert by_type["trend_up"].rate_a == 1.0 and by_type["trend_up"].delta == 0.0
     assert by_type["mystery"].rate_a is None and by_type["mystery"].total_b == 1
+    many = spark.range(0, 400, 1, 7).select(
+        F.concat(F.lit("q"), F.col("id")).alias("question"), F.lit("trend_up").alias("signal_type"), F.lit("").alias("code"),
+        (F.col("id") % 2 == 0).alias("ran_ok"), F.lit(True).alias("detected_ok"))
+    kept = records.write_report(ev.build_report(ev.score_answers(many), "order", "s", "1", "2026-03-02"), str(tmp_path))
+    back = records.latest_report(spark, kept).results.orderBy("position").collect()
+    assert [r.question for r in back] == [f"q{k}" for k in range(400)]
     split = records.write_report(ev.build_report(results, "z", "s", "1", "2026-03-01"), str(tmp_path))
     assert records.latest_report(spark, split).results.count() == 7
     with pytest.raises(Exception):

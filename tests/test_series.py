@@ -4,6 +4,7 @@ import pytest
 from helpers import days, mondays, rows
 
 from ledgerwave import load_sales, to_series
+from ledgerwave.sources.tables import write_typed
 from ledgerwave.functions import calendar as cal
 from ledgerwave.operators.series import infer_freq, regularise
 
@@ -137,3 +138,18 @@ def test_one_and_many_partitions_agree(spark):
         results.append(rows(to_series(df, "d", "v", keys=["k"]).df, "k", "ds"))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_typed_table_is_written_in_one_pass(spark, tmp_path):
+    rows = [(1, "2022-01-03", "5"), (2, "soon", "6"), (3, None, "n/a"), (4, "1/4/2022", "x"), (5, "later", "y"), (6, "20220105", " 7.5 ")]
+    df = spark.createDataFrame(rows, "id int, day string, price string")
+    got = write_typed(df, str(tmp_path / "typed"), "day", "price", ["id"])
+    assert (got.bad_dates, got.bad_values) == (2, 2)
+    assert sorted(map(tuple, got.rows.collect())) == [(1, date(2022, 1, 3), 5.0), (3, None, None), (6, date(2022, 1, 5), 7.5)]
+    bad = {r.id: (r.bad_date, r.bad_value) for r in got.bad_rows.collect()}
+    assert bad == {2: ("soon", None), 4: (None, "x"), 5: ("later", "y")}
+    plain = spark.createDataFrame([(1, date(2022, 1, 3), 5.0), (2, None, float("nan"))], "id int, day date, price double")
+    got = write_typed(plain, str(tmp_path / "plain"), "day", "price", ["id"])
+    assert (got.bad_dates, got.bad_values, got.bad_rows.count()) == (0, 0, 0) and got.rows.where("y IS NULL").count() == 1
+    none = write_typed(df.where("false"), str(tmp_path / "none"), "day", "price")
+    assert (none.bad_dates, none.rows.count()) == (0, 0)
