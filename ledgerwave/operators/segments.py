@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..core import SalesFrame, SegmentRanking
 from ..functions import calendar as cal
-from ..functions.ordering import attach, materialise, positions, rank_rows, value_band, with_stats
+from ..functions.ordering import attach, name_block, positions, rank_rows, sketched_block, whole, with_stats
 from .growth import compound_growth
 
 FLAT_BAND = 0.01  # slope within ±1 % of the mean counts as flat
@@ -59,26 +59,21 @@ def compare_segments(sf: SalesFrame, by: str | None = None, ranked_by: str = "ca
 def ranked(sr: SegmentRanking) -> DataFrame:
     """The summary with a 1-based `rank` column.
 
-    There may be very many segments, also with one and the same metric.  So the
-    distinct metric values are ranked by value band, and names are ranked inside
-    one value by a coarse part of the name.  The summary, one row per segment, is
-    computed once."""
+    There may be very many segments, also with one and the same metric.  So the distinct metric values are ranked in
+    blocks that come from the values, and names are ranked inside one value in blocks that come from the names."""
     keys, metric = list(sr.keys), F.col(sr.ranked_by)
-    far = 1 << 40
-    band = (
-        F.when(metric.isNull(), F.lit(far + 1))
-        .when(F.abs(metric) == float("inf"), F.when(metric > 0, F.lit(-far)).otherwise(F.lit(far)))
-        .otherwise(value_band(-metric, 64))
-    )
-    name = F.substring(F.col("segment").cast("string"), 1, 3)
-    if isinstance(sr.summary.schema["segment"].dataType, T.NumericType):
-        name = value_band(F.col("segment").cast("double"), 64)
-    down = F.coalesce(-metric, F.lit(0.0))
-    d = materialise(sr.summary.withColumns({"__band": band, "__down": down, "__name": name}))
-    level = [*keys, "__band", "__down"]
+    d = whole(sr.summary).withColumns({"__down": F.coalesce(-metric, F.lit(0.0)), "__none": F.isnull(metric)})
+    level = [*keys, "__none", "__down"]
     levels = d.groupBy(*level).agg(F.count(F.lit(1)).alias("n"))
-    levels = rank_rows(levels, keys, ["__band"], ["__down"], weight="n", out="__first").drop("n")
-    within = rank_rows(d, level, ["__name"], ["segment"], out="__within")
+    levels = sketched_block(levels, keys, "__down", "__block")
+    levels = rank_rows(levels, keys, ["__none", "__block"], ["__down"], weight="n", out="__first").drop("n", "__block")
+    if isinstance(sr.summary.schema["segment"].dataType, T.StringType):
+        blocks = name_block(d, level, "segment", "__name")
+    else:
+        number = F.col("segment").cast("double") if isinstance(sr.summary.schema["segment"].dataType, T.NumericType) else None
+        value = number if number is not None else F.unix_date(F.col("segment").cast("date")).cast("double")
+        blocks = sketched_block(d.withColumn("__value", value), keys, "__value", "__name").drop("__value")
+    within = rank_rows(blocks, level, ["__name"], ["segment"], out="__within")
     return within.join(levels, level).select(
         *sr.summary.columns, (F.col("__first") + F.col("__within") + 1).alias("rank")
     )
