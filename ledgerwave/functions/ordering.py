@@ -20,8 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CHUNK = 100_000
-#: Blocks of a key's values, and rows of a group whose names are ranked together.
-PARTS, FEW_NAMES = 64, 10_000
+#: Blocks of a key's values.
+PARTS = 64
 #: Accuracy of the quantile sketch, and how far from a wanted rank the values around it are taken: five times the
 #: share of the rows by which the sketch may err.
 SKETCH, BRACKET = 10_000, 5 / 10_000
@@ -33,42 +33,28 @@ def value_band(y: Column, resolution: int) -> Column:
     return (F.signum(y) * F.floor(F.log1p(F.abs(y)) * resolution)).cast("bigint")
 
 
-def sketched_block(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Adds `out`, an order-preserving block of a numeric column: how many of its key's edges are below it.  The edges
-    are PARTS quantiles of a sketch, so they lie where the values are, however narrow, tiny or uneven their range is;
-    equal values share a block.  Null values have the last block."""
-    marks = [i / PARTS for i in range(1, PARTS)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 20 * PARTS).alias("__edges"))
-    place = F.when(F.col(value).isNull(), PARTS).otherwise(F.size(F.filter("__edges", lambda e: e < F.col(value))))
-    return attach(df, edges, keys, ["__edges"]).withColumn(out, place.cast("bigint")).drop("__edges")
+def sketch(value: Column | str) -> Column:
+    """Edges between PARTS parts of a column, for an aggregate: they lie where the values are, however narrow, tiny or
+    uneven their range is."""
+    return F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
 
 
-def name_block(df: DataFrame, group: list[str], name: str, out: str) -> DataFrame:
-    """Adds `out`, an order-preserving block of a text column within `group`.
+def part_of(value: Column, edges: Column) -> Column:
+    """How many edges are below a value: an order-preserving block.  Equal values share it."""
+    return F.coalesce(F.size(F.filter(edges, lambda e: e < value)), F.lit(0)).cast("bigint")
 
-    `group` has no nulls.  Groups of up to FEW_NAMES rows are one block.  In larger ones six bytes behind the prefix that all their names have
-    in common are a number, which is parted as `sketched_block` parts numbers."""
-    if not group:
-        return name_block(df.withColumn("__all", F.lit(1)), ["__all"], name, out).drop("__all")
+
+def name_numbers(df: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
+    """Adds `out`, a number that does not fall where a text column rises: six bytes of it, behind the prefix that all
+    names of the key have in common."""
     text = F.hex(F.encode(F.col(name), "UTF-8"))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.min(text).alias("__lo"), F.max(text).alias("__hi"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("__lo"), F.length("__hi"))))
-    same = F.size(F.filter(at, lambda i: F.col("__lo").substr(F.lit(1), i) == F.col("__hi").substr(F.lit(1), i)))
-    heavy = sizes.where(F.col("__n") > FEW_NAMES).select(*group, (same - same % 2).alias("__skip"))
-    both = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
-    heavy = heavy.withColumnsRenamed({c: f"__{c}" for c in group})
-    joined = df.join(heavy, reduce(lambda a, b: a & b, both), "left")
+    ends = df.groupBy(*keys).agg(F.min(text).alias("__low"), F.max(text).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    upto = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(low), F.length(high))))
+    same = F.size(F.filter(upto, lambda i: low.substr(F.lit(1), i) == high.substr(F.lit(1), i)))
+    skip = ends.select(*keys, F.coalesce(same - same % 2, F.lit(0)).alias("__skip"))
     digits = F.rpad(text.substr(F.col("__skip") + 1, F.lit(12)), 12, "0")
-    coded = joined.withColumn("__code", F.when(F.col("__skip").isNotNull(), F.conv(digits, 16, 10).cast("double")))
-    light = coded.where("__skip IS NULL").select(*df.columns, F.lit(0).cast("bigint").alias(out))
-    parted = sketched_block(coded.where("__skip IS NOT NULL").select(*df.columns, "__code"), group, "__code", out)
-    return light.unionByName(parted.select(*light.columns))
-
-
-def whole(df: DataFrame) -> DataFrame:
-    """df with a condition that holds for every row and reads every column.  Branches that each need a few columns
-    then need the same ones, and share what was shuffled for them instead of computing it again."""
-    return df.where(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]) >= "")
+    return attach(df, skip, keys, ["__skip"]).withColumn(out, F.conv(digits, 16, 10).cast("double")).drop("__skip")
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,7 +137,9 @@ def positions(df: DataFrame, keys: list[str], calendar_bounded: bool) -> DataFra
     if calendar_bounded:
         w = Window.partitionBy(*keys).orderBy("ds", "y")
         return df.select(*keys, "ds", "y", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
-    rows = sketched_block(compact(df, keys), keys, "y", "__band")
+    rows = compact(df, keys)
+    edges = rows.groupBy(*keys).agg(sketch("y").alias("__edges"))
+    rows = attach(rows, edges, keys, ["__edges"]).withColumn("__band", part_of(F.col("y"), F.col("__edges"))).drop("__edges")
     ranked = rank_rows(rows, keys, ["ds", "__band"], ["y"], weight="n")
     return repeat_rows(ranked, "n", "__i").select(
         *keys, "ds", "y", (F.col("pos") + F.col("__i")).alias("pos")

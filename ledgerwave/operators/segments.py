@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..core import SalesFrame, SegmentRanking
 from ..functions import calendar as cal
-from ..functions.ordering import attach, name_block, positions, rank_rows, sketched_block, whole, with_stats
+from ..functions.ordering import attach, name_numbers, part_of, positions, rank_rows, sketch, with_stats
 from .growth import compound_growth
 
 FLAT_BAND = 0.01  # slope within ±1 % of the mean counts as flat
@@ -59,21 +59,22 @@ def compare_segments(sf: SalesFrame, by: str | None = None, ranked_by: str = "ca
 def ranked(sr: SegmentRanking) -> DataFrame:
     """The summary with a 1-based `rank` column.
 
-    There may be very many segments, also with one and the same metric.  So the distinct metric values are ranked in
-    blocks that come from the values, and names are ranked inside one value in blocks that come from the names."""
+    There may be very many segments, also with one and the same metric.  Blocks of metric values come from a sketch of
+    them; the value at the upper edge of a block, which may be a very frequent one, is parted by names, in blocks that
+    come from a sketch of the names.  Segments without a metric are parted by names as well."""
     keys, metric = list(sr.keys), F.col(sr.ranked_by)
-    d = whole(sr.summary).withColumns({"__down": F.coalesce(-metric, F.lit(0.0)), "__none": F.isnull(metric)})
-    level = [*keys, "__none", "__down"]
-    levels = d.groupBy(*level).agg(F.count(F.lit(1)).alias("n"))
-    levels = sketched_block(levels, keys, "__down", "__block")
-    levels = rank_rows(levels, keys, ["__none", "__block"], ["__down"], weight="n", out="__first").drop("n", "__block")
-    if isinstance(sr.summary.schema["segment"].dataType, T.StringType):
-        blocks = name_block(d, level, "segment", "__name")
+    kind = sr.summary.schema["segment"].dataType
+    d = sr.summary.withColumns({"__down": -metric, "__none": F.isnull(metric)})
+    if isinstance(kind, T.StringType):
+        d = name_numbers(d, keys, "segment", "__name")
     else:
-        number = F.col("segment").cast("double") if isinstance(sr.summary.schema["segment"].dataType, T.NumericType) else None
-        value = number if number is not None else F.unix_date(F.col("segment").cast("date")).cast("double")
-        blocks = sketched_block(d.withColumn("__value", value), keys, "__value", "__name").drop("__value")
-    within = rank_rows(blocks, level, ["__name"], ["segment"], out="__within")
-    return within.join(levels, level).select(
-        *sr.summary.columns, (F.col("__first") + F.col("__within") + 1).alias("rank")
-    )
+        number = F.col("segment") if isinstance(kind, T.NumericType) else F.unix_date(F.col("segment").cast("date"))
+        d = d.withColumn("__name", number.cast("double"))
+    edges = d.groupBy(*keys).agg(sketch("__down").alias("__values"), sketch("__name").alias("__names"))
+    d = attach(d, edges, keys, ["__values", "__names"])
+    block = part_of(F.col("__down"), F.col("__values"))
+    frequent = F.col("__none") | F.coalesce(F.get("__values", block.cast("int")) == F.col("__down"), F.lit(False))
+    names = F.when(frequent, part_of(F.col("__name"), F.col("__names"))).otherwise(F.lit(0).cast("bigint"))
+    d = d.withColumns({"__block": F.when(F.col("__none"), 0).otherwise(block), "__frequent": frequent, "__part": names})
+    placed = rank_rows(d, keys, ["__none", "__block", "__frequent", "__part"], ["__down", "segment"], out="rank")
+    return placed.select(*sr.summary.columns, (F.col("rank") + 1).alias("rank"))

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -288,6 +288,24 @@ def test_retention_counts_rows_or_members(frame):
 
 # --- forecast -----------------------------------------------------------------
 
+@pytest.mark.parametrize("kind", ["string", "bigint", "date"])
+def test_rank_of_many_segments(spark, kind):
+    """Ties, missing metrics, names with a long prefix in common, two keys."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in ("a", "b"):
+        for k in rng.permutation(3000):
+            name = {"string": f"segment of the shop number {k:05d}", "bigint": int(k), "date": date(1970, 1, 1) + timedelta(days=int(k))}[kind]
+            value = None if k % 50 == 0 else 2.5 if k % 3 == 0 else 1e-9 * round(float(rng.normal(0, 50)))
+            rows.append((key, name, value, float(k), "flat"))
+    summary = spark.createDataFrame(rows, f"key string, segment {kind}, cagr double, latest_value double, trend_direction string")
+    got = ranked(lw.SegmentRanking(summary.repartition(5), "cagr", ("key",))).collect()
+    for key in ("a", "b"):
+        want = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))
+        assert [r.segment for r in sorted((r for r in got if r.key == key), key=lambda r: r["rank"])] == [r[1] for r in want]
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 3001)] * 2)
+
+
 def weekly_line(n):
     rng = np.random.default_rng(9)
     y = 500 + np.linspace(0, 100, n) + rng.normal(0, 5, n)
