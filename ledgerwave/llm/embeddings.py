@@ -73,7 +73,14 @@ def fit_rotations(sample: np.ndarray, count: int, rounds: int = 40) -> tuple[np.
 def unit(column: pa.Array) -> np.ndarray:
     values = np.array(column.flatten().to_pylist(), np.float64) if column.null_count else column.flatten().to_numpy(
         zero_copy_only=False).astype(np.float64)
-    grid = values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return directions(values.reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
+
+
+def directions(grid: np.ndarray) -> np.ndarray:
+    """Rows of length 1.  A power of two, which is exact, first brings each row near 1: squares of very large or very
+    small components would leave the range of a double."""
+    _, exponent = np.frexp(np.abs(grid).max(1, keepdims=True))
+    grid = np.ldexp(np.ldexp(grid, -(exponent // 2)), exponent // 2 - exponent)
     return grid / np.linalg.norm(grid, axis=1, keepdims=True)
 
 
@@ -196,21 +203,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE,
                  bits: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Vectors that are null, zero or hold null or non-finite components, and those whose length is not the most
-    frequent one, link with nothing.  Equal rows are linked like others.  A null vec_id links but names no
-    component.  Other columns are not read.  `bits` of a table follow the number of rows unless given."""
+    Vectors that are null, zero or hold null or non-finite components link with nothing; others link with vectors of
+    their own length, each length in a search of its own.  Equal rows are linked like others.  A null vec_id links but
+    names no component.  Other columns are not read.  `bits` of a table follow the number of rows unless given."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                           F.col("embedding").cast("array<double>").alias("embedding")).withColumn("ok", valid("embedding"))
-    alone = rows.where("NOT ok")
-    good = rows.where("ok")
-    lengths = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).orderBy(
-        F.desc("c"), "d").limit(1).collect()
-    dim, total = (lengths[0].d, lengths[0].c) if lengths else (0, 0)
-    alone = alone.union(good.where(F.size("embedding") != dim)).select(
+    out = rows.where("NOT ok").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not total:
-        return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    keyed = stored(good.where(F.size("embedding") == dim).groupBy("vec_id", "embedding").agg(
+    good = rows.where("ok")
+    for r in good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).orderBy("d").collect():
+        same = good.where(F.size("embedding") == r.d)
+        out = out.union(near_of_length(same, r.d, r.c, cosine, sample, bits))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def near_of_length(good: DataFrame, dim: int, total: int, cosine: float, sample: int, bits: int | None) -> DataFrame:
+    """vec_id, n_links, component_id of `total` valid vectors of one length."""
+    keyed = stored(good.groupBy("vec_id", "embedding").agg(
         F.count("*").alias("n")).withColumn("key", F.xxhash64("vec_id", "embedding")))
     share = min(1.0, 2 * sample / total)
     fit_rows = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(
@@ -219,7 +228,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE,
     bits = bits or min(24, max(12, math.ceil(math.log2(total + 1))))
     theta = math.acos(cosine)
     tables, flips = search_plan(bits, theta)
-    mean, turns = fit_rotations(grid / np.linalg.norm(grid, axis=1, keepdims=True), -(-tables * bits // dim))
+    mean, turns = fit_rotations(directions(grid), -(-tables * bits // dim))
     codes = stored(coded(keyed, mean, turns, bits, tables))
     members = stored(balls_of(codes, theta / 2))
     centres = members.groupBy("ball").agg(F.sum("n").alias("size"), F.max("angle").alias("radius")).join(
@@ -247,8 +256,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPLE,
         facts.select("ball", "size"), "ball").join(by_ball, "ball", "left").join(by_row, "key", "left").join(
         linked, "ball", "left").withColumn("component", F.coalesce("component", "ball"))
     first = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    done = out.join(first, "component").select(
+    return out.join(first, "component").select(
         "vec_id", (F.col("size") - 1 + F.coalesce("from_balls", F.lit(0)) + F.coalesce("from_rows", F.lit(0)))
-        .cast("long").alias("n_links"), "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    return done.drop("copy").union(alone).withColumn("kept", F.coalesce(
-        F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        .cast("long").alias("n_links"), "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy")

@@ -80,7 +80,7 @@ def training_rows(docs: DataFrame, per_language: int, longest: int) -> list[tupl
     if not share:
         return []
     limit = F.create_map(*[F.lit(x) for name, s in share for x in (name, int(s * 2 ** 31))])[F.col("lang")]
-    h = F.abs(F.hash(F.col("doc_id").cast("string")))
+    h = F.hash(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 31) - 1))
     got = rows.where((h <= limit) & (F.length("text") <= longest)).select(
         "lang", "text", h.alias("h"), "doc_id").collect()
     seen: Counter = Counter()
@@ -104,7 +104,12 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-3,
         return None
     names = sorted({lang for _, lang in rows})
     texts = filled(pa.array([t for t, _ in rows], pa.large_string()))
-    order = sorted(range(len(rows)), key=lambda k: sum(1 for j in range(k) if rows[j][1] == rows[k][1]))
+    seen: Counter = Counter()
+    turn = []  # how many rows of its language come before a row
+    for _, lang in rows:
+        turn.append(seen[lang])
+        seen[lang] += 1
+    order = sorted(range(len(rows)), key=turn.__getitem__)
     chosen = np.array(sorted(order[:landmarks]))
     found = np.zeros(CODES, np.int64)
     for owner, code in gram_rows(filled(texts.take(pa.array(chosen)))):

@@ -238,3 +238,20 @@ def test_equal_vectors(spark):
     got = near_vectors(df).collect()
     assert [r.n_links for r in got] == [4] * 5 and {r.component_id for r in got} == {3}
     assert [r.vec_id for r in got if r.kept] == [3]
+
+
+def test_embeddings_of_any_size_and_length(spark):
+    """Each length is compared on its own, also a rare one; very large and very small vectors keep their directions."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 3))
+    rows = [(k, list(map(float, v * s))) for k, (v, s) in enumerate(
+        (v, s) for v in base for s in (1.0, 1e200, 1e-200, 3.0))]
+    rows += [(100, [1.0, 2.0, 3.0, 4.0]), (101, [1e200, 2e200, 3e200, 4e200]), (102, [-1.0, 0.0, 0.0, 0.0]), (103, [5.0]),
+             (104, [7.0]), (105, [0.0, 0.0, 0.0]), (106, []), (107, [5e-324, 0.0, 0.0]), (108, [1.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows if v and any(v)}
+    edges = [(i, j) for i in unit for j in unit if i != j and len(unit[i]) == len(unit[j])
+             and unit[i] @ unit[j] >= 0.9 * np.linalg.norm(unit[i]) * np.linalg.norm(unit[j])]
+    component = groups([i for i, _ in rows], edges)
+    assert got == {i: (sum(a == i for a, _ in edges), component[i]) for i, _ in rows}
