@@ -71,15 +71,15 @@ def worker_cache(name: str, make):
     return store[name]
 
 
-def pieces_of(batch: pa.RecordBatch, column: str = "text"):
-    """The rows of a batch in runs of about SLICE_BYTES of text, one row at least."""
+def pieces_of(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+    """The rows of a batch in runs of about `most` bytes of text, one row at least."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(size, base + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 

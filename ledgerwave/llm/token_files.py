@@ -23,6 +23,8 @@ from .tokens import encode_texts
 
 MAGIC = b"LWPFOR01"
 BLOCK = 512
+#: Texts are encoded in runs of about this many bytes: longer ones hold fewer different pieces a byte.
+ENCODE_BYTES = 6_000_000
 #: A file ends with the document that brings it to this many ids.
 FILE_IDS = 2_000_000
 LANES = 64
@@ -172,7 +174,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, percentile: float = 0
                                        ("docs", pa.int64()), ("ids", pa.int64())]))
 
         for batch in batches:
-            for rows in pieces_of(batch):
+            for rows in pieces_of(batch, most=ENCODE_BYTES):
                 bounds, ids = encode_texts(rows.column("text"), path)
                 with_end = np.insert(ids, bounds[1:], end_id)
                 held["docs"] += rows.column("doc_id").to_pylist()
