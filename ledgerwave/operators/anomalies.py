@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import AnomalyTable, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import attach, quantiles, repeat_rows, with_stats
+from ..functions.ordering import attach, attach_spread, quantiles, repeat_rows, with_stats
 from ..functions.text import fixed
 from .forest import forest_scores
 
@@ -46,7 +46,9 @@ def _iqr(obs: DataFrame, keys: list[str], threshold: float, bounded: bool) -> Da
         q1, q3 = F.col("q")[0], F.col("q")[1]
     else:
         cuts = quantiles(obs, keys, [0.25, 0.75], False)
-        d = attach(obs, cuts, keys, ["q0", "q1", "mean"])
+        if keys:
+            cuts = attach(cuts, obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys, ["__rows"])
+        d = attach_spread(obs, cuts, keys, ["q0", "q1", "mean"], "__rows")
         q1, q3 = F.col("q0"), F.col("q1")
     iqr = q3 - q1
     d = d.where((F.col("y") < q1 - threshold * iqr) | (F.col("y") > q3 + threshold * iqr))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core import GrowthMetrics, SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import into_blocks, positions, previous_value
+from ..functions.ordering import dealt, into_blocks, positions, previous_value
 
 
 def relative_change(y: Column, prev: Column) -> Column:
@@ -48,7 +48,7 @@ def growth_metrics(sf: SalesFrame, window: int = 4) -> GrowthMetrics:
     else:
         # Long series: cut by position into blocks that overlap by `window` rows,
         # so one key is spread over many tasks.
-        d = into_blocks(positions(obs, keys, False), window)
+        d = dealt(into_blocks(positions(obs, keys, False), window), *keys, "__block")
         w = Window.partitionBy(*keys, "__block").orderBy("pos")
         d = d.withColumn("growth", relative_change(y, F.lag("y", window).over(w)))
         d = d.where("__home AND growth IS NOT NULL").select(*keys, "ds", "growth", "pos", "__block")

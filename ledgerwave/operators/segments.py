@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..core import SalesFrame, SegmentRanking
 from ..functions import calendar as cal
-from ..functions.ordering import attach, name_numbers, part_of, positions, rank_rows, sketch, with_stats
+from ..functions.ordering import attach, name_numbers, part_of, positions, rank_rows, sketch
 from .growth import compound_growth
 
 FLAT_BAND = 0.01  # slope within ±1 % of the mean counts as flat
@@ -25,20 +25,14 @@ def compare_segments(sf: SalesFrame, by: str | None = None, ranked_by: str = "ca
     bounded = sf.one_row_per_date and set(group) >= set(sf.group_keys)
     obs = sf.df.where("y IS NOT NULL").dropna(subset=[seg]).select(*group, "ds", "y")
 
-    placed = positions(obs, group, bounded)
-    size = {"n": F.count(F.lit(1))}
-    if bounded:
-        placed = with_stats(placed, group, [], size, True)
-    else:
-        placed = attach(placed, obs.groupBy(*group).agg(size["n"].alias("n")), group, ["n"])
-    # everything about a segment in one map-side combined aggregate; the slope
-    # sees the second half only
-    order = F.struct("ds", "y")
-    late = F.col("pos") >= F.expr("n div 2")
+    # everything about a segment in one map-side combined aggregate of numbers, which need not sort; the slope sees the
+    # second half only
+    placed = positions(obs, group, bounded, size="__total")
+    late, y = F.col("pos") >= F.expr("__total div 2"), F.col("y")
     s = placed.groupBy(*group).agg(
-        F.min_by("y", order).alias("first_y"), F.max_by("y", order).alias("last_y"), F.count("y").alias("n"),
-        F.count_if(late).alias("n_late"), F.avg(F.when(late, F.col("y"))).alias("mean"),
-        F.regr_slope(F.when(late, F.col("y")), F.when(late, F.col("pos"))).alias("slope"),
+        F.min_by("y", "pos").alias("first_y"), F.max_by("y", "pos").alias("last_y"), F.count("y").alias("n"),
+        F.count_if(late).alias("n_late"), F.avg(F.when(late, y)).alias("mean"),
+        F.regr_slope(F.when(late, y), F.when(late, F.col("pos"))).alias("slope"),
     ).where("n >= 2")
     limit, two = F.col("mean") * FLAT_BAND, F.col("n_late") >= 2
     keys = [k for k in keys if k != seg]
