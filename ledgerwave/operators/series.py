@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core import SalesFrame
 from ..functions import calendar as cal
-from ..functions.ordering import attach, repeat_rows
+from ..functions.ordering import attach, dealt, repeat_rows
 from ..sources.tables import read_table, typed_rows
 
 MIN_PERIODS = 4
@@ -64,6 +64,7 @@ def regularise(
     max_fill: int = 3,
     strict_gaps: bool = False,
     one_row_per_date: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Calendar filling and bounded forward fill of `(keys…, ds, y)`.
 
@@ -73,38 +74,44 @@ def regularise(
 
     All ordered work happens on one row per (keys, date): the counts of missing
     and present values and the last value.  Rows with a value never take part
-    in a shuffle beyond that map-side combined aggregate.
+    in a shuffle beyond that map-side combined aggregate.  Rows that are `unique`
+    by (keys, date) are taken as they are.  One sort serves all windows.
     """
     keys = list(keys)
     clean = rows.dropna(subset=["ds", *keys])
-    daily = clean.groupBy(*keys, "ds").agg(
-        F.count("y").alias("n_val"),
-        F.count_if(F.isnull("y")).alias("n_null"),
-        F.max("y").alias("last_y"),  # rows of one date are ordered by value, NULL first
-    )
-    has_val = F.col("n_val") > 0
+    if unique:
+        daily, last_y = clean.select(*keys, "ds", "y"), F.col("y")
+        has_val, n_null = F.isnotnull("y"), F.isnull("y").cast("int")
+    else:
+        daily = clean.groupBy(*keys, "ds").agg(
+            F.count("y").alias("n_val"),
+            F.count_if(F.isnull("y")).alias("n_null"),
+            F.max("y").alias("last_y"),  # rows of one date are ordered by value, NULL first
+        )
+        has_val, n_null, last_y = F.col("n_val") > 0, F.col("n_null"), F.col("last_y")
     by_date = Window.partitionBy(*keys).orderBy("ds")
     earlier = by_date.rowsBetween(Window.unboundedPreceding, -1)
-    d = daily.select(
+    d = (dealt(daily, *keys) if keys else daily).select(
         "*",
         F.lag("ds").over(by_date).alias("prev_ds"),
-        F.last(F.when(has_val, F.col("last_y")), ignorenulls=True).over(earlier).alias("prev_y"),
+        F.last(F.when(has_val, last_y), ignorenulls=True).over(earlier).alias("prev_y"),
         # dates after one date with a value, up to and with the next one
-        F.count(F.when(has_val, 1)).over(earlier).alias("island"),
+        *([F.count(F.when(has_val, 1)).over(earlier).alias("island")] if strict_gaps else []),
     )
     none = F.array().cast("array<date>")
     d = d.withColumn(
         "new_dates", F.coalesce(cal.grid(F.date_add("prev_ds", 1), F.date_sub("ds", 1), freq), none)
     )
     # In an island all missing rows precede the value: new dates, then NULL rows of
-    # a date (rows of one date are ordered by value, NULL first).
-    missing = F.col("n_null") + F.size("new_dates")
-    island = Window.partitionBy(*keys, "island")
-    before = F.sum(missing).over(island.orderBy("ds").rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("before", F.coalesce(before, F.lit(0)))
+    # a date (rows of one date are ordered by value, NULL first).  Those before a
+    # date are what was missing so far without what was up to the last value.
+    missing = n_null + F.size("new_dates")
+    d = d.withColumn("so_far", F.coalesce(F.sum(missing).over(earlier), F.lit(0)))
+    at_value = F.last(F.when(has_val, F.col("so_far") + missing), ignorenulls=True).over(earlier)
+    d = d.withColumn("before", F.col("so_far") - F.coalesce(at_value, F.lit(0)))
     fillable = F.col("prev_y").isNotNull()
     if strict_gaps:
-        d = d.withColumn("gap", F.sum(missing).over(island))
+        d = d.withColumn("gap", F.sum(missing).over(Window.partitionBy(*keys, "island")))
         fillable = fillable & (F.col("gap") <= max_fill)
 
     new_rows = F.transform(
@@ -114,12 +121,12 @@ def regularise(
         ),
     )
     room = F.lit(max_fill) - F.col("before") - F.size("new_dates")
-    filled = F.when(fillable, F.greatest(F.lit(0), F.least(F.col("n_null"), room))).otherwise(F.lit(0))
+    filled = F.when(fillable, F.greatest(F.lit(0), F.least(n_null, room))).otherwise(F.lit(0))
 
     if one_row_per_date:
         own = F.struct(
             F.col("ds"),
-            F.when(has_val, F.col("last_y")).when(filled > 0, F.col("prev_y")).alias("y"),
+            F.when(has_val, last_y).when(filled > 0, F.col("prev_y")).alias("y"),
             (~has_val).alias("is_gap"),
         )
         added = F.transform(new_rows, lambda r: F.struct(r["ds"].alias("ds"), r["y"].alias("y"), F.lit(True).alias("is_gap")))
@@ -206,7 +213,7 @@ def to_series(
     rows = rows.withColumn("ds", cal.period_start(F.col("ds"), freq))
     series = rows.groupBy(*group, "ds").agg(_AGGREGATES[agg]("y").cast("double").alias("y"))
     if fill:
-        df = regularise(series, freq, group, max_fill, strict_gaps, one_row_per_date=True)
+        df = regularise(series, freq, group, max_fill, strict_gaps, one_row_per_date=True, unique=True)
     else:
         df = series.withColumn("is_gap", F.isnull("y"))
     return SalesFrame(df, freq, tuple(keys), segment_col, one_row_per_date=True)

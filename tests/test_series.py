@@ -1,3 +1,5 @@
+import contextlib
+import io
 from datetime import date, timedelta
 
 import pytest
@@ -153,3 +155,11 @@ def test_typed_table_is_written_in_one_pass(spark, tmp_path):
     assert (got.bad_dates, got.bad_values, got.bad_rows.count()) == (0, 0, 0) and got.rows.where("y IS NULL").count() == 1
     none = write_typed(df.where("false"), str(tmp_path / "none"), "day", "price")
     assert (none.bad_dates, none.rows.count()) == (0, 0)
+
+
+def test_filling_sorts_a_series_once(spark):
+    rows = spark.range(40).select(F.col("id") % 3, F.date_add(F.lit("2021-01-01").cast("date"), F.col("id").cast("int") * 20).alias("ds"),
+                                  F.col("id").cast("double").alias("y")).toDF("k", "ds", "y")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        to_series(rows, "ds", "y", keys=["k"], freq="M").df.explain()
+    assert out.getvalue().count("- Sort [") == 1
