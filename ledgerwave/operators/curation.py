@@ -8,6 +8,8 @@ from ..functions.ordering import rank_rows
 
 # Fixed value: the three-part chat template.
 CHAT_OPEN, CHAT_CLOSE = "<|im_start|>", "<|im_end|>"
+#: Groups of types whose highest hash prefix in a sample is known to every task.
+TYPE_GROUPS = 1024
 DEFAULT_SYSTEM_PROMPT = (
     "You are a sales data analyst. Answer each question with a Python script of at most 15 lines that "
     "uses only load_sales, decompose_trend, growth_metrics, detect_anomalies, compare_segments, "
@@ -27,21 +29,23 @@ def seeded_key(id_col: Column, seed: int) -> Column:
 def replay_sample(pairs: DataFrame, per_type: int = 30, seed: int = 42, type_col: str = "signal_type", id_col: str = "id") -> DataFrame:
     """Exactly min(per_type, size) verified rows of every type, by seeded hash.
 
-    Counts per hash prefix tell which prefixes are wholly in the sample and which
-    one is cut, so rows outside never reach a shuffle and only rows of one prefix
-    are sorted together, whatever share of the table a type holds."""
+    Counts per hash prefix tell which prefixes of a type are in the sample and which one is cut.  The highest of them
+    by group of types is a number that every task knows, so nearly all rows outside never reach a shuffle; the others
+    meet their own prefix, so that no task takes a whole type."""
     d = verified_only(pairs).withColumn("__k", seeded_key(F.col(id_col), seed))
     d = d.withColumn("__p", F.substring("__k", 1, 5))
-    sizes = d.groupBy(F.col(type_col).alias("__type"), "__p").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("__type").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    last = sizes.where(F.col("before") < per_type).groupBy("__type").agg(
-        F.max("__p").alias("__cut"), (F.lit(per_type) - F.max("before")).alias("__room")
-    )
-    kept = d.join(last, F.col(type_col).eqNullSafe(F.col("__type")) & (F.col("__p") <= F.col("__cut")))
+    sizes = d.groupBy(F.col(type_col).alias("__type"), F.col("__p").alias("__prefix")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__type").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(upto), F.lit(0))
+    parts = sizes.select("__type", "__prefix", (F.lit(per_type) - before).alias("__room")).where("__room > 0")
+    group = F.pmod(F.xxhash64(F.col(type_col)), F.lit(TYPE_GROUPS)).cast("int")
+    cuts = parts.groupBy(F.pmod(F.xxhash64("__type"), F.lit(TYPE_GROUPS)).cast("int").alias("g")).agg(
+        F.max("__prefix").alias("cut"))
+    highest = cuts.select(F.map_from_entries(F.collect_list(F.struct("g", "cut")))).scalar()
+    near = d.where(F.col("__p") <= F.element_at(highest, group))
+    kept = near.join(parts, F.col(type_col).eqNullSafe(F.col("__type")) & (F.col("__p") == F.col("__prefix")))
     w = Window.partitionBy(type_col, "__p").orderBy("__k", id_col)
-    kept = kept.withColumn("__r", F.row_number().over(w))
-    kept = kept.where((F.col("__p") < F.col("__cut")) | (F.col("__r") <= F.col("__room")))
+    kept = kept.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("__room"))
     return kept.select(*pairs.columns)
 
 

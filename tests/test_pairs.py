@@ -1,3 +1,5 @@
+import contextlib
+import io
 from datetime import date, timedelta
 
 import numpy as np
@@ -285,3 +287,17 @@ def test_pair_files(spark, claims, tmp_path):
     other.write_text('{"question": "Q?", "lib": "2.0.0", "dataset_seed": 3}\n\n{"question": "R?", "lib": "2.0.0"}\n')
     got = records.read_pairs(spark, str(other), version_field="lib").collect()
     assert [(r.question, r.library_version) for r in got] == [("Q?", "2.0.0"), ("R?", "2.0.0")]
+
+
+def test_replay_rows_meet_their_own_prefix(spark):
+    """Types in a sample do not gather all their rows: nearly all are left out before the join."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 1000 == 0, F.lit("rare")).otherwise(F.lit("common")).alias(
+        "signal_type"), F.lit(True).alias("verified"))
+    got = cur.replay_sample(rows, 25, 42)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        got.explain()
+    joins = [line for line in out.getvalue().splitlines() if "Join" in line]
+    assert any("__p#" in line and "__prefix" in line for line in joins) and "Subquery" in out.getvalue()
+    for kind in ("rare", "common"):
+        want = rows.where(F.col("signal_type") == kind).orderBy(cur.seeded_key(F.col("id"), 42), "id").limit(25)
+        assert {r.id for r in got.where(F.col("signal_type") == kind).collect()} == {r.id for r in want.collect()}
