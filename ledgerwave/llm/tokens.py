@@ -21,6 +21,8 @@ _IRREGULAR = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Letters that lower-casing and composition leave one character, then punctuation that starts no contraction.
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PRINTED = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
+#: Places in a text where a token ends whatever follows, for tokenizers that drop white space.
+_TOKEN_ENDS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: Characters that stand for bytes: printed ones for themselves, the others, in order, from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _PLAIN} | {
@@ -44,7 +46,12 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.drops_space = self.tokenizer.normalizer is not None
+        #: Texts that are not prepared: a mark may compose with the letter before it, in one case only, and special
+        #: strings are looked for before lower-casing.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_they_are = r"\p{M}" + (f"|(?i:{'|'.join(added)})" if added else "")
         self.memo: dict[str, bytes] = {}
+        self.entries = 2 * MEMO_ENTRIES if self.drops_space else MEMO_ENTRIES  # prepared pieces are short
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -60,6 +67,8 @@ class PieceEncoder:
         return ids
 
     def fresh(self, piece: str) -> bytes:
+        if self.drops_space and piece.isascii() and piece.isalpha():  # most pieces; the memo holds them already
+            return array("I", [t.id for t in self.model.tokenize(piece.lower())]).tobytes()
         if not self.drops_space and (m := _WORD.fullmatch(piece)):
             return self.part(m[1]) + self.part(m[2]) if m[2] else self.part(m[1])
         if not _PRINTED.fullmatch(piece):
@@ -77,12 +86,19 @@ class PieceEncoder:
             ids += (self.part("\n") if k else b"") + self.part(m[1]) + (self.part(m[2]) if m[2] else b"")
         return ids
 
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """Texts of equal ids that hold fewer different pieces, for tokenizers that lower-case and drop white space:
+        A-Z are lower-cased, lines and punctuation behind a letter stand after a space."""
+        lines = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        apart = pc.replace_substring_regex(lines, _TOKEN_ENDS, r"\1 \2")
+        return pc.if_else(pc.match_substring_regex(texts, self.as_they_are), texts, apart)
+
     def encode(self, piece: str) -> bytes:
         """Ids as unsigned 32-bit integers."""
         found = self.memo.get(piece)
         if found is None:
             found = self.fresh(piece)
-            if len(self.memo) < MEMO_ENTRIES:
+            if len(self.memo) < self.entries:
                 self.memo[piece] = found
         return found
 
@@ -100,7 +116,7 @@ def cut(texts: pa.Array):
     lists = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
     starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = index[starts[:-1]]
     later = np.ones(len(index), bool)
@@ -114,11 +130,21 @@ def cut(texts: pa.Array):
     return odd.to_numpy(zero_copy_only=False), pieces, index, starts
 
 
+def cut_prepared(texts: pa.Array, prepared):
+    """As `cut`, for tokenizers that drop white space: a piece has the same ids wherever it stands."""
+    odd = pc.match_substring_regex(texts, _IRREGULAR)
+    lists = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), prepared(texts)), " ")
+    starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return odd.to_numpy(zero_copy_only=False), pieces, coded.indices.to_numpy(), starts
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(first id of every text and the end, all ids)."""
     enc = encoder(path)
     texts = filled(texts)
-    odd, pieces, index, starts = cut(texts)
+    odd, pieces, index, starts = cut_prepared(texts, enc.prepared) if enc.drops_space else cut(texts)
     coded = [enc.encode(p) for p in pieces]
     size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     begin = np.cumsum(size) - size

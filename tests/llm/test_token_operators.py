@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from ledgerwave.llm import token_files
+from ledgerwave.llm import token_files, tokens
 from ledgerwave.llm.chunked_bpe import decode_ids, encode_ids
 from ledgerwave.llm.packing import SquaredGaps, pack
 from ledgerwave.llm.token_counts import token_counts
@@ -39,6 +39,18 @@ def test_ids_equal_the_library(path, edge_texts):
     assert ids[:bounds[1]].tolist() == own.encode(texts[2], add_special_tokens=False).ids
 
 
+def test_prepared_texts_have_fewer_pieces_and_the_same_ids():
+    texts = ["Word, word.\nWord;word,### The word's", "H\u0331, I\u0307.", "it'S, 'RE-do.'s", "<|STARTOFTEXT|>a<|endoftext|>,",
+             "é,É.\n\nx", ""]
+    own = Tokenizer.from_file(WORD)
+    bounds, ids = encode_texts(pa.array(texts), WORD)
+    for k, t in enumerate(texts):
+        assert ids[bounds[k]:bounds[k + 1]].tolist() == own.encode(t, add_special_tokens=False).ids, t
+    text = pa.array(["Word, word.\nWord;" * 50], pa.large_string())
+    pieces = tokens.cut_prepared(text, tokens.encoder(WORD).prepared)[1]
+    assert set(pieces) == {"word", ",", ".", ";word", ";"}
+
+
 @pytest.mark.parametrize("values", [[], [5], list(range(700)), [3] * 511 + [2 ** 32 - 1], [0, 2 ** 32 - 1] * 400,
                                     np.random.default_rng(0).integers(0, 50_000, 5000).tolist()])
 def test_blocks_round_trip(values):
