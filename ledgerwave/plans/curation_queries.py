@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
 from ..operators import curation as cur
 from ..operators import evaluate as ev
 from ..operators import pairs as pr
@@ -55,8 +56,8 @@ def supplier_frames(spark, folder):
     def of(freq, segment=None):
         return to_series(lines, "l_shipdate", "l_quantity", keys=["l_suppkey"], segment_col=segment, freq=freq)
 
-    flags = of("M", "l_returnflag")
-    return {"trend": of("M"), "growth": of("M"), "forecast": of("M"), "anomaly": of("W-MON"), "segments": flags, "cohort": flags}
+    flags, months = of("M", "l_returnflag"), of("M")
+    return {"trend": months, "growth": months, "forecast": months, "anomaly": of("W-MON"), "segments": flags, "cohort": flags}
 
 
 @query(f"WITH {SUPPLIER_CLAIMS} SELECT * FROM claims")
@@ -104,12 +105,12 @@ checked AS (SELECT l_suppkey, signal_type, claimed_ds, claimed_segment, op, coal
 
 @query(_verified_sql(False) + " SELECT * FROM checked")
 def signal_verification(spark, folder):
-    return verify_claims(supplier_claims(spark, folder), supplier_frames(spark, folder))
+    return verify_claims(stored(supplier_claims(spark, folder)), supplier_frames(spark, folder))
 
 
 @query(_verified_sql(True) + " SELECT * FROM checked")
 def signal_verification_strict(spark, folder):
-    return verify_claims(supplier_claims(spark, folder), supplier_frames(spark, folder), strict=True)
+    return verify_claims(stored(supplier_claims(spark, folder)), supplier_frames(spark, folder), strict=True)
 
 
 # Was the day of an order, or the one beside it, unusual for its weekday?  Every order is a claim about the daily
@@ -163,7 +164,7 @@ p AS (SELECT bank.*, l_suppkey, md5(signal_type || '|' || l_suppkey || '|' || pa
 SELECT question, code, signal_type, '1.0.0' AS library_version, l_suppkey AS dataset_seed, paraphrase_id, true AS verified,
   h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS id FROM p""")
 def pairs_generated(spark, folder):
-    claims = supplier_claims(spark, folder)
+    claims = stored(supplier_claims(spark, folder))
     flags = verify_claims(claims, supplier_frames(spark, folder))
     return pr.generate_pairs(claims, flags, "1.0.0", seed="l_suppkey")
 

@@ -142,6 +142,24 @@ def test_claims_are_judged(spark):
     assert verify_claims(df.where("false"), frames).count() == 0
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_frames_are_computed_once(spark, tmp_path, strict):
+    ys = [100.0 + i + (60 if i == 50 else 0) for i in range(104)]
+    frame = keyed(spark, {"up": ys, "down": ys[::-1]})
+    frame.df.write.parquet(f"{tmp_path}/source")
+    read = frame.with_df(spark.read.parquet(f"{tmp_path}/source").distinct())
+    claims = spark.createDataFrame(
+        [(k, t, WEEKS[50], None) for k in ("up", "down") for t in ("trend_up", "anomaly_spike", "forecast_up")],
+        "k string, signal_type string, claimed_ds date, claimed_segment string")
+    ops = ("trend", "growth", "forecast", "anomaly")
+    out = verify_claims(claims, dict.fromkeys(ops, read), strict)
+    files = out.inputFiles()
+    assert files and not any("/source/" in f for f in files)  # no operator goes back to the source
+    assert len({f.rsplit("/", 1)[0] for f in files}) == 1  # one table for the frame that all share
+    plain = verify_claims(claims, dict.fromkeys(ops, frame), strict)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect())) and out.where("detected").count() >= 4
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_dates_against_all_pairs(spark, seed):
     rng = np.random.default_rng(seed)
