@@ -1,11 +1,12 @@
 """Exact Jaccard join of word shingle sets in their metric space.
 
 Unrelated documents lie at distance 1 from one another, so pivots alone cannot part a corpus: all would be in each
-other's windows.  A first cut parts it without loss.  The universe of shingles is halved by hash bits as long as a
-set holds LEAF or more of a part; the parts with at most LEAF are its leaves.  Two sets with a Jaccard similarity of
-0.9 differ in at most a nineteenth of their summed size, hence also in at least one of each part's halves, down to a
-part where both hold at most LEAF, that is, differ in nothing: they share a leaf.  Sets connected by shared leaves
-form regions.
+other's windows.  A first cut parts it without loss.  The shingles of a set are put in one order for all sets, those
+that many sets hold last.  Two sets that link differ in so few shingles that they have one in common among the first
+of each, its prefix, so sets without a common prefix shingle never meet, and a frequent passage brings none together.
+Sets that meet are then held against each other by sketches: one bit for each bucket of shingles, set where it holds an
+odd number.  Two sets differ in at least as many shingles as their sketches in bits, so a pair whose sketches differ in
+more than a link allows is none.  Sets connected by the pairs that are left form regions.
 
 In a region that is larger than a cell, pivots create Voronoi cells.  A set goes to its nearest pivot's cell and, by
 the triangle inequality, to each cell whose pivot is at most twice the radius farther; sets far from all pivots have
@@ -16,13 +17,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, pieces_of, stored
 from .shingles import mixed, shingle_hashes, word_hashes
 
-#: Sets of this size or less are compared as a whole.  It suits similarities of LEAF / (LEAF + 1) and more.
+#: A part of the shingle universe of which a set holds so many or less is compared as a whole.  It suits similarities
+#: of LEAF / (LEAF + 1) and more.
 LEAF = 9
+#: Bits of the sketch of a set of up to SMALL shingles; SKETCH_STEP times as many of both for each larger class.
+SKETCH, SMALL, SKETCH_STEP = 1024, 2_000, 32
+#: Frequent shingles that are put last; sets of a prefix shingle that meet as pairs, and that one task holds together.
+OFTEN, FEW, MEETING = 100_000, 16, 1024
 #: Sets that one task joins at once, pivots of a larger region, rounds of cells.
 CELL, PIVOTS, ROUNDS = 128, 8, 2
 
@@ -79,45 +86,168 @@ def set_numbers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size, mixed(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64), 5), 0).view(np.int64)
 
 
-def described(docs: DataFrame, n: int, leaf: int) -> DataFrame:
-    """doc_id, node (number of its set's content), n_shingles and leaf signatures of every row."""
+def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The size of every set and the bits of its sketch, as 64-bit numbers."""
+    content, out = mixed(values, 13), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits, most = SKETCH, SMALL
+        while b - a > most:
+            bits, most = bits * SKETCH_STEP, most * SKETCH_STEP
+        odd = np.bincount((content[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.int64(b - a).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) of the same sets with fewer buckets."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), 1)
+
+
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, node (number of its set's content), n_shingles and sketch of every row.  The first row of a piece of
+    a batch also has the shingles that three or more different sets of the piece hold."""
     def run(batches):
         for batch in batches:
             for rows in pieces_of(batch):
                 values, bounds = shingle_sets(rows.column("text"), n)
-                owner, signature = leaf_signatures(values, bounds, leaf)
-                order = np.argsort(owner, kind="stable")
-                at = np.searchsorted(owner[order], np.arange(len(bounds)))
+                node, size = set_numbers(values, bounds), np.diff(bounds)
+                first = np.zeros(len(node), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                shingle, held = np.unique(values[np.repeat(first, size)], return_counts=True)
+                often = [shingle[held > 2].view(np.int64), *[None] * (len(node) - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(set_numbers(values, bounds)), pa.array(np.diff(bounds)),
-                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signature[order].view(np.int64)))],
-                    ["doc_id", "node", "n_shingles", "leaves"])
+                    [rows.column("doc_id"), pa.array(node), pa.array(size), pa.array(sketches(values, bounds), pa.binary()),
+                     pa.array(often, pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "sketch", "often"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, node long, n_shingles long, leaves array<long>")
+        run, "doc_id long, node long, n_shingles long, sketch binary, often array<long>")
+
 
+def frequent_shingles(seen: DataFrame, most: int = OFTEN) -> np.ndarray:
+    """Up to `most` shingles that pieces of batches hold often, the most frequent last.  Any list gives the same links;
+    a good one keeps frequent shingles out of prefixes."""
+    counts = seen.select(F.explode("often").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+    rows = counts.orderBy(F.desc("c"), "s").limit(most).toPandas()
+    return rows["s"].to_numpy(np.int64).view(np.uint64)[::-1]
 
-def leaf_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the nodes with a common leaf.  A batch first connects its own and sends one node for
-    each leaf, so that a frequent leaf is not shuffled row by row; then neighbours in each leaf are connected."""
+
+def prefixes(values: np.ndarray, bounds: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, shingle) of the prefix of every set: so many of its first shingles that any set which links with it has
+    one of them in its own prefix.  The shingles of `often` come last, in their order."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    rank = np.zeros(len(values), np.int64)
+    if len(often):
+        by_value = np.argsort(often)
+        at = np.searchsorted(often[by_value], values)
+        at[at == len(often)] = 0
+        rank = np.where(often[by_value][at] == values, by_value[at] + 1, 0)
+    order = np.lexsort((rank, owner))
+    length = np.where(size, size - (size * percent + 99) // 100 + 1, 0)
+    chosen = order[np.arange(len(values)) - np.repeat(bounds[:-1], size) < np.repeat(length, size)]
+    return owner[chosen], values[chosen]
+
+
+def prefix_rows(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
+    """region (a prefix shingle) and node of the prefixes of all sets, those of a piece of a batch once."""
     def run(batches):
         for batch in batches:
-            lists = batch.column("leaves")
-            node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            leaf = lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.lexsort((node, leaf))
-            leaf, node = leaf[order], node[order]
-            new = np.concatenate([[True], leaf[1:] != leaf[:-1]]) if len(leaf) else np.zeros(0, bool)
-            head = node[new][np.cumsum(new) - 1] if len(leaf) else node
-            pairs = np.unique(np.stack([node[head != node], head[head != node]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([leaf[new], pairs[:, 0]])), pa.array(np.concatenate([node[new], pairs[:, 1]])),
-                 pa.array(np.arange(int(new.sum()) + len(pairs)) >= int(new.sum()))], ["a", "b", "edge"])
+            for rows in pieces_of(batch):
+                values, bounds = shingle_sets(rows.column("text"), n)
+                node = set_numbers(values, bounds)
+                owner, shingle = prefixes(values, bounds, often, percent)
+                first = np.zeros(len(node), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                new = first[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle[new].view(np.int64)), pa.array(node[owner[new]])], ["region", "node"])
+
+    return docs.select("text").mapInArrow(run, "region long, node long")
+
 
-    rows = nodes.select("node", "leaves").mapInArrow(run, "a long, b long, edge boolean")
-    chain = F.lag("b").over(Window.partitionBy("a").orderBy("b"))
-    across = rows.where("NOT edge").select("b", chain.alias("c")).where("c IS NOT NULL AND c <> b")
-    return rows.where("edge").select("a", "b").union(across.select(F.col("b").alias("a"), F.col("c").alias("b")))
+def may_link(size, others, apart, percent: int):
+    """Whether sets of these sizes whose sketches differ in `apart` bits may link."""
+    return ((100 * np.minimum(size, others) >= percent * np.maximum(size, others))
+            & ((100 + percent) * apart <= (100 - percent) * (size + others)))
+
+
+def sketched_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, one, two: their sketches) that may link."""
+    def run(batches):
+        for batch in batches:
+            one, two = batch.column("one"), batch.column("two")
+            lengths = np.stack([pc.binary_length(c).to_numpy() for c in (one, two)], 1)
+            keep = np.zeros(batch.num_rows, bool)
+            for pair in np.unique(lengths, axis=0):
+                at = np.flatnonzero((lengths == pair).all(1))
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+                        for c in (one, two))
+                words = int(pair.min()) // 8 - 1
+                apart = np.bitwise_count(folded(x[:, 1:], words) ^ folded(y[:, 1:], words)).sum(1).astype(np.int64)
+                keep[at] = may_link(x[:, 0].astype(np.int64), y[:, 0].astype(np.int64), apart, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def meeting_pairs(nodes, sets, sides, percent: int):
+    """(a, b) that connect the sets, given by their sketches, as all pairs of them that may link do."""
+    size = np.array([int(s[0]) for s in sets], np.int64)
+    words = np.array([len(s) - 1 for s in sets])
+    own = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+    bits = {(w, v): folded(np.stack([sets[k][1:] for k in at.tolist()]), v) for w, at in own.items() for v in own if v <= w}
+    place = np.zeros(len(sets), np.int64)
+    for at in own.values():
+        place[at] = np.arange(len(at))
+    a, b, new = [], [], np.ones(len(sets), bool)
+    for k in range(len(sets)):
+        todo, new[k] = [k] if new[k] else [], False
+        while todo:
+            one = todo.pop()
+            for w, at in own.items():
+                at = at[new[at]]
+                if len(at):
+                    v = min(w, int(words[one]))
+                    apart = np.bitwise_count(bits[w, v][place[at]] ^ bits[int(words[one]), v][place[one]]).sum(1).astype(np.int64)
+                    met = at[may_link(size[one], size[at], apart, percent)]
+                    new[met] = False
+                    todo += met.tolist()
+                    a += [nodes[one]] * len(met)
+                    b += nodes[met].tolist()
+    return a, b
+
+
+def region_edges(docs: DataFrame, nodes: DataFrame, n: int, percent: int, often: np.ndarray,
+                 few: int = FEW, meeting: int = MEETING) -> DataFrame:
+    """Edges (a, b) that connect the nodes as all pairs with a common prefix shingle whose sketches may link do.
+
+    First every node of a prefix shingle meets the smallest one.  Only where this does not connect all nodes of a
+    shingle do the others meet: where they are few as pairs, each once for all its shingles, else with their sketches
+    at one place, in blocks where they are many."""
+    key = Window.partitionBy("region")
+    members = stored(prefix_rows(docs, n, percent, often).withColumns(
+        {"low": F.min("node").over(key), "high": F.max("node").over(key)}).where("low < high").select(
+        "region", "node", "low").distinct())
+    sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("items"))
+
+    def met(pairs):
+        for side, name in (("a", "one"), ("b", "two")):
+            pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("items").alias(name)), side)
+        return stored(sketched_pairs(pairs.select("a", "b", "one", "two"), percent))
+
+    stars = met(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    parts = members.join(components(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = stored(parts.withColumns(
+        {"first": F.min("component").over(key), "last": F.max("component").over(key), "m": F.count("*").over(key)}).where(
+        "first < last AND m > 2").select("region", "node", "low", "component", "m"))
+    rest = apart.where(F.col("m") <= few).where("node <> low").select("region", "node", "component")
+    other = rest.select("region", F.col("node").alias("b"), F.col("component").alias("c"))
+    pairs = met(rest.join(other, "region").where("node < b AND component <> c").select(
+        F.col("node").alias("a"), "b").distinct())
+    rows = stored(apart.where(F.col("m") > few).select("region", "node", "m").join(sketch, "node"))
+    small = rows.where(F.col("m") <= meeting).select("region", "node", "items", F.lit(0).alias("side"))
+    return stars.union(pairs).union(join_cells(small, ["region"], percent, meeting_pairs)).union(
+        block_links(rows.where(F.col("m") > meeting).drop("m"), percent, meeting, meeting_pairs))
 
 
 def sets_of(regions: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -169,12 +299,12 @@ def link_pairs(nodes, sets, sides, percent: int):
     return nodes[a], nodes[b]
 
 
-def join_cells(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def join_cells(rows: DataFrame, keys: list[str], percent: int, link=link_pairs) -> DataFrame:
     """Linked pairs (a, b) within each group of rows (keys, node, items, side); groups are at most two blocks."""
     def run(key, group):
         nodes = group.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
-        a, b = link_pairs(nodes, sets, group.column("side").to_numpy(), percent)
+        a, b = link(nodes, sets, group.column("side").to_numpy(), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy(*keys).applyInArrow(run, "a long, b long")
@@ -234,7 +364,7 @@ def region_links(sets: DataFrame, percent: int, cell: int = CELL, rounds: int =
     return links.union(block_links(large.drop("m"), percent, cell))
 
 
-def block_links(sets: DataFrame, percent: int, block: int = CELL) -> DataFrame:
+def block_links(sets: DataFrame, percent: int, block: int = CELL, link=link_pairs) -> DataFrame:
     """Linked pairs of large regions: blocks in order of size, joined where their sizes are within the radius."""
     order = Window.partitionBy("region").orderBy("n", "node")
     ranked = sets.select("region", "node", "n").distinct().withColumn(
@@ -252,7 +382,7 @@ def block_links(sets: DataFrame, percent: int, block: int = CELL) -> DataFrame:
         ranked.select("region", F.col("block").alias("of"), "node"), ["region", "of"])
     items = sets.select("region", "node", "items").dropDuplicates(["region", "node"])
     return join_cells(members.join(items, ["region", "node"]).select(
-        "region", "block", "block2", "node", "items", "side"), ["region", "block", "block2"], percent)
+        "region", "block", "block2", "node", "items", "side"), ["region", "block", "block2"], percent, link)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int = LEAF) -> DataFrame:
@@ -264,16 +394,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int
     doc_id are joined each by its own text.  Other columns are not read."""
     if leaf < 1 or percent * (leaf + 1) < 100 * leaf:
         raise ValueError(f"percent must be at least {100 * max(1, leaf) / (max(1, leaf) + 1):g}")
-    seen = stored(described(docs, n, leaf))
+    seen = stored(described(docs, n))
     nodes = stored(seen.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("leaves").alias("leaves")))
-    regions = components(leaf_edges(nodes)).select("node", F.col("component").alias("region"))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    edges = region_edges(docs, nodes, n, percent, frequent_shingles(seen))
+    regions = components(edges).select("node", F.col("component").alias("region"))
     sets = stored(sets_of(regions.join(nodes.select("node", "doc_id"), "node"), docs, n))
     linked = components(region_links(sets, percent))
     own = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     named = own.join(own.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(
         "node", "component_id")
-    return seen.drop("leaves").join(named, "node", "left").select(
+    return seen.select("doc_id", "node", "n_shingles").join(named, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(
             F.col("doc_id")).alias("component_id"))

@@ -107,6 +107,52 @@ def test_jaccard_odd_ids(documents):
         jaccard_components(documents([]), percent=80)
 
 
+@pytest.mark.parametrize("few, meeting", [(16, 1024), (2, 1024), (2, 4)])
+def test_frequent_passages_connect_no_regions(documents, monkeypatch, few, meeting):
+    """Documents that share a passage but little else are no region, and none of their sets is stored; links stay."""
+    real, edges = jaccard.region_edges, []
+
+    def seen(*args):
+        edges.append(real(*args, few, meeting))
+        return edges[-1]
+
+    monkeypatch.setattr(jaccard, "region_edges", seen)
+    rng = random.Random(few)
+    fresh = lambda n: [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passage = fresh(40)
+    texts = [fresh(k % 7 * 20) + passage + fresh(60 + k % 5 * 40) for k in range(60)] + [fresh(2500) for _ in range(2)]
+    for w in texts[:10] + texts[-2:]:
+        for _ in range(4):
+            texts.append([x if rng.random() > 0.02 else "changed" for x in w])
+    texts = [" ".join(w) for w in texts]
+    sets = [shingles(t, 5) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = groups(range(len(sets)), links)
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(texts), 5, 80, jaccard.leaf_for(80)).collect()}
+    assert got == want and links
+    assert components(edges[0]).count() <= 60
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_prefix_shingle_and_have_near_sketches(percent):
+    rng = np.random.default_rng(7)
+    for size in [*range(1, 40), 300, 1990, 2100]:
+        one = np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+        for gone in {0, 1, size * (100 - percent) // 200, size * (100 - percent) // 100}:
+            two = np.sort(np.concatenate([rng.permutation(one)[min(gone, size * (100 - percent) // 100):],
+                                          rng.integers(0, 2 ** 64, gone // 3, dtype=np.uint64)]))
+            both = len(np.intersect1d(one, two))
+            if 100 * both < percent * (len(one) + len(two) - both):
+                continue
+            values, bounds = np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)])
+            for often in (np.zeros(0, np.uint64), rng.permutation(one)[:size // 2]):
+                owner, shingle = jaccard.prefixes(values, bounds, often, percent)
+                assert set(shingle[owner == 0]) & set(shingle[owner == 1]), (size, gone)
+            sets = [np.frombuffer(x, np.uint64) for x in jaccard.sketches(values, bounds)]
+            a, b = jaccard.meeting_pairs(np.array([5, 6]), sets, None, percent)
+            assert [*a, *b] in ([5, 6], [6, 5])
+
+
 def test_short_text_is_one_shingle():
     values, bounds = shingle_sets(pa.array(["a", "a b", "A B", "", None, "b a"]), 3)
     assert np.diff(bounds).tolist() == [1, 1, 1, 0, 0, 1] and values[1] == values[2] != values[3]
