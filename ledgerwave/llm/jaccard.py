@@ -149,7 +149,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, often: np.ndarray, percent:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
-    """region (a prefix shingle) and node of the prefixes of all sets, those of a piece of a batch once."""
+    """region (a prefix shingle), node and n (size) of the prefixes of all sets, those of a piece of a batch once."""
     def run(batches):
         for batch in batches:
             for rows in pieces_of(batch):
@@ -160,9 +160,10 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> Dat
                 first[np.unique(node, return_index=True)[1]] = True
                 new = first[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingle[new].view(np.int64)), pa.array(node[owner[new]])], ["region", "node"])
+                    [pa.array(shingle[new].view(np.int64)), pa.array(node[owner[new]]),
+                     pa.array(np.diff(bounds)[owner[new]])], ["region", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "region long, node long")
+    return docs.select("text").mapInArrow(run, "region long, node long, n long")
 
 
 def may_link(size, others, apart, percent: int):
@@ -226,8 +227,9 @@ def region_edges(docs: DataFrame, nodes: DataFrame, n: int, percent: int, often:
     at one place, in blocks where they are many."""
     key = Window.partitionBy("region")
     members = stored(prefix_rows(docs, n, percent, often).withColumns(
-        {"low": F.min("node").over(key), "high": F.max("node").over(key)}).where("low < high").select(
-        "region", "node", "low").distinct())
+        {"low": F.min(F.struct("node", "n")).over(key), "high": F.max("node").over(key)}).where("low.node < high").select(
+        "region", "node", "n", "low").distinct())
+    near = "100 * least(n, {0}) >= {1} * greatest(n, {0})"  # sizes that may link, before any sketch is fetched
     sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("items"))
 
     def met(pairs):
@@ -235,14 +237,15 @@ def region_edges(docs: DataFrame, nodes: DataFrame, n: int, percent: int, often:
             pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("items").alias(name)), side)
         return stored(sketched_pairs(pairs.select("a", "b", "one", "two"), percent))
 
-    stars = met(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    stars = met(members.where("node <> low.node").where(near.format("low.n", percent)).select(
+        F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
     parts = members.join(components(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = stored(parts.withColumns(
         {"first": F.min("component").over(key), "last": F.max("component").over(key), "m": F.count("*").over(key)}).where(
-        "first < last AND m > 2").select("region", "node", "low", "component", "m"))
-    rest = apart.where(F.col("m") <= few).where("node <> low").select("region", "node", "component")
-    other = rest.select("region", F.col("node").alias("b"), F.col("component").alias("c"))
-    pairs = met(rest.join(other, "region").where("node < b AND component <> c").select(
+        "first < last AND m > 2").select("region", "node", "n", "low", "component", "m"))
+    rest = apart.where(F.col("m") <= few).where("node <> low.node").select("region", "node", "n", "component")
+    other = rest.select("region", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c"))
+    pairs = met(rest.join(other, "region").where("node < b AND component <> c").where(near.format("n2", percent)).select(
         F.col("node").alias("a"), "b").distinct())
     rows = stored(apart.where(F.col("m") > few).select("region", "node", "m").join(sketch, "node"))
     small = rows.where(F.col("m") <= meeting).select("region", "node", "items", F.lit(0).alias("side"))
@@ -387,6 +390,7 @@ def block_links(sets: DataFrame, percent: int, block: int = CELL, link=link_pair
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; percent must suit the leaf (leaf_for): 90 or more for LEAF.
+    Any such leaf gives the same result; sets meet by prefixes, not by leaves.
 
     A-Z are lower-cased, words cut at white space.  Documents link when 100 * intersection >= percent * union.  A
     document without words, or with null text, has no shingle and is alone.  Equal sets are joined once, by a 64-bit
