@@ -29,7 +29,7 @@ LEAF = 9
 #: Bits of the sketch of a set of up to SMALL shingles; SKETCH_STEP times as many of both for each larger class.
 SKETCH, SMALL, SKETCH_STEP = 1024, 2_000, 32
 #: Frequent shingles that are put last; sets of a prefix shingle that meet as pairs, and that one task holds together.
-OFTEN, FEW, MEETING = 100_000, 16, 1024
+OFTEN, FEW, MEETING = 200_000, 16, 1024
 #: Sets that one task joins at once, pivots of a larger region, rounds of cells.
 CELL, PIVOTS, ROUNDS = 128, 8, 2
 
@@ -105,7 +105,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def described(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, node (number of its set's content), n_shingles and sketch of every row.  The first row of a piece of
-    a batch also has the shingles that three or more different sets of the piece hold."""
+    a batch also has the shingles that two or more different sets of the piece hold."""
     def run(batches):
         for batch in batches:
             for rows in pieces_of(batch):
@@ -114,7 +114,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 first = np.zeros(len(node), bool)
                 first[np.unique(node, return_index=True)[1]] = True
                 shingle, held = np.unique(values[np.repeat(first, size)], return_counts=True)
-                often = [shingle[held > 2].view(np.int64), *[None] * (len(node) - 1)]
+                often = [shingle[held > 1].view(np.int64), *[None] * (len(node) - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(node), pa.array(size), pa.array(sketches(values, bounds), pa.binary()),
                      pa.array(often, pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "sketch", "often"])
