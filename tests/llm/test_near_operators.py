@@ -11,7 +11,8 @@ from ledgerwave.llm import jaccard
 from ledgerwave.llm.common import components
 from ledgerwave.llm.embeddings import near_vectors
 from ledgerwave.llm.jaccard import jaccard_components, leaf_signatures, region_links, shingle_sets
-from ledgerwave.llm.passages import compact_windows, repeated_passages, without_passages
+from ledgerwave.llm import passages as passages_module
+from ledgerwave.llm.passages import compact_windows, dense, fresh, repeated_passages, without_passages
 
 
 def groups(nodes, edges):
@@ -245,6 +246,42 @@ def test_passage_with_an_edit_near_its_end(documents):
     assert found[0].last_word - found[0].first_word >= 49 and found[0].similarity >= 0.8
 
 
+def test_documents_that_share_less_than_a_passage_are_not_compared(documents, monkeypatch):
+    """Of documents that share a phrase, or a passage that was found, no texts are fetched for every pair."""
+    real, asked = passages_module.verified, []
+
+    def seen(docs, spanned, *rest):
+        asked.append(spanned.count())
+        return real(docs, spanned, *rest)
+
+    monkeypatch.setattr(passages_module, "verified", seen)
+    rng = random.Random(5)
+    fresh_words = lambda n: [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+    phrase, passage = fresh_words(34), fresh_words(60)
+    texts = [fresh_words(70) + phrase + fresh_words(70) for _ in range(40)]
+    texts += [fresh_words(70) + passage + fresh_words(70) for _ in range(20)]
+    texts += [[*texts[50][:100], "changed", *texts[50][101:]]]
+    found = repeated_passages(documents([" ".join(t) for t in texts])).collect()
+    assert not lost_words(texts, found)
+    assert {(r.doc_id, r.of_doc_id) for r in found} >= {(k, 40) for k in range(41, 60)} | {(60, 50)}
+    assert sum(asked) <= 3 * len(texts)
+
+
+def test_runs_that_can_be_a_new_passage():
+    hits = np.zeros((5, 160), bool)
+    hits[0, 50:86] = True  # too short
+    hits[1, 50:110] = True  # found before
+    hits[2, 50:120] = True  # reaches beyond
+    hits[3, 50:110], hits[3, 70] = True, False  # not whole
+    kept, longest, lone = fresh(hits, np.array([[50, 109]]), 46, 0.8)
+    assert longest.tolist() == [0, 0, 70, 60, 0] and lone.tolist() == [0, 0, 0, 60, 0]
+    assert kept.sum(1).tolist() == [0, 0, 70, 59, 0]
+    single = np.ones(160, bool)
+    assert dense(hits, single, 46, 4).tolist() == [False, True, True, True, False]
+    hits[4, 0:160:2] = True
+    assert not dense(hits, single, 46, 4)[4] and dense(hits, hits[4], 46, 4)[4]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 16))
