@@ -267,6 +267,13 @@ def test_documents_that_share_less_than_a_passage_are_not_compared(documents, mo
     assert sum(asked) <= 3 * len(texts)
 
 
+def test_documents_have_one_bucket(spark):
+    ids = [0, 1, 2, 50, 127, 128, 10 ** 12 + 7, -1, -129, 2 ** 63 - 1, -2 ** 63]
+    df = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    got = {r[0]: r[1] for r in df.select("doc_id", passages_module.placed(df["doc_id"], 51)).collect()}
+    assert [got[k] for k in ids] == passages_module.placed(np.array(ids), 51).tolist()
+
+
 def test_runs_that_can_be_a_new_passage():
     hits = np.zeros((5, 160), bool)
     hits[0, 50:86] = True  # too short
